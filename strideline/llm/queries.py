@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import media_gif, quality_rules, token_counts, toxicity
+from strideline.llm import media_gif, packing, quality_rules, token_counts, toxicity
 from strideline.llm.common import table
 
 
@@ -28,11 +28,16 @@ def op5_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.stored_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_media_gif": op5_media_gif,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
