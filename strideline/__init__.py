@@ -1,0 +1 @@
+"""Load-test and latency analytics as Spark DataFrame operators."""
