@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import media_gif, near_dup, packing, quality_rules, token_counts, toxicity
+from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, token_counts, toxicity
 from strideline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_media_gif": op5_media_gif,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_piece_sampling": op7_piece_sampling,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
