@@ -143,3 +143,20 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     """Doubles in (0, 1) from uint64 hashes."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
+def globally_ranked(df: DataFrame, order: Sequence, name: str, rank: str = "_rank") -> DataFrame:
+    """The rows range-sorted by `order` with their places from 0: each partition counts its own, and the counts add up."""
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    held = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row for each partition
+    before, starts = 0, {}
+    for r in held:
+        starts[r["p"]] = before - (r["p"] << 33)
+        before += r["n"]
+    table_ = spark.createDataFrame(list(starts.items()) or [(0, 0)], "_p long, _add long")
+    return rows.join(F.broadcast(table_), part == F.col("_p")).withColumn(rank, F.col("_place") + F.col("_add")).drop("_place", "_p", "_add")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, token_counts, toxicity
+from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, token_counts, toxicity, warc_fixity
 from strideline.llm.common import table
 
 
@@ -20,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, audited against a replica in which the pages whose hash begins with 0 have gone bad."""
+    return warc_fixity.page_audit(table(spark, sf_dir, "pages"), F.md5(F.col("page_id").cast("string").cast("binary")).startswith("0"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +49,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_token_counts": op4_token_counts,
     "op5_media_gif": op5_media_gif,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -50,4 +57,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+_EOL = "chr(13) || chr(10)"
+_HEAD = f"""'WARC/1.1' || {_EOL} || 'WARC-Type: response' || {_EOL} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_EOL} || 'WARC-Target-URI: ' || url || {_EOL} ||
+  'Content-Type: text/html' || {_EOL} || 'Content-Length: ' || strlen(html) || {_EOL} || {_EOL}"""
+
+ORACLE: dict[str, str] = {
+    "op3_warc_fixity": f"""with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+      r as (select page_id, {_HEAD} as head, html, case when md5(page_id::varchar) like '0%' then substr(html, 2) || substr(html, 1, 1) else html end as bad from p),
+      s as (select page_id, strlen(head) + strlen(html) + 4 as length, sha256(head || html || {_EOL} || {_EOL}) as sha256, sha256(head || bad || {_EOL} || {_EOL}) as copy from r),
+      n as (select *, row_number() over (order by page_id, sha256) - 1 as number from s)
+      select page_id, number // 1024 as segment, (sum(length) over (partition by number // 1024 order by number) - length)::bigint as "offset", length::bigint as length, sha256, sha256 = copy as intact from n""",
+}
