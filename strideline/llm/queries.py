@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, token_counts, toxicity, warc_fixity
+from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, warc_fixity
 from strideline.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sampled(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media_gif": op5_media_gif,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_piece_sampling": op7_piece_sampling,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
