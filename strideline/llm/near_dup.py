@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm.common import M1, M3, WORD, arrow_map, join_hash, mix, unit, written
 from strideline.llm.components import components
+from strideline.llm.packed import packed_texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million.
@@ -34,6 +35,8 @@ BANDS, ROWS = 40, 6
 ROUNDS = 2
 #: Pairs whose signatures agree on less than this share (six deviations under the threshold's) aren't verified.
 AGREE = 0.64
+#: Documents whose darts a task holds at once.
+SIGN_DOCS = 256
 #: Word hashes that a worker keeps.
 CACHE_WORDS = 300_000
 
@@ -137,31 +140,30 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, keys, sig, packed) of (doc_id, text): the text's hash, bucket keys, one byte of each coordinate, the packed text."""
+    """(doc_id, h1, h2, keys, sig) of (doc_id, text): the text's hash, bucket keys, and one byte of each coordinate."""
 
     def make():
-        pack = zstandard.ZstdCompressor(level=3)
-
         def run(texts: list) -> list:
             hashes = [xxhash.xxh3_128_intdigest(t.encode()) if t is not None else 0 for t in texts]
             sets = [shingles(t) if t else np.zeros(0, np.uint64) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(texts)
             sigs: list = [None] * len(texts)
-            if full:
-                sig = signatures([sets[i] for i in full])
+            for at in range(0, len(full), SIGN_DOCS):  # darts follow the number of documents, not their bytes
+                part = full[at : at + SIGN_DOCS]
+                sig = signatures([sets[i] for i in part])
                 low = (sig & np.uint64(255)).astype(np.uint8)
-                for i, k, s in zip(full, band_keys(sig).view(np.int64), low):
+                for i, k, s in zip(part, band_keys(sig).view(np.int64), low):
                     keys[i], sigs[i] = k, s.tobytes()
             half = (1 << 64) - 1
             signed = lambda v: v - (1 << 64) if v >> 63 else v
             h1 = [None if t is None else signed(h & half) for t, h in zip(texts, hashes)]
             h2 = [None if t is None else signed(h >> 64) for t, h in zip(texts, hashes)]
-            return [h1, h2, keys, sigs, [pack.compress((t or "").encode()) for t in texts]]
+            return [h1, h2, keys, sigs]
 
         return run
 
-    fields = [("h1", "long"), ("h2", "long"), ("keys", "array<long>"), ("sig", "binary"), ("packed", "binary")]
+    fields = [("h1", "long"), ("h2", "long"), ("keys", "array<long>"), ("sig", "binary")]
     return arrow_map(docs, ["doc_id"], ["text"], fields, make, limit=2 << 20)
 
 
@@ -181,7 +183,8 @@ def agreeing(pairs: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar enough, verified exactly."""
     side = lambda x, *cs: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cs))
-    near = agreeing(pairs.join(side("u", "sig"), "u").join(side("v", "sig"), "v"))
+    # Written, so that Spark sees how few they are before it moves texts.
+    near = written(agreeing(pairs.join(side("u", "sig"), "u").join(side("v", "sig"), "v")), "near")
 
     def make():
         unpack = zstandard.ZstdDecompressor()
@@ -216,13 +219,15 @@ def classes_of(docs: DataFrame) -> DataFrame:
     named = rows.where("doc_id is not null and h1 is not null")
     texts = written(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "texts")
     carrier = named.join(texts, ["h1", "h2"]).where("doc_id = node").dropDuplicates(["node"]).where("keys is not null")
-    nodes = written(carrier.select("node", "sig", "packed", "keys"), "nodes")
-    buckets = written(nodes.select("node", F.explode("keys").alias("key")), "buckets")
+    nodes = written(carrier.select("node", "sig", "keys"), "nodes")
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
     busy = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(buckets.join(busy, "key"), "buckets")  # nodes alone in a bucket go at once
+    met_any = buckets.select("node").distinct()
+    texts_of = packed_texts(docs).withColumnRenamed("doc", "node").join(met_any, "node", "left_semi").dropDuplicates(["node"])
+    slim = written(nodes.select("node", "sig").join(texts_of, "node"), "candidates")
     # Rows with one doc_id are one document: its texts' nodes are the same, so they fall together by name.
     classes = written(nodes.select("node", F.col("node").alias("class")), "classes")
-    slim = nodes.select("node", "sig", "packed")
     for turn in range(ROUNDS + 1):
         held = buckets.join(classes, "node")
         if turn < ROUNDS:

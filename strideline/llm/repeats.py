@@ -19,11 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import M3, arrow_flat, arrow_map, join_hash, mix, written
+from strideline.llm.common import M3, arrow_flat, join_hash, mix, written
+from strideline.llm.packed import NO_ID, packed_texts
 from strideline.llm.windows import anchor_places, window_hashes, window_starts
 
-#: A null doc_id takes part as the smallest of all.
-NO_ID = -(1 << 63)
 #: Contexts under one gram that a task compares at once; those of a larger group are dealt window by window.
 GROUP_ROWS = 40_000
 #: Windows that a task compares at once, about.
@@ -267,16 +266,6 @@ def byte_symbols(raw: bytes) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M3)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, packed) of (doc_id, text): what a join moves instead of plain texts."""
-
-    def make():
-        pack = zstandard.ZstdCompressor(level=3)
-        return lambda ids, texts: [[NO_ID if i is None else i for i in ids], [pack.compress((t or "").encode()) for t in texts]]
-
-    return arrow_flat(docs, ["doc_id", "text"], [("doc", "long"), ("packed", "binary")], make)
-
-
 def with_spans(docs: DataFrame, spans: DataFrame, fields: list[tuple[str, str]], row: Callable[[str, list], tuple]) -> DataFrame:
     """(doc_id, fields) of every document by `row(text, spans)`."""
 
