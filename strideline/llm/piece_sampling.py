@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from strideline.llm.common import M3, arrow_map, mix, unit
 
 #: Chunk lattices that a worker keeps; when full it starts anew (only speed depends on it).
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 160_000
 SPACE = "▁"
 #: Stands for the mark where a text spells it itself: a lone surrogate, which no valid text holds.
 _SPELLED = "\udc81"
 #: Characters that the table of pieces knows; chunks with others are looked up piece by piece.
-TRIE_CHARS = 112
+TRIE_CHARS = 208
 #: A longer chunk is cut, at places that don't depend on the batch.
 CHUNK_CHARS = 48
 
@@ -97,18 +97,21 @@ class Lattices:
                 at = rows[at][col]
             else:
                 ends[at] = number
-        self.child = np.zeros((len(rows), TRIE_CHARS), np.int32)
+        self.child = np.zeros((len(rows), TRIE_CHARS + 1), np.int32)  # the last column: characters of no piece
         for i, row in enumerate(rows):
             self.child[i, list(row)] = list(row.values())
         self.ends = np.array(ends, np.int64)
         self.columns = np.array(sorted(map(ord, self.column)), np.int64)
+        self.rare = np.array(sorted(ord(c) for c in set("".join(self.piece)) - set(common)), np.int64)
 
     def pieces_of(self, part: list[str], code: np.ndarray, span: int) -> np.ndarray:
         """[chunk, end, size - 1]: the piece of so many characters that ends there, or -1."""
         m, n = code.shape
         ids = np.full((m, n, span), -1, np.int64)
         at = np.minimum(np.searchsorted(self.columns, code), len(self.columns) - 1)
-        plain = (self.columns[at] == code).all(axis=1)
+        known = self.columns[at] == code
+        at = np.where(known, at, TRIE_CHARS)
+        plain = (known | (self.rare[np.minimum(np.searchsorted(self.rare, code), len(self.rare) - 1)] != code)).all(axis=1) if len(self.rare) else np.ones(m, bool)
         rows = np.nonzero(plain)[0]
         if len(rows):
             col, own = at[rows], np.full((len(rows), n, span), -1, np.int64)
@@ -128,7 +131,7 @@ class Lattices:
     def clear(self) -> None:
         self.chunks: dict[str, int] = {}
         self.nodes = 0
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # shares, back nodes, ids
+        self.parts: list[tuple[np.ndarray, ...]] = []  # shares, back nodes, ids, and each node's number of arcs
         self.frozen = None
 
     def add(self, chunks: list[str]) -> None:
@@ -168,16 +171,17 @@ class Lattices:
                 # The last arc of a node takes what rounding leaves.
                 last = span - 1 - np.argmax(there[:, :, ::-1], axis=2)
                 np.put_along_axis(share, last[:, :, None], 1.0, axis=2)
-                share = node + np.minimum(share, 1.0 - 1e-9)
-                self.parts.append((share[there], back[there], ids[there]))
+                self.parts.append((share[there], back[there], ids[there], there.sum(axis=2).ravel()))
                 self.chunks.update(zip(part, (self.nodes + n - 1 + n * np.arange(m)).tolist()))
                 self.nodes += m * n
         self.frozen = None
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """Shares, back nodes and ids of arcs, and the first arc of each node."""
         if self.frozen is None:
-            self.frozen = tuple(np.concatenate(p) for p in zip(*self.parts))
-            self.parts = [self.frozen]
+            self.parts = [tuple(np.concatenate(p) for p in zip(*self.parts))]
+            share, back, ids, count = self.parts[0]
+            self.frozen = share, back, ids, np.cumsum(count) - count
         return self.frozen
 
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
@@ -189,10 +193,10 @@ class Lattices:
         flat = [c for f in found for c in f]
         if not flat:
             return [np.zeros(0, np.int64) for _ in texts]
-        fresh = sorted(c for c in set(flat) if c not in self.chunks)
+        fresh = [c for c in set(flat) if c not in self.chunks]
         if fresh:
             self.add(fresh)
-        share, back, ids = self.arrays()
+        share, back, ids, first = self.arrays()
         at = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
         place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
         key = np.repeat(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64), count)
@@ -200,7 +204,11 @@ class Lattices:
         live, steps, owners = np.arange(len(at)), [], []
         while len(live):
             u = unit(mix(seed[live] + np.uint64(len(steps) + 1)))
-            arc = np.searchsorted(share, at[live] + u, side="left")
+            arc = first[at[live]]
+            open_ = np.nonzero(share[arc] < u)[0]
+            while len(open_):  # a node's last arc has share 1
+                arc[open_] += 1
+                open_ = open_[share[arc[open_]] < u[open_]]
             steps.append(arc)
             owners.append(live)
             at[live] = back[arc]
