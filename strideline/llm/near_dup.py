@@ -6,8 +6,10 @@ falls on one of k coordinates, and the earliest on each is kept: two documents k
 of their weighted Jaccard similarity. Bands of coordinates make buckets; candidates are verified exactly.
 
 Equal texts are one node. In a few rounds every node is held against one leader of its buckets (the one it meets most
-often) that isn't in its class yet; then the pairs of different classes that still share a bucket are all verified, so
-that a class is split only where no verified link joins it. Members of one class are never paired with each other.
+often) that isn't in its class yet. Then the pairs of different classes that share a small bucket are all verified. Nodes
+of crowded buckets meet by prefixes instead: the shingles of a node, rarest first, where two similar enough nodes must
+have a common one so early that the rest can still make up the similarity. That is exact for any order of shingles, so
+a class is split only where no verified link joins it. Members of one class are never paired with each other.
 
 Defined cases: null texts are alone in their class; equal texts are one class, empty ones too; a text of fewer than five
 words is one shingle; rows with the same doc_id are one document; a null doc_id has a null class; other columns pass
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import M1, M3, WORD, arrow_map, join_hash, mix, unit, written
+from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, unit, written
 from strideline.llm.components import components
 from strideline.llm.packed import packed_texts
 
@@ -35,6 +37,12 @@ BANDS, ROWS = 40, 6
 ROUNDS = 2
 #: Pairs whose signatures agree on less than this share (six deviations under the threshold's) aren't verified.
 AGREE = 0.64
+#: Nodes of a bucket that are paired; those of larger ones meet by prefixes.
+CROWD = 32
+#: Counters of shingles and their classes, whatever the data's size; shingles that share one cost time alone.
+COUNTERS = 1 << 20
+#: Sizes of one class differ by this factor at most.
+SIZE_STEP = 1.05
 #: Documents whose darts a task holds at once.
 SIGN_DOCS = 256
 #: Word hashes that a worker keeps.
@@ -204,6 +212,97 @@ def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where(F.col("similarity") >= SIMILARITY).select("u", "v")
 
 
+def size_bounds(most: int) -> np.ndarray:
+    """The smallest size of each size class, up to `most`."""
+    steps = int(np.log(max(most, 2)) / np.log(SIZE_STEP)) + 2
+    return np.unique(np.ceil(SIZE_STEP ** np.arange(steps)).astype(np.int64))
+
+
+def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+    """Common strips that sets of a and b strips need to be similar enough."""
+    return np.ceil((np.asarray(a) + b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).astype(np.int64)
+
+
+def prefix_rows(strips: np.ndarray, counts: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place, probe) of one node: what it is found by as the smaller of a pair, and what it looks for as the larger one.
+
+    A key is a strip and the size class of the smaller node. A larger node's prefix follows from the smallest size in
+    the class that it looks into, so it is no longer than a pair of these sizes needs. Strips that one class has to
+    itself (`alone`) keep their places but meet nobody.
+    """
+    n = len(strips)
+    at = (strips % np.uint64(COUNTERS)).astype(np.int64)
+    order = np.lexsort((strips, counts[at]))
+    ranked, meets = strips[order], ~alone[at[order]]
+    bounds = size_bounds(n)
+    own = int(np.searchsorted(bounds, n, side="right")) - 1
+    least = int(np.ceil(SIMILARITY * n - 1e-9))
+    first = max(0, int(np.searchsorted(bounds, least, side="right")) - 1)
+    reach = [(own, n - int(needed(n, n)) + 1, False)]
+    reach += [(q, n - int(needed(n, max(least, int(bounds[q])))) + 1, True) for q in range(first, own + 1)]
+    places = [np.nonzero(meets[:k])[0] for _, k, _ in reach]
+    keys = [join_hash(ranked[at], np.full(len(at), q, np.uint64)) for (q, _, _), at in zip(reach, places)]
+    return np.concatenate(keys), np.concatenate(places), np.repeat([p for _, _, p in reach], [len(at) for at in places])
+
+
+def strips_of(packed: list[bytes]) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    sets = [shingles(unpack.decompress(p).decode()) for p in packed]
+    return [occurrences(np.zeros(len(s), np.int64), s) for s in sets]
+
+
+def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
+    """(u, v) of the nodes (node, class) of different classes that may be similar enough by their prefixes."""
+    texts = written(crowd.join(slim.select("node", "packed"), "node"), "crowd")
+
+    def make_counts():
+        def run(cls: list, packed: list) -> list:
+            strips = strips_of(packed)
+            at = (np.concatenate(strips) % np.uint64(COUNTERS)).astype(np.int64)
+            owner = np.repeat(np.array(cls, np.int64), [len(s) for s in strips])
+            order = np.lexsort((owner, at))
+            at, owner = at[order], owner[order]
+            cut = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
+            n = np.diff(np.append(cut, len(at)))
+            return [at[cut], n, owner[cut], owner[cut + n - 1]]
+
+        return run
+
+    seen = arrow_flat(texts, ["class", "packed"], [("at", "long"), ("n", "long"), ("lo", "long"), ("hi", "long")], make_counts, by="packed", limit=1 << 20)
+    # COUNTERS rows at most, in 13 MB.
+    counted = seen.groupBy("at").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = counted.select(F.col("at").cast("int").alias("at"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), (F.col("lo") == F.col("hi")).alias("alone")).toPandas()
+    counts, alone = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, bool)
+    counts[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int32)
+    alone[counted["at"].to_numpy(np.int64)] = counted["alone"].to_numpy(bool)
+    shared = crowd.sparkSession.sparkContext.broadcast((counts, alone))
+
+    def make_rows():
+        def run(node: list, cls: list, packed: list) -> list:
+            strips = strips_of(packed)
+            rows = [prefix_rows(s, *shared.value) for s in strips]
+            size = [len(r[0]) for r in rows]
+            spread = lambda x: np.repeat(np.array(x, np.int64), size)
+            key, place, probe = (np.concatenate(x) for x in zip(*rows))
+            return [key.view(np.int64), spread(node), spread(cls), spread([len(s) for s in strips]), place, probe]
+
+        return run
+
+    fields = [("key", "long"), ("node", "long"), ("class", "long"), ("size", "long"), ("place", "long"), ("probe", "boolean")]
+    rows = arrow_flat(texts, ["node", "class", "packed"], fields, make_rows, by="packed", limit=1 << 18)
+    # Only keys that two classes have; members of a key's main class look for others alone.
+    main = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("asks"), F.min("probe").alias("all_ask"))
+    main = main.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("asks").alias("asks"), F.min("all_ask").alias("all_ask"))
+    main = main.where("classes > 1 and asks and not all_ask").select("key", "main")
+    rows = written(rows.join(main, "key").withColumn("in_main", F.col("class") == F.col("main")).drop("main"), "prefixes")
+    found = rows.where("not probe").select("key", F.col("in_main").alias("side"), F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("b"), F.col("place").alias("j"))
+    sides = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    asking = rows.where("probe").select("key", F.explode(sides).alias("side"), F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("a"), F.col("place").alias("i"))
+    fits = F.least(F.expr("a - i"), F.expr("b - j")) >= F.ceil(F.expr("a + b") * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
+    near = found.join(asking, ["key", "side"]).where("cu <> cv and b <= a").where(fits)
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, class) once the classes of linked nodes are one."""
     a = classes.select(F.col("node").alias("u"), F.col("class").alias("cu"))
@@ -237,11 +336,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
             met = held.join(lead, "key").where("class <> c").groupBy(F.col("node").alias("v"), F.col("leader").alias("u")).agg(F.count(F.lit(1)).alias("n"))
             pairs = met.groupBy("v").agg(F.max(F.struct("n", F.col("u"))).alias("b")).select(F.col("b.u").alias("u"), "v")
         else:
-            mixed = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-            rest = written(held.join(mixed, "key"), "mixed")
-            a = rest.select("key", F.col("node").alias("u"), F.col("class").alias("cu"))
-            b = rest.select("key", F.col("node").alias("v"), F.col("class").alias("cv"))
-            pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
+            mixed = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+            rest = written(held.join(mixed.select("key", (F.col("n") > CROWD).alias("crowded")), "key"), "mixed")
+            few = rest.where("not crowded")
+            a = few.select("key", F.col("node").alias("u"), F.col("class").alias("cu"))
+            b = few.select("key", F.col("node").alias("v"), F.col("class").alias("cv"))
+            pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v")
+            crowd = rest.where("crowded").select("node", "class").distinct()
+            pairs = pairs.unionByName(prefix_pairs(crowd, slim)).distinct()
         links = written(linked(pairs, slim), "links")
         if links.limit(1).count():
             classes = merged(classes, links)

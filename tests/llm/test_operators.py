@@ -315,7 +315,11 @@ def test_signatures():
         assert abs((sig[0] == sig[1]).mean() - keep / (800 - keep)) < 0.05
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("crowd, rounds", [(32, 2), (1, 0)])
+def test_near_duplicates(spark, monkeypatch, crowd, rounds):
+    """The second case leaves every pair to prefixes."""
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)]
     docs = []
@@ -347,6 +351,25 @@ def test_near_duplicates(spark):
     assert got == {d: find(d) for d in ids}
 
 
+def test_prefixes():
+    """Sets that are similar enough always meet, by a place and a size that allow for it."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 9, size=near_dup.COUNTERS)
+    for _ in range(300):
+        a = rng.choice(1 << 40, size=rng.integers(1, 120), replace=False).astype(np.uint64)
+        b = np.unique(np.concatenate([a[rng.integers(0, 1 + len(a) // 5) :], rng.integers(1 << 41, 1 << 42, size=rng.integers(0, 1 + len(a) // 8)).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        large, small = (a, b) if len(a) >= len(b) else (b, a)
+        alone = np.ones(near_dup.COUNTERS, bool)
+        alone[np.intersect1d(a, b).astype(np.int64) % near_dup.COUNTERS] = False
+        keys, places, probe = near_dup.prefix_rows(small, counts, alone)
+        held = dict(zip(keys[~probe].tolist(), places[~probe].tolist()))
+        keys, places, probe = near_dup.prefix_rows(large, counts, alone)
+        need = near_dup.needed(len(a), len(b))
+        met = any(k in held and min(len(large) - i, len(small) - held[k]) >= need for k, i, p in zip(keys.tolist(), places.tolist(), probe) if p)
+        assert met or common < 0.8 * (len(a) + len(b) - common) - 1e-9
+
+
 # ---- WARC
 
 
