@@ -2,7 +2,7 @@
 
 Windows repeated at one length alone are looked at in the next: 8 words at anchors, then a window's 35 with its
 neighbours' (up to 62), then the 35 words of each window that is still open; hashes of one length are made from two of
-half of it. The levels end when no candidate is left.
+half of it. There are these three levels, not a loop over any number of doublings.
 
 Defined cases: a null or empty text has no words; repeated rows with one doc_id are one document and each get its
 result; a text of fewer words than a window loses none; a null doc_id takes part and stays null; other columns are

@@ -1,11 +1,11 @@
-"""Suffix-array deduplication over bytes, by distributed prefix doubling.
-
-Positions are sorted with the ranks of what follows them at growing lengths: first by 32 bytes, at the anchors that stand
-for all positions near them, then by that rank and the rank of the anchor's whole context, then single positions by all
-100 bytes. Names that equal contents share stand for ranks, as only equality and the order of positions count: rows with
-one name lie together once sorted, the earliest first. A position whose rank is unique drops out, and so does one that
-has passed the threshold, whose name at 100 bytes an earlier position shares. Names are 64-bit hashes, and positions
-are compared only under equal names of both levels.
+"""Suffix-array deduplication over bytes, with prefix doubling thinned to anchors.
+
+Ranking every byte position at doubled offsets shuffles a row for each byte in each round, so this isn't prefix doubling
+in full (see the README). Three levels of growing length stand in for its rounds: 32 bytes at anchors that stand for all
+positions near them, then the anchor's whole context, then the 100 bytes of single positions. 64-bit hashes serve as
+ranks, as only equality and the order of positions count: rows with one hash lie together once sorted, the earliest
+first. A position whose hash is unique drops out, and so does one whose 100 bytes an earlier position shares. No suffix
+array is produced.
 
 Defined cases: a null or empty text has no bytes; repeated rows with one doc_id are one document and each get its result;
 a null doc_id counts as the smallest; other columns pass through untouched in `trimmed`, where bytes that a cut leaves of
