@@ -5,21 +5,37 @@ from __future__ import annotations
 import zlib
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 GZIP = b"\x1f\x8b"
 
 
+def raw_head(spark: SparkSession, path: str, n: int) -> bytes:
+    """Up to n first bytes of the file, or of a folder's or pattern's first one; no more than these are read."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = list(store.globStatus(root) or [])
+    if not found:
+        raise FileNotFoundError(path)
+    if found[0].isDirectory():
+        found = [f for f in store.listStatus(found[0].getPath()) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    if not found:
+        return b""
+    stream = store.open(found[0].getPath())
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, found[0].getLen())))
+    finally:
+        stream.close()
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 256) -> bytes:
     """The first bytes of a file's text, unpacked if gzip packed it, whatever its name."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, max(n, 1 << 16)).alias("head")).first()
-    raw = bytes(row["head"]) if row and row["head"] else b""
+    raw = raw_head(spark, path, max(n, 1 << 16))
     return (zlib.decompressobj(31).decompress(raw, n) if raw[:2] == GZIP else raw)[:n]
 
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("head")).first()
-    return bool(row) and bytes(row["head"] or b"") == GZIP
+    return raw_head(spark, path, 2) == GZIP
 
 
 def is_xml(spark: SparkSession, path: str) -> bool:
