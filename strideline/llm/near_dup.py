@@ -12,8 +12,8 @@ have a common one so early that the rest can still make up the similarity. That
 a class is split only where no verified link joins it. Members of one class are never paired with each other.
 
 Defined cases: null texts are alone in their class; equal texts are one class, empty ones too; a text of fewer than five
-words is one shingle; rows with the same doc_id are one document; a null doc_id has a null class; other columns pass
-through untouched in `kept`.
+words is one shingle; rows with one doc_id and one text are one document, one doc_id with several texts is a document for
+each; a null doc_id has a null class; other columns pass through untouched in `kept`.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, unit, written
 from strideline.llm.components import components
-from strideline.llm.packed import packed_texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million.
@@ -147,12 +146,31 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / whole if whole else 0.0
 
 
+def text_hashes(texts: list[str | None]) -> tuple[list, list]:
+    """The two halves of each text's hash, as signed numbers."""
+    hashes = [None if t is None else xxhash.xxh3_128_intdigest(t.encode()) for t in texts]
+    half = (1 << 64) - 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return [None if h is None else signed(h & half) for h in hashes], [None if h is None else signed(h >> 64) for h in hashes]
+
+
+def packed_by_hash(docs: DataFrame) -> DataFrame:
+    """(first, h1, h2, packed) of (doc_id, text)."""
+
+    def make():
+        pack = zstandard.ZstdCompressor(level=3)
+        return lambda ids, texts: [ids, *text_hashes(texts), [pack.compress(t.encode()) for t in texts]]
+
+    plain = docs.where("doc_id is not null and text is not null")
+    return arrow_flat(plain, ["doc_id", "text"], [("first", "long"), ("h1", "long"), ("h2", "long"), ("packed", "binary")], make)
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, keys, sig) of (doc_id, text): the text's hash, bucket keys, and one byte of each coordinate."""
+    """(doc_id, h, h1, h2, keys, sig) of (doc_id, text): a hash for joins, the text's hash, bucket keys, and one byte of each coordinate."""
 
     def make():
         def run(texts: list) -> list:
-            hashes = [xxhash.xxh3_128_intdigest(t.encode()) if t is not None else 0 for t in texts]
+            h1, h2 = text_hashes(texts)
             sets = [shingles(t) if t else np.zeros(0, np.uint64) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(texts)
@@ -163,16 +181,12 @@ def prepared(docs: DataFrame) -> DataFrame:
                 low = (sig & np.uint64(255)).astype(np.uint8)
                 for i, k, s in zip(part, band_keys(sig).view(np.int64), low):
                     keys[i], sigs[i] = k, s.tobytes()
-            half = (1 << 64) - 1
-            signed = lambda v: v - (1 << 64) if v >> 63 else v
-            h1 = [None if t is None else signed(h & half) for t, h in zip(texts, hashes)]
-            h2 = [None if t is None else signed(h >> 64) for t, h in zip(texts, hashes)]
             return [h1, h2, keys, sigs]
 
         return run
 
     fields = [("h1", "long"), ("h2", "long"), ("keys", "array<long>"), ("sig", "binary")]
-    return arrow_map(docs, ["doc_id"], ["text"], fields, make, limit=2 << 20)
+    return arrow_map(docs.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], ["text"], fields, make, limit=2 << 20)
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
@@ -313,19 +327,21 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of (doc_id, text): the class is named by its smallest doc_id."""
+    """(doc_id, h, class_id, leads) of (doc_id, text): the class is named by its smallest doc_id; one text of that leads it."""
     rows = written(prepared(docs), "signatures")
     named = rows.where("doc_id is not null and h1 is not null")
-    texts = written(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "texts")
-    carrier = named.join(texts, ["h1", "h2"]).where("doc_id = node").dropDuplicates(["node"]).where("keys is not null")
+    # A text is a node, numbered by its smallest doc_id or, where that is the smallest of several texts, by their hashes.
+    firsts = written(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "firsts")
+    several = written(firsts.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first", F.lit(True).alias("several")), "several")
+    texts = written(firsts.join(several, "first", "left").select("h1", "h2", "first", F.when(F.col("several"), F.xxhash64("h1", "h2")).otherwise(F.col("first")).alias("node")), "texts")
+    carrier = named.join(texts, ["h1", "h2"]).where("doc_id = first").dropDuplicates(["node"]).where("keys is not null")
     nodes = written(carrier.select("node", "sig", "keys"), "nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     busy = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = written(buckets.join(busy, "key"), "buckets")  # nodes alone in a bucket go at once
-    met_any = buckets.select("node").distinct()
-    texts_of = packed_texts(docs).withColumnRenamed("doc", "node").join(met_any, "node", "left_semi").dropDuplicates(["node"])
+    met_any = texts.join(buckets.select("node").distinct(), "node")
+    texts_of = packed_by_hash(docs).join(met_any, ["first", "h1", "h2"]).select("node", "packed").dropDuplicates(["node"])
     slim = written(nodes.select("node", "sig").join(texts_of, "node"), "candidates")
-    # Rows with one doc_id are one document: its texts' nodes are the same, so they fall together by name.
     classes = written(nodes.select("node", F.col("node").alias("class")), "classes")
     for turn in range(ROUNDS + 1):
         held = buckets.join(classes, "node")
@@ -347,17 +363,21 @@ def classes_of(docs: DataFrame) -> DataFrame:
         links = written(linked(pairs, slim), "links")
         if links.limit(1).count():
             classes = merged(classes, links)
-    named_class = texts.join(classes, "node", "left").select("h1", "h2", F.coalesce("class", "node").alias("class_id"))
-    placed = rows.select("doc_id", "h1", "h2").join(named_class, ["h1", "h2"], "left")
-    return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    members = texts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    leader = members.groupBy("class").agg(F.min(F.struct("first", "node")).alias("l"))
+    named_class = members.join(leader, "class").select("h1", "h2", F.col("l.first").alias("class_id"), (F.col("node") == F.col("l.node")).alias("leads"))
+    placed = rows.select("doc_id", "h", "h1", "h2").join(named_class, ["h1", "h2"], "left")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return placed.select("doc_id", "h", class_id.alias("class_id"), (F.coalesce("leads", F.lit(True)) & (F.col("doc_id") == class_id)).alias("leads"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return classes_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    return classes_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "class_id")
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that of the smallest doc_id, with all its columns; rows without doc_id stay."""
-    first = near_duplicates(docs, doc_id, text).where("doc_id = class_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    first = first.unionByName(docs.sparkSession.createDataFrame([(None,)], "_first_id long"))
-    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_first_id")), "left_semi")
+    found = classes_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    first = found.where("leads").select(F.col("doc_id").alias("_first_id"), F.col("h").alias("_first_hash")).distinct()
+    named = docs.join(first, (F.col(doc_id).cast("long") == F.col("_first_id")) & (F.xxhash64(F.col(text)) == F.col("_first_hash")), "left_semi")
+    return named.unionByName(docs.where(F.col(doc_id).cast("long").isNull()))

@@ -28,8 +28,9 @@ GROUP_ROWS = 40_000
 #: Windows that a task compares at once, about.
 BATCH_WINDOWS = 1_000_000
 
-_ANCHOR = [("g", "long"), ("f", "long"), ("doc", "long"), ("lo", "int"), ("na", "int"), ("twins", "array<long>")]
-_FOUND = "kind int, g long, doc long, lo int, na int"
+#: A document is (doc, sub), see `packed.keyed`.
+_ANCHOR = [("g", "long"), ("f", "long"), ("doc", "long"), ("sub", "long"), ("lo", "int"), ("na", "int"), ("twins", "array<long>")]
+_FOUND = "kind int, g long, doc long, sub long, lo int, na int"
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,8 @@ class Repeats:
 
     # ---- level 1 and 2: one row for each anchor ----
 
-    def anchors(self, docs: list[int], texts: list[str | None]) -> list:
-        """Columns of _ANCHOR for a slice: gram, context, place, and twins (doc, place, size) with the same context."""
+    def anchors(self, docs: list[int], subs: list[int], texts: list[str | None]) -> list:
+        """Columns of _ANCHOR for a slice: gram, context, place, and twins (doc, sub, place) with the same context."""
         parts = [self.symbols(t or "") for t in texts]
         lengths = np.array([len(p) for p in parts])
         base = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -66,10 +67,10 @@ class Repeats:
         g = gram[at]
         f = join_hash(join_hash(whole[low], whole[high]), na.astype(np.uint64))
         text = np.searchsorted(np.cumsum(lengths), low, side="right")
-        doc = np.array([NO_ID if d is None else d for d in docs], np.int64)[text]
+        doc, sub = np.array(docs, np.int64)[text], np.array(subs, np.int64)[text]
         lo = low - (np.cumsum(lengths) - lengths)[text]
-        order = np.lexsort((lo, doc, f, g))
-        g, f, doc, lo, na = g[order], f[order], doc[order], lo[order], na[order]
+        order = np.lexsort((lo, sub, doc, f, g))
+        g, f, doc, sub, lo, na = g[order], f[order], doc[order], sub[order], lo[order], na[order]
         lead = np.ones(len(g), bool)
         lead[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
         head = np.nonzero(lead)[0]
@@ -77,26 +78,26 @@ class Repeats:
         twins: list = [None] * len(head)
         for k in np.nonzero(size > 1)[0].tolist():
             a, b = head[k] + 1, head[k] + size[k]
-            twins[k] = np.stack([doc[a:b], lo[a:b]], axis=1).ravel()
+            twins[k] = np.stack([doc[a:b], sub[a:b], lo[a:b]], axis=1).ravel()
         signed = lambda x: x[head].view(np.int64)
-        return [signed(g), signed(f), doc[head], lo[head].astype(np.int32), na[head].astype(np.int32), twins]
+        return [signed(g), signed(f), doc[head], sub[head], lo[head].astype(np.int32), na[head].astype(np.int32), twins]
 
     def settled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by (g, f, doc, lo): kind 0 is a context that repeats, kind 1 one of several contexts of a gram.
+        """Over rows sorted by (g, f, doc, sub, lo): kind 0 is a context that repeats, kind 1 one of several contexts of a gram.
 
         State between rows: the last class's first row and if it has come out, and if its gram has come out as mixed.
         """
-        last: tuple | None = None  # (g, f, doc, lo, na) of the first row of the class at hand
+        last: tuple | None = None  # (g, f, doc, sub, lo, na) of the first row of the class at hand
         told = mixed = False  # the class's first row came out as kind 0; the gram's pending class came out as kind 1
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            twins = batch.column(5)
-            g, f, doc, lo, na = cols
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            twins = batch.column(6)
+            g, f, doc, sub, lo, na = cols
             m = len(g)
             if not m:
                 continue
             out: list[list] = []
-            previous = last or (None,) * 5
+            previous = last or (None,) * 6
             new_g, new_f = np.ones(m, bool), np.ones(m, bool)
             new_g[1:] = g[1:] != g[:-1]
             new_g[0] = previous[0] is None or g[0] != previous[0]
@@ -107,30 +108,30 @@ class Repeats:
             cls = np.cumsum(new_f) - 1
             if len(heads):
                 safe = np.maximum(cls, 0)
-                fdoc, flo = doc[heads][safe], lo[heads][safe]
+                fdoc, fsub, flo = doc[heads][safe], sub[heads][safe], lo[heads][safe]
             else:
-                fdoc, flo = np.zeros(m, np.int64), np.zeros(m, np.int32)
+                fdoc, fsub, flo = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int32)
             if last is not None:
-                fdoc, flo = np.where(cls < 0, last[2], fdoc), np.where(cls < 0, last[3], flo)
-            other = (doc != fdoc) | (lo != flo)
+                fdoc, fsub, flo = np.where(cls < 0, last[2], fdoc), np.where(cls < 0, last[3], fsub), np.where(cls < 0, last[4], flo)
+            other = (doc != fdoc) | (sub != fsub) | (lo != flo)
             rows = np.nonzero(other)[0]
-            out.append([np.zeros(len(rows), int), g[rows], doc[rows], lo[rows], na[rows]])
+            out.append([np.zeros(len(rows), int), g[rows], doc[rows], sub[rows], lo[rows], na[rows]])
             has_twins = np.nonzero(np.asarray(twins.is_valid()))[0]
             twin_first = set()
             for r in has_twins.tolist():
-                pairs = np.array(twins[r].as_py(), np.int64).reshape(-1, 2)
-                pairs = pairs[(pairs[:, 0] != fdoc[r]) | (pairs[:, 1] != flo[r])]
+                pairs = np.array(twins[r].as_py(), np.int64).reshape(-1, 3)
+                pairs = pairs[(pairs[:, 0] != fdoc[r]) | (pairs[:, 1] != fsub[r]) | (pairs[:, 2] != flo[r])]
                 if len(pairs):
                     twin_first.add(int(cls[r]))
                     k = len(pairs)
-                    out.append([np.zeros(k, int), np.full(k, g[r]), pairs[:, 0], pairs[:, 1], np.full(k, na[r])])
+                    out.append([np.zeros(k, int), np.full(k, g[r]), pairs[:, 0], pairs[:, 1], pairs[:, 2], np.full(k, na[r])])
             if not self.earlier:
                 repeat = set(cls[rows].tolist()) | twin_first
                 if -1 in repeat and not told:
-                    out.append([np.array([0]), *(np.array([v]) for v in (last[0], last[2], last[3], last[4]))])
+                    out.append([np.array([0]), *(np.array([v]) for v in (last[0], *last[2:]))])
                     told = True
                 at = heads[sorted(c for c in repeat if c >= 0)] if repeat else heads[:0]
-                out.append([np.zeros(len(at), int), g[at], doc[at], lo[at], na[at]])
+                out.append([np.zeros(len(at), int), g[at], doc[at], sub[at], lo[at], na[at]])
                 told_last = (len(heads) - 1) in repeat
             # Classes of grams that have several.
             if len(heads):
@@ -139,32 +140,32 @@ class Repeats:
                 if not new_g[0]:
                     count[0] += 1
                     if count[0] > 1 and not mixed:
-                        out.append([np.array([1]), *(np.array([v]) for v in (last[0], last[2], last[3], last[4]))])
+                        out.append([np.array([1]), *(np.array([v]) for v in (last[0], *last[2:]))])
                 at = heads[count[group] > 1]
-                out.append([np.ones(len(at), int), g[at], doc[at], lo[at], na[at]])
+                out.append([np.ones(len(at), int), g[at], doc[at], sub[at], lo[at], na[at]])
                 mixed = bool(count[group[-1]] > 1)
                 h = heads[-1]
-                last = (g[h], f[h], doc[h], lo[h], na[h])
+                last = (g[h], f[h], doc[h], sub[h], lo[h], na[h])
                 told = False if self.earlier else told_last
-            columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(5)]
+            columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(6)]
             if len(columns[0]):
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["kind", "g", "doc", "lo", "na"])
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["kind", "g", "doc", "sub", "lo", "na"])
 
     # ---- level 3: single windows ----
 
-    def contexts(self, docs: list[int], packed: list[bytes], reps: list[list]) -> list:
-        """Rows (g, doc, lo, na, ctx) of the anchors that each text was asked for."""
+    def contexts(self, docs: list[int], subs: list[int], packed: list[bytes], reps: list[list]) -> list:
+        """Rows (g, doc, sub, lo, na, ctx) of the anchors that each text was asked for."""
         unpack = zstandard.ZstdDecompressor()
-        g, doc, lo, na, ctx = [], [], [], [], []
-        for d, z, wanted in zip(docs, packed, reps):
+        g, doc, sub, lo, na, ctx = [], [], [], [], [], []
+        for d, s, z, wanted in zip(docs, subs, packed, reps):
             raw = unpack.decompress(z)
             whole = None if self.raw else window_hashes(self.symbols(raw.decode()), [self.window])[self.window]
             for r in wanted:
                 a, n = r["lo"], r["na"] >> 16
-                g.append(r["g"]), doc.append(d), lo.append(a), na.append(r["na"])
+                g.append(r["g"]), doc.append(d), sub.append(s), lo.append(a), na.append(r["na"])
                 ctx.append(raw[a : a + n - 1 + self.window] if self.raw else whole[a : a + n].tobytes())
-        return [g, doc, lo, na, ctx]
+        return [g, doc, sub, lo, na, ctx]
 
     def flat_windows(self, n: np.ndarray, ctx: list[bytes]) -> np.ndarray:
         """Hashes of all windows of the contexts, row after row."""
@@ -174,18 +175,18 @@ class Repeats:
         base = byte_symbols(joined)
         return window_hashes(base, [self.window])[self.window][window_starts(n - 1 + self.window, self.window)]
 
-    def compared(self, g: np.ndarray, doc: np.ndarray, lo: np.ndarray, na: np.ndarray, ctx: list[bytes]) -> list[np.ndarray]:
-        """(doc, from, to) of what repeated windows cover, of whole groups sorted by (g, doc, lo)."""
+    def compared(self, g: np.ndarray, doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, na: np.ndarray, ctx: list[bytes]) -> list[np.ndarray]:
+        """(doc, sub, from, to) of what repeated windows cover, of whole groups sorted by (g, doc, sub, lo)."""
         n = (na >> 16).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         start = np.repeat(lo.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         key = join_hash(self.flat_windows(n, ctx), g.view(np.uint64)[row])
         order = np.argsort(key, kind="stable")
-        k, d, s = key[order], doc[row][order], start[order]
+        k, d, e, s = key[order], doc[row][order], sub[row][order], start[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        other = (d != d[head]) | (s != s[head])
+        other = (d != d[head]) | (e != e[head]) | (s != s[head])
         if not self.earlier:
             run = np.cumsum(new) - 1
             other = np.bincount(run, weights=other, minlength=int(run[-1]) + 1)[run] > 0
@@ -193,9 +194,9 @@ class Repeats:
         hit[order] = other
         rows, at = row[hit], start[hit]
         if not len(rows):
-            return [np.zeros(0, np.int64)] * 3
+            return [np.zeros(0, np.int64)] * 4
         cut = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0]
-        return [doc[rows[cut]], np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut) + self.window]
+        return [doc[rows[cut]], sub[rows[cut]], np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut) + self.window]
 
     def fine(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """`compared` over a sorted stream, in batches of whole groups."""
@@ -204,10 +205,10 @@ class Repeats:
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if table.num_rows:
-                g, doc, lo, na = (table.column(c).to_numpy() for c in ("g", "doc", "lo", "na"))
-                out = self.compared(g, doc, lo, na, table.column("ctx").to_pylist())
+                g, doc, sub, lo, na = (table.column(c).to_numpy() for c in ("g", "doc", "sub", "lo", "na"))
+                out = self.compared(g, doc, sub, lo, na, table.column("ctx").to_pylist())
                 if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=["doc", "a", "z"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=["doc", "sub", "a", "z"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 8192):
@@ -221,41 +222,41 @@ class Repeats:
                 yield from done(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
                 rows = table.num_rows - cut
-        yield from done(pa.Table.from_batches(held) if held else pa.table({c: [] for c in ("g", "doc", "lo", "na", "ctx")}))
+        yield from done(pa.Table.from_batches(held) if held else pa.table({c: [] for c in ("g", "doc", "sub", "lo", "na", "ctx")}))
 
-    def single(self, g: list, doc: list, lo: list, na: list, ctx: list) -> list:
+    def single(self, g: list, doc: list, sub: list, lo: list, na: list, ctx: list) -> list:
         """The windows of contexts of very large groups as anchor rows of their own."""
         n = np.array(na, np.int64) >> 16
         row = np.repeat(np.arange(len(n)), n)
         start = np.repeat(np.array(lo, np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         h = self.flat_windows(n, ctx)
         key = join_hash(h, np.array(g, np.int64).view(np.uint64)[row]).view(np.int64)
-        return [key, mix(h + M3).view(np.int64), np.array(doc, np.int64)[row], start.astype(np.int32), np.full(len(row), 1 << 16, np.int32), [None] * len(row)]
+        return [key, mix(h + M3).view(np.int64), np.array(doc, np.int64)[row], np.array(sub, np.int64)[row], start.astype(np.int32), np.full(len(row), 1 << 16, np.int32), [None] * len(row)]
 
     # ---- the whole ----
 
     def spans(self, docs: DataFrame) -> DataFrame:
-        """(doc, spans): for each document with repeated windows what they cover, as (a, z) in symbols."""
+        """(doc, sub, spans) of (doc, sub, text): for each document with repeated windows what they cover, as (a, z) in symbols."""
         n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        sort = ("g", "f", "doc", "lo")
-        rows = arrow_flat(docs, ["doc_id", "text"], _ANCHOR, lambda: self.anchors, limit=1 << 20)
+        sort = ("g", "f", "doc", "sub", "lo")
+        rows = arrow_flat(docs, ["doc", "sub", "text"], _ANCHOR, lambda: self.anchors, limit=1 << 20)
         found = written(rows.repartition(n, "g").sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND), "contexts")
-        reps = found.where("kind = 1").select("g", "doc", "lo", "na")
+        reps = found.where("kind = 1").select("g", "doc", "sub", "lo", "na")
         texts = packed_texts(docs)
-        asked = reps.groupBy("doc").agg(F.collect_list(F.struct("g", "lo", "na")).alias("reps"))
-        joined = texts.join(asked, "doc")
-        fields = [("g", "long"), ("doc", "long"), ("lo", "int"), ("na", "int"), ("ctx", "binary")]
-        ctx = arrow_flat(joined, ["doc", "packed", "reps"], fields, lambda: self.contexts, by="packed", limit=1 << 20)
+        asked = reps.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", "lo", "na")).alias("reps"))
+        joined = texts.join(asked, ["doc", "sub"])
+        fields = [("g", "long"), ("doc", "long"), ("sub", "long"), ("lo", "int"), ("na", "int"), ("ctx", "binary")]
+        ctx = arrow_flat(joined, ["doc", "sub", "packed", "reps"], fields, lambda: self.contexts, by="packed", limit=1 << 20)
         large = written(reps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("g"), "large")
-        settled = found.where("kind = 0").select("doc", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.shiftright("na", 16) - 1 + self.window).alias("z"))
+        settled = found.where("kind = 0").select("doc", "sub", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.shiftright("na", 16) - 1 + self.window).alias("z"))
         if large.limit(1).count():
             ctx = written(ctx, "windows")
             hot = arrow_flat(ctx.join(large, "g", "left_semi"), [c for c, _ in fields], _ANCHOR, lambda: self.single, by="ctx", limit=1 << 20)
             hot = hot.repartition(n, "g").sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND).where("kind = 0")
-            settled = settled.unionByName(hot.select("doc", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + self.window).alias("z")))
+            settled = settled.unionByName(hot.select("doc", "sub", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + self.window).alias("z")))
             ctx = ctx.join(large, "g", "left_anti")
-        fine = ctx.repartition(n, "g").sortWithinPartitions("g", "doc", "lo").mapInArrow(self.fine, "doc long, a long, z long")
-        return settled.unionByName(fine).groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+        fine = ctx.repartition(n, "g").sortWithinPartitions("g", "doc", "sub", "lo").mapInArrow(self.fine, "doc long, sub long, a long, z long")
+        return settled.unionByName(fine).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def byte_symbols(raw: bytes) -> np.ndarray:
@@ -267,16 +268,17 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M3)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, fields: list[tuple[str, str]], row: Callable[[str, list], tuple]) -> DataFrame:
-    """(doc_id, fields) of every document by `row(text, spans)`."""
+    """(doc_id, sub, fields) of every row (doc, sub, text) by `row(text, spans)`."""
 
     def make():
         unpack = zstandard.ZstdDecompressor()
 
-        def run(ids: list, packed: list, found: list) -> list:
+        def run(docs: list, subs: list, packed: list, found: list) -> list:
             rows = [row(unpack.decompress(z).decode(), [(s["a"], s["z"]) for s in f or []]) for z, f in zip(packed, found)]
-            return [[None if i == NO_ID else i for i in ids], *(zip(*rows) if rows else [[] for _ in fields])]
+            ids = [None if d == NO_ID and s > 0 else d for d, s in zip(docs, subs)]
+            return [ids, subs, *(zip(*rows) if rows else [[] for _ in fields])]
 
         return run
 
-    joined = packed_texts(docs).join(spans, "doc", "left")
-    return arrow_flat(joined, ["doc", "packed", "spans"], [("doc_id", "long"), *fields], make, by="packed", limit=1 << 20)
+    joined = packed_texts(docs).join(spans, ["doc", "sub"], "left")
+    return arrow_flat(joined, ["doc", "sub", "packed", "spans"], [("doc_id", "long"), ("sub", "long"), *fields], make, by="packed", limit=1 << 20)

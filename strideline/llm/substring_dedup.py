@@ -4,9 +4,9 @@ Windows repeated at one length alone are looked at in the next: 8 words at ancho
 neighbours' (up to 62), then the 35 words of each window that is still open; hashes of one length are made from two of
 half of it. There are these three levels, not a loop over any number of doublings.
 
-Defined cases: a null or empty text has no words; repeated rows with one doc_id are one document and each get its
-result; a text of fewer words than a window loses none; a null doc_id takes part and stays null; other columns are
-ignored.
+Defined cases: a null or empty text has no words; rows with one doc_id and one text are one document and each get
+its result, one doc_id with several texts is a document for each; a text of fewer words than a window loses none; each row
+with a null doc_id is a document of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm.common import WORD
 from strideline.llm.near_dup import word_hashes
+from strideline.llm.packed import keyed
 from strideline.llm.repeats import Repeats, with_spans
 from strideline.llm.windows import intervals
 
@@ -45,7 +46,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], int, int]:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document; with `texts`, the kept words as `kept` too."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = keyed(docs.select(doc_id, text), doc_id, text).select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
     fields = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string")]
     fields = fields if texts else fields[:-1]
 
@@ -54,4 +55,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id
         joined = " ".join(kept)
         return (n, removed, hashlib.sha256(joined.encode()).hexdigest(), joined)[: len(fields)]
 
-    return with_spans(plain, repeated_words(window, gram).spans(plain), fields, row)
+    return with_spans(plain, repeated_words(window, gram).spans(plain), fields, row).drop("sub")

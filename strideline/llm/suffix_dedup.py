@@ -7,8 +7,9 @@ ranks, as only equality and the order of positions count: rows with one hash lie
 first. A position whose hash is unique drops out, and so does one whose 100 bytes an earlier position shares. No suffix
 array is produced.
 
-Defined cases: a null or empty text has no bytes; repeated rows with one doc_id are one document and each get its result;
-a null doc_id counts as the smallest; other columns pass through untouched in `trimmed`, where bytes that a cut leaves of
+Defined cases: a null or empty text has no bytes; rows with one doc_id and one text are one document and each get its
+result; one doc_id with several texts is a document for each, in the order of their hashes; a null doc_id counts as the
+smallest and each row with one is a document of its own, in the order of the table; other columns pass through untouched in `trimmed`, where bytes that a cut leaves of
 a character go with it.
 """
 
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.llm.packed import NO_ID, keyed
 from strideline.llm.repeats import Repeats, byte_symbols, with_spans
 from strideline.llm.windows import intervals
 
@@ -48,24 +50,25 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = keyed(docs.select(doc_id, text), doc_id, text).select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
 
     def row(t: str, spans: list) -> tuple:
         kept, n, removed, runs = cut(t, spans)
         return n, removed, runs, hashlib.sha256(kept).hexdigest()
 
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
-    return with_spans(plain, repeated_bytes(window, gram).spans(plain), fields, row)
+    return with_spans(plain, repeated_bytes(window, gram).spans(plain), fields, row).drop("sub")
 
 
 def trimmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with what repeats earlier bytes cut from their texts, and n_chars, if there is one, counted anew."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keys = keyed(docs, doc_id, text)
+    plain = keys.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
     spans = repeated_bytes(window, gram).spans(plain)
     new = with_spans(plain, spans, [("_kept_text", "string")], lambda t, s: (cut(t, s)[0].decode("utf-8", "ignore"),))
-    new = new.withColumnRenamed("doc_id", "_kept_id").dropDuplicates(["_kept_id"])
-    rest = docs.select(*(F.when(F.col(text).isNull(), F.lit(True)).alias("_null_text") if c == text else F.col(c) for c in docs.columns))
-    joined = rest.join(new, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id")), "left")
+    new = new.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("sub").alias("_sub"), "_kept_text").dropDuplicates(["_doc", "_sub"])
+    rest = keys.select("_doc", "_sub", *(F.when(F.col(text).isNull(), F.lit(True)).alias("_null_text") if c == text else F.col(c) for c in docs.columns))
+    joined = rest.join(new, ["_doc", "_sub"], "left")
     kept = F.when(F.col("_null_text").isNull(), F.col("_kept_text"))
     out = {text: kept} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

@@ -305,6 +305,45 @@ def test_substring_dedup(spark, monkeypatch, letters, limit):
 # ---- near duplicates
 
 
+def test_documents_of_one_id(spark):
+    """Several texts, equal and differing, under a null id and under one id."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = make(60)
+    texts = [make(90) + shared, shared + make(10), make(30) + shared + make(50), "short", None, ""]
+    rows = [(None, t) for t in [*texts, texts[0], texts[0]]] + [(7, t) for t in [texts[2], make(80), make(40) + shared, None, texts[2]]] + [(8, texts[1])]
+    docs = spark.createDataFrame([(*r, f"row {i}") for i, r in enumerate(rows)], "doc_id long, text string, source string").repartition(1).sortWithinPartitions("source")
+    # Null ids in the order of the table, texts of one id in that of their hashes; equal texts of one id are one document.
+    hashed = dict(docs.select("source", F.xxhash64("text")).collect())
+    place = {i: n for n, i in enumerate(sorted(range(len(rows)), key=lambda i: f"row {i}"))}
+    keys = {i: (0, place[i]) if d is None else (d, -(hashed[f"row {i}"] % (1 << 64) >> 1)) for i, (d, _) in enumerate(rows)}
+    names = {k: n for n, k in enumerate(sorted(set(keys.values())))}
+    want = brute_bytes({names[keys[i]]: rows[i][1] for i in range(len(rows))}.items(), 20)
+    got = Counter(map(tuple, suffix_dedup.deduplicated(docs, 20, 7).collect()))
+    assert got == Counter((rows[i][0], *want[names[keys[i]]]) for i in range(len(rows)))
+    seen = {r["source"]: r["text"] for r in suffix_dedup.trimmed(docs, 20, 7).collect()}
+    assert len(seen) == len(rows)
+    for i, (_, t) in enumerate(rows):
+        kept = seen[f"row {i}"]
+        assert kept is None if t is None else hashlib.sha256(kept.encode()).hexdigest() == want[names[keys[i]]][3]
+    spaced = docs.withColumn("text", F.array_join(F.split("text", ""), " "))
+    want = brute_words([(names[keys[i]], rows[i][1] and " ".join(rows[i][1])) for i in range(len(rows))], 9)
+    got = Counter(map(tuple, substring_dedup.deduplicated(spaced, 9, 3).collect()))
+    assert got == Counter((rows[i][0], *want[names[keys[i]]]) for i in range(len(rows)))
+
+
+def test_near_duplicates_of_one_id(spark):
+    rng = random.Random(4)
+    base, other, third = (rng.choices([f"w{i}" for i in range(300)], k=150) for _ in range(3))
+    text = lambda words, last: " ".join([*words[:-1], last])
+    rows = [(5, text(base, "a")), (5, text(other, "a")), (3, text(other, "b")), (9, text(base, "b")), (6, text(third, "a")), (6, text(third, "b")), (6, text(third, "b")), (None, text(base, "a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, near_dup.near_duplicates(docs).collect()))
+    assert got == Counter([(5, 5), (5, 3), (3, 3), (9, 5), (6, 6), (6, 6), (6, 6), (None, None)])
+    kept = Counter(map(tuple, near_dup.kept(docs).collect()))
+    assert kept in [Counter([rows[0], rows[2], rows[7], *third_]) for third_ in ([rows[4]], [rows[5]] * 2)]
+
+
 def test_signatures():
     rng = np.random.default_rng(0)
     base = rng.integers(1 << 60, size=400).astype(np.uint64)
