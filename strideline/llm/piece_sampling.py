@@ -4,6 +4,8 @@ A text's pieces never reach past a word's start mark, so its lattice falls apart
 forward filter sums the weights of all ways to every place, once; the arcs that end at a place get cumulative shares of
 what flows through them. Backward sampling then walks all chunks of a slice of texts at once, choosing each arc by a
 hash of the row's key, the chunk's place in the text and the step: the same key gives the same segmentation anywhere.
+A chunk may be as long as its text. Of a long one only the forward weights are kept; its arcs are found block by block,
+forward and once more on the way back, over the edges of blocks, so that its time is linear and its arcs take one block.
 
 The weight of a piece is exp(alpha * score), as its model file scores it. Characters that no piece spells are spelled by
 byte pieces, so that decoding gives back every text.
@@ -28,15 +30,18 @@ from strideline.llm.common import M3, arrow_map, mix, unit
 
 #: Chunk lattices that a worker keeps; when full it starts anew (only speed depends on it).
 CACHE_CHUNKS = 160_000
+#: As many places of theirs, at most.
+CACHE_NODES = 2_000_000
 SPACE = "▁"
 #: Stands for the mark where a text spells it itself: a lone surrogate, which no valid text holds.
 _SPELLED = "\udc81"
 #: Characters that the table of pieces knows; chunks with others are looked up piece by piece.
 TRIE_CHARS = 208
-#: A longer chunk is cut, at places that don't depend on the batch.
-CHUNK_CHARS = 48
+#: A longer chunk isn't kept, and goes block by block.
+CHUNK_CHARS = 512
+BLOCK_CHARS = 4096
 
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]{{1,{CHUNK_CHARS}}}|{SPACE}{{1,{CHUNK_CHARS}}}")
+_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def utf8_byte(code: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -134,6 +139,54 @@ class Lattices:
         self.parts: list[tuple[np.ndarray, ...]] = []  # shares, back nodes, ids, and each node's number of arcs
         self.frozen = None
 
+    def arcs(self, part: list[str], span: int) -> tuple[np.ndarray, np.ndarray]:
+        """[chunk, end, size - 1] over strings of one length: piece ids (-1 - c for a character c in bytes) and log weights."""
+        code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), -1).astype(np.int64)
+        ids = self.pieces_of(part, code, span)
+        code = np.where(code == ord(_SPELLED), ord(SPACE), np.where(code == ord(SPACE), ord(" "), code))
+        spelled = ids[:, :, 0] < 0
+        gain = self.score[ids]
+        gain[:, :, 0] = np.where(spelled, self.byte_score * utf8_size(code), gain[:, :, 0])
+        ids[:, :, 0] = np.where(spelled, -1 - code, ids[:, :, 0])
+        return ids, gain
+
+    def sample_long(self, chunk: str, seed: np.uint64) -> np.ndarray:
+        """One segmentation of a chunk of any length, as `arcs` numbers it."""
+        n, span = len(chunk), min(len(chunk), self.longest)
+        size = max(BLOCK_CHARS, span)
+
+        def block(a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+            low = max(0, a - span + 1)
+            ids, gain = self.arcs([chunk[low:z]], span)
+            return ids[0, a - low :], gain[0, a - low :]
+
+        weight = np.full(n + 1, -np.inf)
+        weight[0] = 0.0
+        for a in range(0, n, size):
+            _, gain = block(a, min(n, a + size))
+            for e in range(a + 1, min(n, a + size) + 1):
+                w = min(e, span)
+                flow = weight[e - w : e][::-1] + gain[e - 1 - a, :w]
+                top = flow.max()
+                weight[e] = top + np.log(np.exp(flow - top).sum())
+        out: list[int] = []
+        e = n
+        for a in reversed(range(0, n, size)):
+            if e <= a:
+                continue
+            ids, gain = block(a, min(n, a + size))
+            u = unit(mix(seed + np.arange(len(out) + 1, len(out) + 1 + e - a, dtype=np.uint64)))
+            turn = 0
+            while e > a:
+                w = min(e, span)
+                flow = weight[e - w : e][::-1] + gain[e - 1 - a, :w]
+                run = np.cumsum(np.exp(flow - flow.max()))
+                k = int(np.searchsorted(run, u[turn] * run[-1]))
+                out.append(int(ids[e - 1 - a, k]))
+                e -= k + 1
+                turn += 1
+        return np.array(out[::-1], np.int64)
+
     def add(self, chunks: list[str]) -> None:
         """The forward filter over lattices of chunks, those of one length at once."""
         by_length: dict[int, list[str]] = {}
@@ -144,13 +197,7 @@ class Lattices:
             for k in range(0, len(group), max(1, 200_000 // (n * span))):
                 part = group[k : k + max(1, 200_000 // (n * span))]
                 m = len(part)
-                code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.int64)
-                ids = self.pieces_of(part, code, span)
-                code = np.where(code == ord(_SPELLED), ord(SPACE), np.where(code == ord(SPACE), ord(" "), code))
-                spelled = ids[:, :, 0] < 0
-                gain = self.score[ids]
-                gain[:, :, 0] = np.where(spelled, self.byte_score * utf8_size(code), gain[:, :, 0])
-                ids[:, :, 0] = np.where(spelled, -1 - code, ids[:, :, 0])
+                ids, gain = self.arcs(part, span)
                 there = ids >= 0
                 there[:, :, 0] = True
                 weight = np.full((m, n + 1), -np.inf)  # log of all ways to each place
@@ -179,6 +226,7 @@ class Lattices:
     def arrays(self) -> tuple[np.ndarray, ...]:
         """Shares, back nodes and ids of arcs, and the first arc of each node."""
         if self.frozen is None:
+            self.parts = self.parts or [(np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3)))]
             self.parts = [tuple(np.concatenate(p) for p in zip(*self.parts))]
             share, back, ids, count = self.parts[0]
             self.frozen = share, back, ids, np.cumsum(count) - count
@@ -186,24 +234,27 @@ class Lattices:
 
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """One segmentation of each text, as piece ids."""
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.chunks) > CACHE_CHUNKS or self.nodes > CACHE_NODES:
             self.clear()
         found = [_CHUNK.findall(SPACE + t.replace(SPACE, _SPELLED).replace(" ", SPACE)) if t else [] for t in texts]
         count = np.array(list(map(len, found)))
         flat = [c for f in found for c in f]
         if not flat:
             return [np.zeros(0, np.int64) for _ in texts]
-        fresh = [c for c in set(flat) if c not in self.chunks]
+        fresh = [c for c in set(flat) if c not in self.chunks and len(c) <= CHUNK_CHARS]
         if fresh:
             self.add(fresh)
         share, back, ids, first = self.arrays()
-        at = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter((self.chunks.get(c, -1) for c in flat), np.int64, len(flat))
+        large = {int(i): np.zeros(0, np.int64) for i in np.nonzero(at < 0)[0]}
         place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
         key = np.repeat(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64), count)
         seed = mix(mix(key + M3) + place.astype(np.uint64))
-        live, steps, owners = np.arange(len(at)), [], []
+        for i in large:
+            large[i] = self.sample_long(flat[i], seed[i])
+        live, steps, owners = np.nonzero(at >= 0)[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(live):
-            u = unit(mix(seed[live] + np.uint64(len(steps) + 1)))
+            u = unit(mix(seed[live] + np.uint64(len(steps))))
             arc = first[at[live]]
             open_ = np.nonzero(share[arc] < u)[0]
             while len(open_):  # a node's last arc has share 1
@@ -214,10 +265,14 @@ class Lattices:
             at[live] = back[arc]
             live = live[back[arc] >= 0]
         arc, owner = np.concatenate(steps), np.concatenate(owners)
-        turn = np.repeat(np.arange(len(steps)), [len(x) for x in steps])
+        turn = np.repeat(np.arange(len(steps)) - 1, [len(x) for x in steps])
         taken = np.bincount(owner, minlength=len(flat))
-        ordered = np.empty(len(arc), np.int64)
-        ordered[np.cumsum(taken)[owner] - 1 - turn] = ids[arc]  # steps go backward
+        taken[list(large)] = list(map(len, large.values()))
+        ends = np.cumsum(taken)
+        ordered = np.empty(int(ends[-1]), np.int64)
+        ordered[ends[owner] - 1 - turn] = ids[arc]  # steps go backward
+        for i, own in large.items():
+            ordered[ends[i] - taken[i] : ends[i]] = own
         n = np.where(ordered >= 0, 1, utf8_size(-1 - ordered))
         text_of = np.repeat(np.repeat(np.arange(len(texts)), count), taken)
         size = np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64)

@@ -250,6 +250,32 @@ def test_sampling():
     assert all(abs(seen[k] / n - v / total) < 0.015 for k, v in ways.items())
 
 
+@pytest.mark.parametrize("chars, block", [(512, 4096), (8, 20)])
+def test_sampling_of_long_chunks(monkeypatch, chars, block):
+    """Each piece at each place is drawn as often as its exact probability, over the edges of blocks too."""
+    grid = piece_sampling.Lattices(P.path("piece_bpe_32k.model"), 0.002)
+    assert not any("▁" in piece.lstrip("▁") for piece in grid.piece)
+    monkeypatch.setattr(piece_sampling, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(piece_sampling, "BLOCK_CHARS", block, raising=False)
+    text, n = "internationalization" * 4, 2000
+    word = "▁" + text
+    arcs = [(a, z, grid.piece[word[a:z]]) for a in range(len(word)) for z in range(a + 1, min(len(word), a + grid.longest) + 1) if word[a:z] in grid.piece]
+    ahead, behind = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+    for a, z, i in arcs:
+        ahead[z] += ahead[a] * np.exp(grid.score[i])
+    for a, z, i in reversed(arcs):
+        behind[a] += behind[z] * np.exp(grid.score[i])
+    seen = Counter()
+    for found in grid.sample(list(range(n)), [text] * n):
+        ends = np.cumsum([len(grid.bytes_[i]) for i in found])
+        seen.update(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    assert any(a < 48 < z for a, z in seen) and set(seen) <= {(a, z) for a, z, _ in arcs}
+    for a, z, i in arcs:
+        assert abs(seen[a, z] / n - ahead[a] * np.exp(grid.score[i]) * behind[z] / ahead[-1]) < 0.05
+    odd = ["日本語😀▁" * 30, "-" * 700 + " x" + " " * 300, "a" * 9, ""]
+    assert [grid.decode(i) for i in grid.sample([1, 2, 3, 4], odd)] == odd
+
+
 # ---- substring and suffix dedup
 
 
