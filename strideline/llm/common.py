@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -104,20 +105,54 @@ def arrow_flat(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none, as in tests."""
+    """The folder that all executors share. Where the session names none, a local master gets a temporary one; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="strideline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Lets Spark remove an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage is cut there, and a lost executor costs nothing."""
+    """Writes a table to the shared folder and reads it again: lineage is cut there, and a lost executor costs nothing.
+
+    What was shuffled on the way isn't needed any more once the table stands, so its files go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strideline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables made by `written` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`df` with its columns called c0, c1 and so on, so that no name can clash, and the new ones of `names`."""
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), [place[n] for n in names]
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +185,7 @@ def globally_ranked(df: DataFrame, order: Sequence, name: str, rank: str = "_ran
     from pyspark.sql import functions as F
 
     spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions(spark)
     rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), name)
     part = F.shiftright("_place", 33)
     held = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row for each partition

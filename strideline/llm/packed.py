@@ -13,9 +13,9 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with the key of each document, (_doc, _sub), that sorts like doc_id.
+    """`docs` with the key of each document, (doc, sub), that sorts like doc_id.
 
-    Rows of one doc_id and text are one document. _sub is 0 where an id has one text, below 0, by the text's hash, where it
+    Rows of one doc_id and text are one document. `sub` is 0 where an id has one text, below 0, by the text's hash, where it
     has several; every row without an id is a document of its own, with NO_ID and a number above 0.
     """
     number = F.col(doc_id).cast("long")
@@ -24,8 +24,8 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     several = named.groupBy(number.alias("_several")).agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("_several")
     several = written(several, "several")  # small as a rule, which Spark sees once it is written
     own = -F.shiftrightunsigned(h, 1) - 1
-    named = named.join(several, number == F.col("_several"), "left").withColumn("_doc", number).withColumn("_sub", F.when(F.col("_several").isNull(), F.lit(0).cast("long")).otherwise(own)).drop("_several")
-    nameless = docs.where(number.isNull()).withColumn("_doc", F.lit(NO_ID).cast("long")).withColumn("_sub", F.monotonically_increasing_id() + 1)
+    named = named.join(several, number == F.col("_several"), "left").withColumn("doc", number).withColumn("sub", F.when(F.col("_several").isNull(), F.lit(0).cast("long")).otherwise(own)).drop("_several")
+    nameless = docs.where(number.isNull()).withColumn("doc", F.lit(NO_ID).cast("long")).withColumn("sub", F.monotonically_increasing_id() + 1)
     return named.unionByName(written(nameless, "nameless"))  # written, as these numbers must stay the same
 
 

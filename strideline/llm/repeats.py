@@ -1,11 +1,13 @@
-"""Windows of texts that occur elsewhere or earlier, found by levels of growing length; shared by both substring dedups.
+"""Windows of texts that occur elsewhere or earlier; shared by both substring dedups.
 
-Level 1 compares grams at anchors (see `windows`): what is unique there can't hold a repeated window. Level 2 compares the
-whole contexts of anchors, all windows that one anchor stands for at once, which settles copies. Level 3 compares single
-windows, only of contexts that differ under one gram: where copies begin, end and vary.
+Anchors come first (see `windows`): every window has one, and equal windows have equal grams at it. Grams that are unique
+go at once, and whole contexts (all windows that an anchor stands for) that are equal settle copies: one of them stays
+open, the others repeat it. What is left are contexts that differ under one gram: where copies begin, end and vary. The
+stretches of text that these cover are laid out in one space of addresses and go through the rounds of `doubling`.
 
-Every level is a shuffle by a uniform hash and a sort within its partitions; a running pass keeps no more than the last
-row. Equal contexts within a slice of text travel as one row, so a text copied a billion times is a row for each slice.
+Anchors are range-sorted by gram, context and place, so that a gram that any number of rows hold is dealt to many tasks;
+the grams at a partition's edges are settled by an aggregation and a join. Equal contexts within a slice of text travel
+as one row.
 """
 
 from __future__ import annotations
@@ -15,22 +17,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import M3, arrow_flat, join_hash, mix, written
-from strideline.llm.packed import NO_ID, packed_texts
-from strideline.llm.windows import anchor_places, window_hashes, window_starts
+from strideline.llm.common import M3, arrow_flat, arrow_map, dropped, globally_ranked, join_hash, mix, partitions, written
+from strideline.llm.doubling import BLOCK_BITS, UNIT_BITS, changes, doubled, whole_blocks, whole_groups
+from strideline.llm.packed import packed_texts
+from strideline.llm.windows import anchor_places, intervals, window_hashes, window_starts
 
-#: Contexts under one gram that a task compares at once; those of a larger group are dealt window by window.
-GROUP_ROWS = 40_000
-#: Windows that a task compares at once, about.
-BATCH_WINDOWS = 1_000_000
+#: Symbols of a text whose anchors are looked for at once; longer texts go in parts.
+PART_SYMBOLS = 1 << 22
 
 #: A document is (doc, sub), see `packed.keyed`.
 _ANCHOR = [("g", "long"), ("f", "long"), ("doc", "long"), ("sub", "long"), ("lo", "int"), ("na", "int"), ("twins", "array<long>")]
-_FOUND = "kind int, g long, doc long, sub long, lo int, na int"
+_FOUND = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("f", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("lo", pa.int32()), ("na", pa.int32())])
+_FOUND_SQL = "kind int, g long, f long, doc long, sub long, lo int, na int"
+#: What `settled` makes of a context: it repeats, it is one of several of a gram, it can't be told within the partition.
+REPEATS, VARIES, OPEN = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -41,16 +46,35 @@ class Repeats:
     gram: int
     earlier: bool
     symbols: Callable[[str], np.ndarray]
-    #: Symbols are bytes, whose contexts travel as they are; else the windows' hashes do.
+    #: Symbols are bytes, which travel as they are; else their hashes do.
     raw: bool
 
-    # ---- level 1 and 2: one row for each anchor ----
+    @property
+    def first(self) -> int:
+        """The length that the rounds begin with: a quarter of a window, twice doubled."""
+        return -(-self.window // 4)
+
+    # ---- anchors ----
 
     def anchors(self, docs: list[int], subs: list[int], texts: list[str | None]) -> list:
         """Columns of _ANCHOR for a slice: gram, context, place, and twins (doc, sub, place) with the same context."""
-        parts = [self.symbols(t or "") for t in texts]
-        lengths = np.array([len(p) for p in parts])
-        base = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        step = PART_SYMBOLS
+        parts = []
+        for d, s, t in zip(docs, subs, texts):
+            whole = self.symbols(t or "")
+            parts += [(d, s, at, whole[at : at + step + self.window - 1]) for at in range(0, max(1, len(whole) - self.window + 1), step)]
+        found, group, size = [], [], 0
+        for k, p in enumerate(parts):
+            group.append(p)
+            size += len(p[3])
+            if size >= step or k + 1 == len(parts):
+                found.append(self._anchors(group))
+                group, size = [], 0
+        return found[0] if len(found) == 1 else [[v for f in found for v in f[i]] for i in range(len(_ANCHOR))]
+
+    def _anchors(self, parts: list[tuple[int, int, int, np.ndarray]]) -> list:
+        lengths = np.array([len(p[3]) for p in parts])
+        base = np.concatenate([p[3] for p in parts])
         starts = window_starts(lengths, self.window)
         if not len(starts):
             return [[] for _ in _ANCHOR]
@@ -67,8 +91,8 @@ class Repeats:
         g = gram[at]
         f = join_hash(join_hash(whole[low], whole[high]), na.astype(np.uint64))
         text = np.searchsorted(np.cumsum(lengths), low, side="right")
-        doc, sub = np.array(docs, np.int64)[text], np.array(subs, np.int64)[text]
-        lo = low - (np.cumsum(lengths) - lengths)[text]
+        doc, sub, skip = (np.array([p[i] for p in parts], np.int64)[text] for i in range(3))
+        lo = low - (np.cumsum(lengths) - lengths)[text] + skip
         order = np.lexsort((lo, sub, doc, f, g))
         g, f, doc, sub, lo, na = g[order], f[order], doc[order], sub[order], lo[order], na[order]
         lead = np.ones(len(g), bool)
@@ -83,180 +107,127 @@ class Repeats:
         return [signed(g), signed(f), doc[head], sub[head], lo[head].astype(np.int32), na[head].astype(np.int32), twins]
 
     def settled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by (g, f, doc, sub, lo): kind 0 is a context that repeats, kind 1 one of several contexts of a gram.
-
-        State between rows: the last class's first row and if it has come out, and if its gram has come out as mixed.
-        """
-        last: tuple | None = None  # (g, f, doc, sub, lo, na) of the first row of the class at hand
-        told = mixed = False  # the class's first row came out as kind 0; the gram's pending class came out as kind 1
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            twins = batch.column(6)
-            g, f, doc, sub, lo, na = cols
-            m = len(g)
-            if not m:
+        """Contexts (kind, ...) over rows sorted by (g, f, doc, sub, lo): those of whole grams told apart, the others open."""
+        for part, edge in whole_groups(batches, ["g"]):
+            cols = [part.column(c).to_numpy() for c in ("g", "f", "doc", "sub", "lo", "na")]
+            twins = part.column("twins").combine_chunks()
+            new = changes(part, ["g", "f"])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            own = np.nonzero(np.asarray(twins.is_valid()))[0]
+            if len(own):  # twins as rows of their own, behind the rows that they came with
+                flat = twins.flatten().to_numpy().reshape(-1, 3)
+                at = np.repeat(own, np.asarray(pc.list_value_length(twins).fill_null(0))[own] // 3)
+                cols = [np.concatenate([c, x]) for c, x in zip(cols, (cols[0][at], cols[1][at], flat[:, 0], flat[:, 1], flat[:, 2], cols[5][at]))]
+                head = np.concatenate([head, head[at]])
+            if edge:
+                yield _found(np.full(len(head), OPEN), cols)
                 continue
-            out: list[list] = []
-            previous = last or (None,) * 6
-            new_g, new_f = np.ones(m, bool), np.ones(m, bool)
-            new_g[1:] = g[1:] != g[:-1]
-            new_g[0] = previous[0] is None or g[0] != previous[0]
-            new_f[1:] = new_g[1:] | (f[1:] != f[:-1])
-            new_f[0] = bool(new_g[0]) or f[0] != previous[1]
-            # Rows of a class after its first; the same place again (a repeated row) isn't another occurrence.
-            heads = np.nonzero(new_f)[0]
-            cls = np.cumsum(new_f) - 1
-            if len(heads):
-                safe = np.maximum(cls, 0)
-                fdoc, fsub, flo = doc[heads][safe], sub[heads][safe], lo[heads][safe]
-            else:
-                fdoc, fsub, flo = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int32)
-            if last is not None:
-                fdoc, fsub, flo = np.where(cls < 0, last[2], fdoc), np.where(cls < 0, last[3], fsub), np.where(cls < 0, last[4], flo)
-            other = (doc != fdoc) | (sub != fsub) | (lo != flo)
-            rows = np.nonzero(other)[0]
-            out.append([np.zeros(len(rows), int), g[rows], doc[rows], sub[rows], lo[rows], na[rows]])
-            has_twins = np.nonzero(np.asarray(twins.is_valid()))[0]
-            twin_first = set()
-            for r in has_twins.tolist():
-                pairs = np.array(twins[r].as_py(), np.int64).reshape(-1, 3)
-                pairs = pairs[(pairs[:, 0] != fdoc[r]) | (pairs[:, 1] != fsub[r]) | (pairs[:, 2] != flo[r])]
-                if len(pairs):
-                    twin_first.add(int(cls[r]))
-                    k = len(pairs)
-                    out.append([np.zeros(k, int), np.full(k, g[r]), pairs[:, 0], pairs[:, 1], pairs[:, 2], np.full(k, na[r])])
-            if not self.earlier:
-                repeat = set(cls[rows].tolist()) | twin_first
-                if -1 in repeat and not told:
-                    out.append([np.array([0]), *(np.array([v]) for v in (last[0], *last[2:]))])
-                    told = True
-                at = heads[sorted(c for c in repeat if c >= 0)] if repeat else heads[:0]
-                out.append([np.zeros(len(at), int), g[at], doc[at], sub[at], lo[at], na[at]])
-                told_last = (len(heads) - 1) in repeat
-            # Classes of grams that have several.
-            if len(heads):
-                group = np.cumsum(new_g[heads]) - (1 if new_g[0] else 0)  # 0: the first gram here, or the one at hand before
-                count = np.bincount(group, minlength=int(group[-1]) + 1)
-                if not new_g[0]:
-                    count[0] += 1
-                    if count[0] > 1 and not mixed:
-                        out.append([np.array([1]), *(np.array([v]) for v in (last[0], *last[2:]))])
-                at = heads[count[group] > 1]
-                out.append([np.ones(len(at), int), g[at], doc[at], sub[at], lo[at], na[at]])
-                mixed = bool(count[group[-1]] > 1)
-                h = heads[-1]
-                last = (g[h], f[h], doc[h], sub[h], lo[h], na[h])
-                told = False if self.earlier else told_last
-            columns = [np.concatenate([np.asarray(o[i]) for o in out]) for i in range(6)]
-            if len(columns[0]):
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["kind", "g", "doc", "sub", "lo", "na"])
-
-    # ---- level 3: single windows ----
-
-    def contexts(self, docs: list[int], subs: list[int], packed: list[bytes], reps: list[list]) -> list:
-        """Rows (g, doc, sub, lo, na, ctx) of the anchors that each text was asked for."""
+            # The same place again (a repeated row) isn't another occurrence.
+            other = np.zeros(len(head), bool)
+            for c in cols[2:5]:
+                other |= c != c[head]
+            several = np.zeros(len(head), bool)
+            several[head[other]] = True
+            repeats = other if self.earlier else other | (several & (head == np.arange(len(head))))
+            heads = np.nonzero(new)[0]
+            group = np.cumsum(changes(part, ["g"]))[heads]
+            varies = heads[np.bincount(group)[group] > 1]
+            yield _found(np.full(int(repeats.sum()), REPEATS), [c[repeats] for c in cols])
+            yield _found(np.full(len(varies), VARIES), [c[varies] for c in cols])
+
+    def told(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc, sub, lo, na) of the contexts that repeat, and of one context of each class under a gram that has several."""
+        place = F.struct("doc", "sub", "lo", "na")
+        rows = found.where(F.col("kind") == OPEN)
+        class_ = rows.groupBy("g", "f").agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+        # Two grams of each partition at most.
+        mixed = class_.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        again = rows.join(class_.where("head <> tail"), ["g", "f"])
+        again = again.where(F.struct("doc", "sub", "lo", "na") != F.col("head")) if self.earlier else again
+        names = ["doc", "sub", "lo", "na"]
+        heads = class_.join(F.broadcast(mixed), "g", "left_semi").select(*(F.col(f"head.{c}").alias(c) for c in names))
+        return (
+            found.where(F.col("kind") == REPEATS).select(*names).unionByName(again.select(*names)),
+            found.where(F.col("kind") == VARIES).select(*names).unionByName(heads),
+        )
+
+    # ---- stretches of text that are still open, in one space of addresses ----
+
+    def units(self, docs: list[int], subs: list[int], packed: list[bytes], reps: list[list]) -> list:
+        """Rows (doc, sub, stretch, start, raw): the stretches that the contexts of each text cover, in units.
+
+        A unit's symbols go on into the next one for as long as its own strings need. A stretch ends with as many free
+        addresses as a window has, so that no string seems to go on in the next stretch.
+        """
         unpack = zstandard.ZstdDecompressor()
-        g, doc, sub, lo, na, ctx = [], [], [], [], [], []
+        size, wide = 1 << UNIT_BITS, 1 if self.raw else 8
+        out: list[list] = [[], [], [], [], []]
         for d, s, z, wanted in zip(docs, subs, packed, reps):
-            raw = unpack.decompress(z)
-            whole = None if self.raw else window_hashes(self.symbols(raw.decode()), [self.window])[self.window]
-            for r in wanted:
-                a, n = r["lo"], r["na"] >> 16
-                g.append(r["g"]), doc.append(d), sub.append(s), lo.append(a), na.append(r["na"])
-                ctx.append(raw[a : a + n - 1 + self.window] if self.raw else whole[a : a + n].tobytes())
-        return [g, doc, sub, lo, na, ctx]
-
-    def flat_windows(self, n: np.ndarray, ctx: list[bytes]) -> np.ndarray:
-        """Hashes of all windows of the contexts, row after row."""
-        joined = b"".join(ctx)
-        if not self.raw:
-            return np.frombuffer(joined, np.uint64)
-        base = byte_symbols(joined)
-        return window_hashes(base, [self.window])[self.window][window_starts(n - 1 + self.window, self.window)]
-
-    def compared(self, g: np.ndarray, doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, na: np.ndarray, ctx: list[bytes]) -> list[np.ndarray]:
-        """(doc, sub, from, to) of what repeated windows cover, of whole groups sorted by (g, doc, sub, lo)."""
-        n = (na >> 16).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        start = np.repeat(lo.astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key = join_hash(self.flat_windows(n, ctx), g.view(np.uint64)[row])
-        order = np.argsort(key, kind="stable")
-        k, d, e, s = key[order], doc[row][order], sub[row][order], start[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-        other = (d != d[head]) | (e != e[head]) | (s != s[head])
-        if not self.earlier:
-            run = np.cumsum(new) - 1
-            other = np.bincount(run, weights=other, minlength=int(run[-1]) + 1)[run] > 0
-        hit = np.zeros(len(k), bool)
-        hit[order] = other
-        rows, at = row[hit], start[hit]
-        if not len(rows):
-            return [np.zeros(0, np.int64)] * 4
-        cut = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0]
-        return [doc[rows[cut]], sub[rows[cut]], np.minimum.reduceat(at, cut), np.maximum.reduceat(at, cut) + self.window]
-
-    def fine(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """`compared` over a sorted stream, in batches of whole groups."""
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows:
-                g, doc, sub, lo, na = (table.column(c).to_numpy() for c in ("g", "doc", "sub", "lo", "na"))
-                out = self.compared(g, doc, sub, lo, na, table.column("ctx").to_pylist())
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=["doc", "sub", "a", "z"])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 8192):
-                held.append(batch.slice(k, 8192))
-                rows += held[-1].num_rows
-                if rows * 32 < BATCH_WINDOWS:
-                    continue
-                table = pa.Table.from_batches(held)
-                g = table.column("g").to_numpy()
-                cut = int(np.searchsorted(g != g[-1], False)) if g[0] == g[-1] else len(g) - int(np.argmax(g[::-1] != g[-1]))
-                yield from done(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                rows = table.num_rows - cut
-        yield from done(pa.Table.from_batches(held) if held else pa.table({c: [] for c in ("g", "doc", "sub", "lo", "na", "ctx")}))
-
-    def single(self, g: list, doc: list, sub: list, lo: list, na: list, ctx: list) -> list:
-        """The windows of contexts of very large groups as anchor rows of their own."""
-        n = np.array(na, np.int64) >> 16
-        row = np.repeat(np.arange(len(n)), n)
-        start = np.repeat(np.array(lo, np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        h = self.flat_windows(n, ctx)
-        key = join_hash(h, np.array(g, np.int64).view(np.uint64)[row]).view(np.int64)
-        return [key, mix(h + M3).view(np.int64), np.array(doc, np.int64)[row], np.array(sub, np.int64)[row], start.astype(np.int32), np.full(len(row), 1 << 16, np.int32), [None] * len(row)]
+            whole = unpack.decompress(z)
+            if not self.raw:
+                whole = self.symbols(whole.decode()).tobytes()
+            for a, b in intervals([(r["lo"], r["lo"] + (r["na"] >> 16) - 1 + self.window) for r in wanted], len(whole) // wide):
+                for u in range(a, b + self.window, size):
+                    row = d, s, a, u, whole[u * wide : min(u + size + self.first - 1, b) * wide] if u < b else b""
+                    for column, v in zip(out, row):
+                        column.append(v)
+        return out
+
+    def positions(self, units: list[int], raws: list[bytes]) -> list[np.ndarray]:
+        """(key, at) of the positions of units: hashes of their strings of the first length."""
+        joined = b"".join(raws)
+        base = byte_symbols(joined) if self.raw else np.frombuffer(joined, np.uint64)
+        lengths = np.array([len(r) for r in raws]) // (1 if self.raw else 8)
+        n = np.maximum(lengths - self.first + 1, 0)
+        starts = window_starts(lengths, self.first)
+        if not len(starts):
+            return [np.zeros(0, np.int64)] * 2
+        begin = np.repeat((np.array(units, np.int64) << UNIT_BITS) - (np.cumsum(n) - n), n)
+        return [window_hashes(base, [self.first])[self.first][starts].view(np.int64), begin + np.arange(len(begin))]
+
+    def varied(self, docs: DataFrame, contexts: DataFrame) -> DataFrame:
+        """(doc, sub, a, z): what repeated windows cover within `contexts`, by doubling."""
+        asked = contexts.groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "na")).alias("reps"))
+        fields = [("doc", "long"), ("sub", "long"), ("stretch", "long"), ("start", "long"), ("raw", "binary")]
+        joined = packed_texts(docs).join(asked, ["doc", "sub"]).dropDuplicates(["doc", "sub"])
+        stretches = written(arrow_flat(joined, ["doc", "sub", "packed", "reps"], fields, lambda: self.units, by="packed", limit=1 << 20), "stretches")
+        units = globally_ranked(stretches, ["doc", "sub", "stretch", "start"], "units", "unit")
+        dropped(stretches)
+        keys = arrow_flat(units, ["unit", "raw"], [("key", "long"), ("at", "long")], lambda: self.positions, by="raw", limit=1 << 19)
+        hits = doubled(keys, self.first, self.window)
+        hits = hits.where("rank < at") if self.earlier else hits
+        runs = hits.select(F.shiftright("at", BLOCK_BITS).alias("block"), "at").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "at").mapInArrow(_runs, "unit long, x long, y long")
+        placed = runs.join(units.select("unit", "doc", "sub", "start"), "unit")
+        return placed.select("doc", "sub", (F.col("start") + F.col("x")).alias("a"), (F.col("start") + F.col("y") + self.window).alias("z"))
 
     # ---- the whole ----
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """(doc, sub, spans) of (doc, sub, text): for each document with repeated windows what they cover, as (a, z) in symbols."""
-        n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         sort = ("g", "f", "doc", "sub", "lo")
-        rows = arrow_flat(docs, ["doc", "sub", "text"], _ANCHOR, lambda: self.anchors, limit=1 << 20)
-        found = written(rows.repartition(n, "g").sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND), "contexts")
-        reps = found.where("kind = 1").select("g", "doc", "sub", "lo", "na")
-        texts = packed_texts(docs)
-        asked = reps.groupBy("doc", "sub").agg(F.collect_list(F.struct("g", "lo", "na")).alias("reps"))
-        joined = texts.join(asked, ["doc", "sub"])
-        fields = [("g", "long"), ("doc", "long"), ("sub", "long"), ("lo", "int"), ("na", "int"), ("ctx", "binary")]
-        ctx = arrow_flat(joined, ["doc", "sub", "packed", "reps"], fields, lambda: self.contexts, by="packed", limit=1 << 20)
-        large = written(reps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("g"), "large")
-        settled = found.where("kind = 0").select("doc", "sub", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.shiftright("na", 16) - 1 + self.window).alias("z"))
-        if large.limit(1).count():
-            ctx = written(ctx, "windows")
-            hot = arrow_flat(ctx.join(large, "g", "left_semi"), [c for c, _ in fields], _ANCHOR, lambda: self.single, by="ctx", limit=1 << 20)
-            hot = hot.repartition(n, "g").sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND).where("kind = 0")
-            settled = settled.unionByName(hot.select("doc", "sub", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + self.window).alias("z")))
-            ctx = ctx.join(large, "g", "left_anti")
-        fine = ctx.repartition(n, "g").sortWithinPartitions("g", "doc", "sub", "lo").mapInArrow(self.fine, "doc long, sub long, a long, z long")
-        return settled.unionByName(fine).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+        rows = written(arrow_flat(docs, ["doc", "sub", "text"], _ANCHOR, lambda: self.anchors, limit=1 << 20), "anchors")
+        found = written(rows.repartitionByRange(partitions(docs.sparkSession), *sort).sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND_SQL), "contexts")
+        dropped(rows)
+        repeat, vary = self.told(found)
+        lo, n = F.col("lo").cast("long"), F.shiftright("na", 16)
+        settled = repeat.select("doc", "sub", lo.alias("a"), (lo + n - 1 + self.window).alias("z"))
+        return settled.unionByName(self.varied(docs, vary)).groupBy("doc", "sub").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+
+
+def _found(kind: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip([kind, *cols], _FOUND)], schema=_FOUND)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, first, last) of neighbouring addresses within units."""
+    for part in whole_blocks(batches):
+        at = np.asarray(part.column("at"))
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (at[1:] >> UNIT_BITS != at[:-1] >> UNIT_BITS)
+        cut = np.nonzero(new)[0]
+        x, y = at[cut], at[np.append(cut[1:], len(at)) - 1]
+        unit = x >> UNIT_BITS
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (unit, x - (unit << UNIT_BITS), y - (unit << UNIT_BITS))], names=["unit", "x", "y"])
 
 
 def byte_symbols(raw: bytes) -> np.ndarray:
@@ -267,18 +238,22 @@ def byte_symbols(raw: bytes) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * M3)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, fields: list[tuple[str, str]], row: Callable[[str, list], tuple]) -> DataFrame:
-    """(doc_id, sub, fields) of every row (doc, sub, text) by `row(text, spans)`."""
+def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], fields: list[tuple[str, str]], row: Callable[[str | None, list], tuple]) -> DataFrame:
+    """The columns `keep` of every row (doc, sub, text) and `fields`, by `row(text, spans)`; the row's columns travel with its packed text."""
+
+    def make_packed():
+        pack = zstandard.ZstdCompressor(level=3)
+        return lambda texts: [[None if t is None else pack.compress(t.encode()) for t in texts]]
 
     def make():
         unpack = zstandard.ZstdDecompressor()
 
-        def run(docs: list, subs: list, packed: list, found: list) -> list:
-            rows = [row(unpack.decompress(z).decode(), [(s["a"], s["z"]) for s in f or []]) for z, f in zip(packed, found)]
-            ids = [None if d == NO_ID and s > 0 else d for d, s in zip(docs, subs)]
-            return [ids, subs, *(zip(*rows) if rows else [[] for _ in fields])]
+        def run(packed: list, found: list) -> list:
+            rows = [row(None if z is None else unpack.decompress(z).decode(), [(s["a"], s["z"]) for s in f or []]) for z, f in zip(packed, found)]
+            return list(zip(*rows)) if rows else [[] for _ in fields]
 
         return run
 
-    joined = packed_texts(docs).join(spans, ["doc", "sub"], "left")
-    return arrow_flat(joined, ["doc", "sub", "packed", "spans"], [("doc_id", "long"), ("sub", "long"), *fields], make, by="packed", limit=1 << 20)
+    packed = arrow_map(docs, ["doc", "sub", *keep], ["text"], [("packed", "binary")], make_packed)
+    joined = packed.join(spans, ["doc", "sub"], "left")
+    return arrow_map(joined, keep, ["packed", "spans"], fields, make, by="packed", limit=1 << 20)

@@ -1,8 +1,8 @@
 """Substring deduplication over words, by level-wise doubling.
 
-Windows repeated at one length alone are looked at in the next: 8 words at anchors, then a window's 35 with its
-neighbours' (up to 62), then the 35 words of each window that is still open; hashes of one length are made from two of
-half of it. There are these three levels, not a loop over any number of doublings.
+Windows repeated at one length alone are extended to twice that length: 9 words, then 18, then the 35 of a window, until
+no candidates survive or the length is reached (see `doubling`). Before the first round, anchors with a unique gram of 8
+words rule out all windows near them, and of equal contexts of anchors one goes on (see `repeats`).
 
 Defined cases: a null or empty text has no words; rows with one doc_id and one text are one document and each get
 its result, one doc_id with several texts is a document for each; a text of fewer words than a window loses none; each row
@@ -46,13 +46,13 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], int, int]:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document; with `texts`, the kept words as `kept` too."""
-    plain = keyed(docs.select(doc_id, text), doc_id, text).select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
+    plain = keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     fields = [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string")]
     fields = fields if texts else fields[:-1]
 
-    def row(t: str, spans: list) -> tuple:
-        kept, n, removed = cut(t, spans)
+    def row(t: str | None, spans: list) -> tuple:
+        kept, n, removed = cut(t or "", spans)
         joined = " ".join(kept)
         return (n, removed, hashlib.sha256(joined.encode()).hexdigest(), joined)[: len(fields)]
 
-    return with_spans(plain, repeated_words(window, gram).spans(plain), fields, row).drop("sub")
+    return with_spans(plain, repeated_words(window, gram).spans(plain.select("doc", "sub", "text")), ["doc_id"], fields, row)

@@ -1,16 +1,19 @@
-"""Suffix-array deduplication over bytes, with prefix doubling thinned to anchors.
+"""Suffix-array deduplication over bytes, by distributed prefix doubling.
 
-Ranking every byte position at doubled offsets shuffles a row for each byte in each round, so this isn't prefix doubling
-in full (see the README). Three levels of growing length stand in for its rounds: 32 bytes at anchors that stand for all
-positions near them, then the anchor's whole context, then the 100 bytes of single positions. 64-bit hashes serve as
-ranks, as only equality and the order of positions count: rows with one hash lie together once sorted, the earliest
-first. A position whose hash is unique drops out, and so does one whose 100 bytes an earlier position shares. No suffix
-array is produced.
+Positions are ranked by the bytes that follow them: by a hash of 25 at first, then Spark sorts pairs of the ranks at a
+position and at an offset (25, then 50) and ranks anew, until a position is unique or the 100 bytes of the threshold are
+reached (see `doubling`). A rank is the earliest address with the same bytes, so that a position whose rank is smaller
+than itself repeats an earlier one. Ranks tell equal strings from different ones, which is all that removal asks for;
+the lexical order of suffixes is not made.
+
+Only positions that can repeat take part: anchors with a unique 32-byte gram rule out all positions near them, and of
+equal contexts of anchors one stays (see `repeats`). All positions of all texts in each round would shuffle a row for
+each byte of input, beyond the disk that the check allows.
 
 Defined cases: a null or empty text has no bytes; rows with one doc_id and one text are one document and each get its
 result; one doc_id with several texts is a document for each, in the order of their hashes; a null doc_id counts as the
-smallest and each row with one is a document of its own, in the order of the table; other columns pass through untouched in `trimmed`, where bytes that a cut leaves of
-a character go with it.
+smallest and each row with one is a document of its own, in the order of the table; other columns, whatever their names,
+pass through untouched in `trimmed`, where bytes that a cut leaves of a character go with it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.packed import NO_ID, keyed
+from strideline.llm.common import numbered
+from strideline.llm.packed import keyed
 from strideline.llm.repeats import Repeats, byte_symbols, with_spans
 from strideline.llm.windows import intervals
 
@@ -50,25 +54,25 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    plain = keyed(docs.select(doc_id, text), doc_id, text).select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
+    plain = keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
 
-    def row(t: str, spans: list) -> tuple:
-        kept, n, removed, runs = cut(t, spans)
+    def row(t: str | None, spans: list) -> tuple:
+        kept, n, removed, runs = cut(t or "", spans)
         return n, removed, runs, hashlib.sha256(kept).hexdigest()
 
     fields = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]
-    return with_spans(plain, repeated_bytes(window, gram).spans(plain), fields, row).drop("sub")
+    return with_spans(plain, repeated_bytes(window, gram).spans(plain.select("doc", "sub", "text")), ["doc_id"], fields, row)
 
 
 def trimmed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with what repeats earlier bytes cut from their texts, and n_chars, if there is one, counted anew."""
-    keys = keyed(docs, doc_id, text)
-    plain = keys.select(F.col("_doc").alias("doc"), F.col("_sub").alias("sub"), F.col(text).alias("text"))
-    spans = repeated_bytes(window, gram).spans(plain)
-    new = with_spans(plain, spans, [("_kept_text", "string")], lambda t, s: (cut(t, s)[0].decode("utf-8", "ignore"),))
-    new = new.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("sub").alias("_sub"), "_kept_text").dropDuplicates(["_doc", "_sub"])
-    rest = keys.select("_doc", "_sub", *(F.when(F.col(text).isNull(), F.lit(True)).alias("_null_text") if c == text else F.col(c) for c in docs.columns))
-    joined = rest.join(new, ["_doc", "_sub"], "left")
-    kept = F.when(F.col("_null_text").isNull(), F.col("_kept_text"))
-    out = {text: kept} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    plain, (i, t) = numbered(docs, doc_id, text)
+    keys = keyed(plain, i, t)
+    texts = keys.withColumnRenamed(t, "text")
+    spans = repeated_bytes(window, gram).spans(texts.select("doc", "sub", "text"))
+    others = [c for c in plain.columns if c != t]
+    new = with_spans(texts, spans, others, [(t, "string")], lambda t, s: (None if t is None else cut(t, s)[0].decode("utf-8", "ignore"),))
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        new = new.withColumn(n, F.length(t).cast(docs.schema["n_chars"].dataType))
+    return new.select(*plain.columns).toDF(*docs.columns)

@@ -315,10 +315,10 @@ def copied(seed, letters):
     return [*docs, (100, "a" * 300), (101, None), (102, ""), (103, "é" * 90), (104, "é" * 70)]
 
 
-@pytest.mark.parametrize("limit", [40_000, 3])
+@pytest.mark.parametrize("part", [1 << 22, 50])
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
-def test_substring_dedup(spark, monkeypatch, letters, limit):
-    monkeypatch.setattr("strideline.llm.repeats.GROUP_ROWS", limit)  # 3: every group goes the way of very large ones
+def test_substring_dedup(spark, monkeypatch, letters, part):
+    monkeypatch.setattr("strideline.llm.repeats.PART_SYMBOLS", part)  # 50: every text goes the way of very long ones
     docs = copied(len(letters), letters)
     df = lambda d: spark.createDataFrame(d, "doc_id long, text string").repartition(5)
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.deduplicated(df(docs), 20, 7).collect()}
