@@ -1,30 +1,67 @@
 """Doubling over positions: which strings of a given length occur twice, found from those of half the length.
 
 Every position has an address, a long that sorts like (document, place). Its rank at a length is the smallest address
-at which the same string of that length starts. Spark sorts (rank, rank at an offset, address) over all partitions; rows
-with equal pairs lie together and take the first one's address as their rank at the doubled length, and rows without an
-equal drop out. A string that repeats has halves that repeat, so what dropped out is never needed again.
+at which the same string of that length starts. A round deals pairs of ranks (of a position and of the one at an offset)
+to tasks by the pairs' hashes; a task sorts its share, rows with equal pairs take the first one's address as their rank
+at the doubled length, and rows without an equal drop out. Ranks go back to their addresses, which blocks of the space
+hold, and make the next pairs there. A string that repeats has halves that repeat, so what dropped out is never needed.
 
-The sort is by range and includes the address, so that a pair held by any number of rows is dealt to many tasks. What a
-partition can't tell alone, the groups at its two edges, is settled by an aggregation and a join.
+Rows travel as packed arrays of many, ascending by address: a copied passage has one distance to its first place all
+along, so that its ranks pack to next to nothing. Pairs that very many positions hold don't go to one task: a sample
+finds them, an aggregation with map-side combining finds their first addresses, and their rows are dealt out by place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import dropped, partitions, written
+from strideline.llm.common import arrow_flat, dropped, join_hash, partitions, written
 
-#: Positions of a unit, the least part of the address space that a document gets.
+#: Addresses of a unit, the least part of the space that a document gets.
 UNIT_BITS = 10
-#: Positions that a task holds at once to pair them.
-BLOCK_BITS = 20
+UNIT = 1 << UNIT_BITS
+#: Positions that a task holds before it deals them out.
+FLUSH = 1 << 21
+#: One position in so many is looked at to find pairs that very many hold; so many of these make one.
+SAMPLE, HEAVY = 64, 1024
+
+_ROUTED = "part int, known boolean, at binary, val binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Longs by their differences, byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+@dataclass(frozen=True)
+class Space:
+    """The space of addresses in blocks; a task pairs the positions of one."""
+
+    blocks: int
+    size: int
+
+
+@dataclass(frozen=True)
+class Source:
+    """Positions to be ranked: `keys` gives (key, at), ascending by at, from the columns `use` of some rows."""
+
+    rows: DataFrame
+    use: tuple[str, ...]
+    keys: Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
 def changes(part: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
@@ -69,82 +106,186 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: i
         limit = max(rows, 2 * count)
 
 
-def ranked(rows: DataFrame, keys: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """(at, rank) of the rows (keys, at) whose keys another row has too, and the table behind it."""
-    fields = [*((k, pa.int64()) for k in keys), ("at", pa.int64()), ("rank", pa.int64()), ("edge", pa.bool_())]
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of a stream sorted by `key`, group after group."""
+    at: int | None = None
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cut = [*np.nonzero(changes(batch, [key]))[0].tolist(), batch.num_rows] if batch.num_rows else []
+        for a, z in zip(cut, cut[1:]):
+            k = batch.column(key)[a].as_py()
+            if held and k != at:
+                yield at, held
+                held = []
+            at = k
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield at, held
+
+
+def joined(rows: list[pa.RecordBatch], column: str, read: Callable[[bytes], np.ndarray] = unpacked) -> np.ndarray:
+    found = [read(b) for r in rows for b in r.column(column).to_pylist()]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def heavy_keys(source: Source) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that very many positions hold, at most four for each partition, ascending, and their first addresses."""
+
+    keys = source.keys
+
+    def sample(*columns: list) -> list:
+        key, at = keys(*columns)
+        return [key[at % SAMPLE == 0]]
+
+    n = 4 * partitions(source.rows.sparkSession)
+    seen = arrow_flat(source.rows, source.use, [("key", "long")], lambda: sample, by=None)
+    top = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY).orderBy(F.col("n").desc(), "key").limit(n).collect()
+    wanted = np.sort(np.array([r["key"] for r in top], np.int64))
+    if not len(wanted):
+        return wanted, wanted
+
+    def least(*columns: list) -> list:
+        key, at = keys(*columns)
+        mine = np.isin(key, wanted)
+        found, back = np.unique(key[mine], return_inverse=True)
+        first = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(first, back, at[mine])
+        return [found, first]
+
+    rows = arrow_flat(source.rows, source.use, [("key", "long"), ("at", "long")], lambda: least, by=None)
+    firsts = {r["key"]: r["at"] for r in rows.groupBy("key").agg(F.min("at").alias("at")).collect()}
+    return wanted, np.array([firsts[k] for k in wanted.tolist()], np.int64)
+
+
+def ranked(source: Source, space: Space, step: int) -> DataFrame:
+    """(part, known, at, val): positions whose keys others have too with their distance from the first one, dealt to their blocks.
+
+    Those that begin a block come into the block before too, for `step` addresses.
+    """
+    n = partitions(source.rows.sparkSession)
+    keys, use = source.keys, source.use
+    wanted, firsts = heavy_keys(source)
+
+    def rows_of(parts: np.ndarray, at: np.ndarray, known: bool, val: np.ndarray, out: list) -> None:
+        order = np.argsort(parts.astype(np.uint16) if n < 1 << 16 else parts, kind="stable")
+        parts, at, val = parts[order], at[order], val[order]
+        cut = [*np.nonzero(np.append(True, parts[1:] != parts[:-1]))[0].tolist(), len(parts)] if len(parts) else []
+        for a, z in zip(cut, cut[1:]):
+            out.append((int(parts[a]), known, packed(at[a:z]), packed(val[a:z]) if known else val[a:z].tobytes()))
+
+    def table(out: list) -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [[]] * 4
+        types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["part", "known", "at", "val"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in chain(batches, [None]):
+            for k in range(0, batch.num_rows if batch is not None else 1, 256):
+                if batch is not None:
+                    held.append(keys(*(batch.slice(k, 256).column(c).to_pylist() for c in use)))
+                    if sum(len(h[0]) for h in held) < FLUSH:
+                        continue
+                if not held:
+                    continue
+                key, at = (np.concatenate([h[i] for h in held]) for i in range(2))
+                held, out = [], []
+                if len(wanted):
+                    place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    heavy = wanted[place] == key
+                    rows_of(at[heavy] // UNIT % n, at[heavy], True, at[heavy] - firsts[place[heavy]], out)
+                    key, at = key[~heavy], at[~heavy]
+                part = ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                rows_of(part, at, False, key, out)
+                yield table(out)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "part"):
+            fresh = [r.filter(pc.invert(r.column("known"))) for r in rows]
+            settled = [r.filter(r.column("known")) for r in rows]
+            key, at = joined(fresh, "val", lambda b: np.frombuffer(b, np.int64)), joined(fresh, "at")
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            head = np.nonzero(new)[0]
+            size = np.diff(np.append(head, len(key)))
+            first = np.repeat(np.minimum.reduceat(at, head) if len(head) else at, size)
+            twin = np.repeat(size > 1, size)
+            at, far = np.append(at[twin], joined(settled, "at")), np.append((at - first)[twin], joined(settled, "val"))
+            order = np.argsort(at)
+            at, far = at[order], far[order]
+            out: list = []
+            rows_of(at // space.size, at, True, far, out)
+            ahead = (at % space.size < step) & (at >= space.size)
+            rows_of(at[ahead] // space.size - 1, at[ahead], True, far[ahead], out)
+            yield table(out)
+
+    def by_part(df: DataFrame, k: int) -> DataFrame:
+        return df.repartitionById(k, F.col("part")).sortWithinPartitions("part")
+
+    plain = source.rows.select(*use)
+    return by_part(by_part(plain.mapInArrow(deal, _ROUTED), n).mapInArrow(rank, _ROUTED), space.blocks)
+
+
+def paired(ranks: DataFrame, space: Space, step: int) -> DataFrame:
+    """(at, near, far): positions with their own rank's distance and that of the position `step` behind, where both are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, edge in whole_groups(batches, keys):
-            at = part.column("at").to_numpy()
-            if edge:
-                cols = [*(part.column(k).to_numpy() for k in keys), at, at, np.ones(len(at), bool)]
-            else:
-                new = changes(part, keys)
-                twin = ~(new & np.append(new[1:], True))
-                head = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-                n = int(twin.sum())
-                cols = [*(pa.nulls(n, pa.int64()) for _ in keys), at[twin], head[twin], np.zeros(n, bool)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, (_, t) in zip(cols, fields)], names=[f for f, _ in fields])
-
-    schema = ", ".join(f"{k} long" for k in keys) + ", at long, rank long, edge boolean"
-    order = [*keys, "at"]
-    table = written(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, schema), name)
-    edges = table.where("edge")
-    heads = edges.groupBy(*keys).agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    settled = edges.join(heads, list(keys)).select("at", F.col("head").alias("rank"))
-    return table.where("not edge").select("at", "rank").unionByName(settled), table
-
-
-def paired(ranks: DataFrame, step: int) -> DataFrame:
-    """(first, second, at): the rank of every position and of the one `step` behind it, where both are left."""
-    size = 1 << BLOCK_BITS
-    block = F.shiftright("at", BLOCK_BITS)
-    blocks = F.when(F.pmod("at", F.lit(size)) < step, F.array(block, block - 1)).otherwise(F.array(block))
-    rows = ranks.select(F.explode(blocks).alias("block"), "at", "rank")
+        for block, rows in grouped(batches, "part"):
+            at, far = joined(rows, "at"), joined(rows, "val")
+            order = np.argsort(at)
+            at, far = at[order], far[order]
+            mine = np.nonzero(at // space.size == block)[0]
+            found = np.searchsorted(at, at[mine] + step)
+            found[found == len(at)] = 0
+            both = at[found] == at[mine] + step
+            mine, found = mine[both], found[both]
+            for k in range(0, len(mine), FLUSH // 8):
+                a, b = mine[k : k + FLUSH // 8], found[k : k + FLUSH // 8]
+                yield pa.RecordBatch.from_arrays([pa.array([packed(x)], pa.binary()) for x in (at[a], far[a], far[b])], names=["at", "near", "far"])
+
+    return ranks.mapInArrow(run, "at binary, near binary, far binary")
+
+
+def hits(ranks: DataFrame, space: Space, earlier: bool) -> DataFrame:
+    """(unit, x, y): neighbouring positions that repeat, within units; with `earlier`, but for the first of equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_blocks(batches):
-            cut = [*np.nonzero(changes(part, ["block"]))[0].tolist(), part.num_rows]
-            own, at, rank = (part.column(c).to_numpy() for c in ("block", "at", "rank"))
-            for a, z in zip(cut, cut[1:]):
-                x, r = at[a:z], rank[a:z]
-                mine = x >> BLOCK_BITS == own[a]
-                found = np.searchsorted(x, x[mine] + step)
-                found[found == len(x)] = 0
-                both = x[found] == x[mine] + step
-                cols = [r[mine][both], r[found[both]], x[mine][both]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["first", "second", "at"])
-
-    return rows.repartition(partitions(ranks.sparkSession), "block").sortWithinPartitions("block", "at").mapInArrow(run, "first long, second long, at long")
-
-
-def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a stream sorted by `block`, no block in two batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cut = [*np.nonzero(changes(batch, ["block"]))[0].tolist(), batch.num_rows]
-        if held and held[0].column("block")[0] != batch.column("block")[0]:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        if len(cut) > 2:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut[-2])]).combine_chunks().to_batches()[0]
-            held = []
-        held.append(batch.slice(cut[-2]))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for _, rows in grouped(batches, "part"):
+            at = joined(rows, "at")
+            at = np.sort(at[joined(rows, "val") > 0] if earlier else at)
+            new = np.append(True, (at[1:] != at[:-1] + 1) | (at[1:] >> UNIT_BITS != at[:-1] >> UNIT_BITS))[: len(at)]
+            cut = np.nonzero(new)[0]
+            x, y = at[cut], at[np.append(cut[1:], len(at)) - 1] if len(cut) else at
+            unit = x >> UNIT_BITS
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (unit, x - (unit << UNIT_BITS), y - (unit << UNIT_BITS))], names=["unit", "x", "y"])
+
+    return ranks.mapInArrow(run, "unit long, x long, y long")
+
+
+def pair_keys(ats: list[bytes], nears: list[bytes], fars: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of pairs of ranks. The second rank's distance is from its own position."""
+    if not ats:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, near, far = (np.concatenate([unpacked(b) for b in x]) for x in (ats, nears, fars))
+    # The offset is one for all, so that at - far stands for the second rank.
+    return join_hash((at - near).view(np.uint64), (at - far).view(np.uint64)).view(np.int64), at
 
 
-def doubled(keys: DataFrame, length: int, window: int) -> DataFrame:
-    """(at, rank) at length `window` of the positions (key, at), whose keys are hashes of their strings of `length`.
+def repeated(units: DataFrame, count: int, keys: Callable[..., tuple[np.ndarray, np.ndarray]], length: int, window: int, earlier: bool) -> DataFrame:
+    """(unit, x, y) of positions whose strings of `window` repeat, by rounds from `length` on.
 
-    Rounds go on until the length is reached or nothing is left.
+    `keys` gives the hashes of strings of `length` from rows (unit, raw) of the `count` units.
     """
-    ranks, table = ranked(keys, ["key"], "ranks")
-    while length < window and ranks.limit(1).count():
+    n = partitions(units.sparkSession)
+    space = Space(n, max(UNIT, -(-count // n) * UNIT))
+    source, before = Source(units, ("unit", "raw"), keys), None
+    while length < window:
         step = min(length, window - length)
-        ranks, new = ranked(paired(ranks, step), ["first", "second"], "ranks")
-        dropped(table)
-        table, length = new, length + step
-    return ranks
+        pairs = written(paired(ranked(source, space, step), space, step), "pairs")
+        if before is not None:
+            dropped(before)
+        source, before, length = Source(pairs, ("at", "near", "far"), pair_keys), pairs, length + step
+        if not pairs.limit(1).count():
+            break
+    return hits(ranked(source, space, 0), space, earlier)

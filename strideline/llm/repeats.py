@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.common import M3, arrow_flat, arrow_map, dropped, globally_ranked, join_hash, mix, partitions, written
-from strideline.llm.doubling import BLOCK_BITS, UNIT_BITS, changes, doubled, whole_blocks, whole_groups
+from strideline.llm.doubling import UNIT, UNIT_BITS, changes, repeated, whole_groups
 from strideline.llm.packed import packed_texts
 from strideline.llm.windows import anchor_places, intervals, window_hashes, window_starts
 
@@ -160,7 +160,7 @@ class Repeats:
         addresses as a window has, so that no string seems to go on in the next stretch.
         """
         unpack = zstandard.ZstdDecompressor()
-        size, wide = 1 << UNIT_BITS, 1 if self.raw else 8
+        size, wide = UNIT, 1 if self.raw else 8
         out: list[list] = [[], [], [], [], []]
         for d, s, z, wanted in zip(docs, subs, packed, reps):
             whole = unpack.decompress(z)
@@ -173,7 +173,7 @@ class Repeats:
                         column.append(v)
         return out
 
-    def positions(self, units: list[int], raws: list[bytes]) -> list[np.ndarray]:
+    def positions(self, units: list[int], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(key, at) of the positions of units: hashes of their strings of the first length."""
         joined = b"".join(raws)
         base = byte_symbols(joined) if self.raw else np.frombuffer(joined, np.uint64)
@@ -181,9 +181,9 @@ class Repeats:
         n = np.maximum(lengths - self.first + 1, 0)
         starts = window_starts(lengths, self.first)
         if not len(starts):
-            return [np.zeros(0, np.int64)] * 2
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         begin = np.repeat((np.array(units, np.int64) << UNIT_BITS) - (np.cumsum(n) - n), n)
-        return [window_hashes(base, [self.first])[self.first][starts].view(np.int64), begin + np.arange(len(begin))]
+        return window_hashes(base, [self.first])[self.first][starts].view(np.int64), begin + np.arange(len(begin))
 
     def varied(self, docs: DataFrame, contexts: DataFrame) -> DataFrame:
         """(doc, sub, a, z): what repeated windows cover within `contexts`, by doubling."""
@@ -193,10 +193,8 @@ class Repeats:
         stretches = written(arrow_flat(joined, ["doc", "sub", "packed", "reps"], fields, lambda: self.units, by="packed", limit=1 << 20), "stretches")
         units = globally_ranked(stretches, ["doc", "sub", "stretch", "start"], "units", "unit")
         dropped(stretches)
-        keys = arrow_flat(units, ["unit", "raw"], [("key", "long"), ("at", "long")], lambda: self.positions, by="raw", limit=1 << 19)
-        hits = doubled(keys, self.first, self.window)
-        hits = hits.where("rank < at") if self.earlier else hits
-        runs = hits.select(F.shiftright("at", BLOCK_BITS).alias("block"), "at").repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "at").mapInArrow(_runs, "unit long, x long, y long")
+        count = units.agg(F.max("unit")).first()[0]
+        runs = repeated(units, 0 if count is None else count + 1, self.positions, self.first, self.window, self.earlier)
         placed = runs.join(units.select("unit", "doc", "sub", "start"), "unit")
         return placed.select("doc", "sub", (F.col("start") + F.col("x")).alias("a"), (F.col("start") + F.col("y") + self.window).alias("z"))
 
@@ -218,18 +216,6 @@ def _found(kind: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip([kind, *cols], _FOUND)], schema=_FOUND)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, first, last) of neighbouring addresses within units."""
-    for part in whole_blocks(batches):
-        at = np.asarray(part.column("at"))
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (at[1:] >> UNIT_BITS != at[:-1] >> UNIT_BITS)
-        cut = np.nonzero(new)[0]
-        x, y = at[cut], at[np.append(cut[1:], len(at)) - 1]
-        unit = x >> UNIT_BITS
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (unit, x - (unit << UNIT_BITS), y - (unit << UNIT_BITS))], names=["unit", "x", "y"])
-
-
 def byte_symbols(raw: bytes) -> np.ndarray:
     """The hashed symbols of bytes."""
     return _BYTES[np.frombuffer(raw, np.uint8)]
