@@ -30,7 +30,7 @@ from strideline.llm.common import arrow_flat, dropped, join_hash, partitions, wr
 UNIT_BITS = 10
 UNIT = 1 << UNIT_BITS
 #: Positions that a task holds before it deals them out.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: One position in so many is looked at to find pairs that very many hold; so many of these make one.
 SAMPLE, HEAVY = 64, 1024
 

@@ -107,7 +107,8 @@ class Repeats:
         return [signed(g), signed(f), doc[head], sub[head], lo[head].astype(np.int32), na[head].astype(np.int32), twins]
 
     def settled(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts (kind, ...) over rows sorted by (g, f, doc, sub, lo): those of whole grams told apart, the others open."""
+        """Contexts (kind, ...) over rows sorted by (g, f, doc, sub, lo). Of grams at the partition's edges, which may go on
+        elsewhere, the first context of each class stays open."""
         for part, edge in whole_groups(batches, ["g"]):
             cols = [part.column(c).to_numpy() for c in ("g", "f", "doc", "sub", "lo", "na")]
             twins = part.column("twins").combine_chunks()
@@ -119,9 +120,6 @@ class Repeats:
                 at = np.repeat(own, np.asarray(pc.list_value_length(twins).fill_null(0))[own] // 3)
                 cols = [np.concatenate([c, x]) for c, x in zip(cols, (cols[0][at], cols[1][at], flat[:, 0], flat[:, 1], flat[:, 2], cols[5][at]))]
                 head = np.concatenate([head, head[at]])
-            if edge:
-                yield _found(np.full(len(head), OPEN), cols)
-                continue
             # The same place again (a repeated row) isn't another occurrence.
             other = np.zeros(len(head), bool)
             for c in cols[2:5]:
@@ -129,11 +127,14 @@ class Repeats:
             several = np.zeros(len(head), bool)
             several[head[other]] = True
             repeats = other if self.earlier else other | (several & (head == np.arange(len(head))))
-            heads = np.nonzero(new)[0]
-            group = np.cumsum(changes(part, ["g"]))[heads]
-            varies = heads[np.bincount(group)[group] > 1]
             yield _found(np.full(int(repeats.sum()), REPEATS), [c[repeats] for c in cols])
-            yield _found(np.full(len(varies), VARIES), [c[varies] for c in cols])
+            heads = np.nonzero(new)[0]
+            if edge:
+                yield _found(np.full(len(heads), OPEN), [c[heads] for c in cols])
+            else:
+                group = np.cumsum(changes(part, ["g"]))[heads]
+                varies = heads[np.bincount(group)[group] > 1]
+                yield _found(np.full(len(varies), VARIES), [c[varies] for c in cols])
 
     def told(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc, sub, lo, na) of the contexts that repeat, and of one context of each class under a gram that has several."""
