@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -177,7 +178,19 @@ def lzw_decode(stream: bytes, bits: int, count: int) -> np.ndarray:
 
 
 def decode(media: bytes) -> list[Frame]:
-    """Frames of a GIF, drawn by its palettes, transparency and disposal rules."""
+    """All frames of a GIF at once."""
+    return list(drawn(media))
+
+
+def drawn(media: bytes) -> Iterator[Frame]:
+    """Frames of a GIF one by one, drawn by its palettes, transparency and disposal rules; ValueError where it is broken."""
+    try:
+        yield from _drawn(media)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"the file is cut off or broken: {e}") from e
+
+
+def _drawn(media: bytes) -> Iterator[Frame]:
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     wide, high, flags, back, _ = struct.unpack("<HHBBB", media[6:13])
@@ -189,14 +202,13 @@ def decode(media: bytes) -> list[Frame]:
     blank = shared[back] if shared is not None and back < len(shared) else np.zeros(3, np.uint8)
     screen = np.empty((high, wide, 3), np.uint8)
     screen[:] = blank
-    frames: list[Frame] = []
     delay, clear_index, disposal = 0, None, 0
     while True:
         if at >= len(media):
             raise ValueError("the file ends without its trailer")
         kind = media[at]
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             label, at = media[at + 1], at + 2
             body, at = _blocks(media, at)
@@ -233,7 +245,7 @@ def decode(media: bytes) -> list[Frame]:
             else:
                 shown = inside != clear_index
                 area[shown] = palette[inside[shown]]
-            frames.append(Frame(delay, left, top, samples, screen.copy()))
+            yield Frame(delay, left, top, samples, screen.copy())
             if disposal == 2:
                 area[:] = blank
             elif disposal == 3:
@@ -259,19 +271,33 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(top[:, 0] << 4 | top[:, 1] << 2 | top[:, 2], minlength=64)
 
 
+def timed(media: bytes) -> Iterator[tuple[tuple, Frame]]:
+    """Each frame with what is stored of it: (frame, start_ms, delay_ms, left, top, width, height, histogram)."""
+    clock = 0
+    for i, f in enumerate(drawn(media)):
+        h, w = f.samples.shape
+        yield (i, 10 * clock, 10 * f.delay_cs, f.left, f.top, w, h, histogram(f.canvas)), f
+        clock += f.delay_cs
+
+
 def stored_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", media: bool = False) -> DataFrame:
-    """Each text as a GIF and the digest of what is read back from it; with `media`, the stored file too."""
+    """Each text as a GIF and the digest of what is read back from it; with `media`, the stored file too.
+
+    The feature holds the number of frames, their time, and the colour histogram of all of them, bins that aren't empty.
+    """
 
     def row(text: str | None) -> tuple:
         raw = (text or "").encode()
         payload = raw + b"\0" * ((-len(raw)) % WIDTH or (0 if raw else WIDTH))
         stored = encode(payload)
-        frames = decode(stored)
-        back = b"".join(f.canvas[: f.samples.shape[0], :, 0].tobytes() for f in frames)
-        bins = np.bincount(np.frombuffer(back, np.uint8) >> 5, minlength=8)
-        feature = f"frames={len(frames)};ms={10 * sum(f.delay_cs for f in frames)};hist={'-'.join(map(str, bins))}"
+        bins, count, ms, parts = np.zeros(64, np.int64), 0, 0, []
+        for (_, start, delay, *_, colours), f in timed(stored):
+            bins, count, ms = bins + colours, count + 1, start + delay
+            parts.append(f.canvas[: f.samples.shape[0], :, 0].tobytes())
+        back = b"".join(parts)
+        hist = "-".join(f"{i}:{bins[i]}" for i in np.nonzero(bins)[0])
         digest = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]))
-        return *digest, len(stored), hashlib.sha256(stored).hexdigest(), feature, stored
+        return *digest, len(stored), hashlib.sha256(stored).hexdigest(), f"frames={count};ms={ms};hist={hist}", stored
 
     fields = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long")]
     fields += [("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("media", "binary")]
@@ -292,13 +318,10 @@ def frame_columns(media: DataFrame, key: str = "doc_id", column: str = "media")
             rows = []
             for k, data in zip(keys, files):
                 try:
-                    clock = 0
-                    for i, f in enumerate(decode(data or b"")):
-                        h, w = f.samples.shape
-                        rows.append((k, i, 10 * clock, 10 * f.delay_cs, f.left, f.top, w, h, histogram(f.canvas).tolist(), None))
-                        clock += f.delay_cs
+                    own = [(k, *place, colours.tolist(), None) for (*place, colours), _ in timed(data or b"")]
                 except ValueError as e:
-                    rows.append((k, None, None, None, None, None, None, None, None, str(e)))
+                    own = [(k, None, None, None, None, None, None, None, None, str(e))]
+                rows += own
             return list(zip(*rows)) if rows else [[]]
 
         return run

@@ -26,22 +26,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, unit, written
+from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, numbered, unit, written
 from strideline.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million.
 BANDS, ROWS = 40, 6
-#: Rounds that hold nodes against one leader each, before what is left is paired.
-ROUNDS = 2
+#: Rounds that hold nodes against one leader each at most, before what is left is paired; one that links nothing is the last.
+ROUNDS = 3
 #: Pairs whose signatures agree on less than this share (six deviations under the threshold's) aren't verified.
 AGREE = 0.64
 #: Nodes of a bucket that are paired; those of larger ones meet by prefixes.
 CROWD = 32
 #: Counters of shingles and their classes, whatever the data's size; shingles that share one cost time alone.
 COUNTERS = 1 << 20
-#: Sizes of one class differ by this factor at most.
-SIZE_STEP = 1.05
 #: Documents whose darts a task holds at once.
 SIGN_DOCS = 256
 #: Word hashes that a worker keeps.
@@ -226,37 +224,22 @@ def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where(F.col("similarity") >= SIMILARITY).select("u", "v")
 
 
-def size_bounds(most: int) -> np.ndarray:
-    """The smallest size of each size class, up to `most`."""
-    steps = int(np.log(max(most, 2)) / np.log(SIZE_STEP)) + 2
-    return np.unique(np.ceil(SIZE_STEP ** np.arange(steps)).astype(np.int64))
-
-
 def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
     """Common strips that sets of a and b strips need to be similar enough."""
     return np.ceil((np.asarray(a) + b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).astype(np.int64)
 
 
-def prefix_rows(strips: np.ndarray, counts: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place, probe) of one node: what it is found by as the smaller of a pair, and what it looks for as the larger one.
+def prefix_rows(strips: np.ndarray, counts: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(strip, place) of one node's prefix: its strips rarest first, as many as a similar enough node can't lack altogether.
 
-    A key is a strip and the size class of the smaller node. A larger node's prefix follows from the smallest size in
-    the class that it looks into, so it is no longer than a pair of these sizes needs. Strips that one class has to
-    itself (`alone`) keep their places but meet nobody.
+    Such a node shares SIMILARITY of the larger one's strips at least, so two prefixes of this length have a common one.
+    Strips that one class has to itself (`alone`) keep their places but meet nobody.
     """
     n = len(strips)
     at = (strips % np.uint64(COUNTERS)).astype(np.int64)
-    order = np.lexsort((strips, counts[at]))
-    ranked, meets = strips[order], ~alone[at[order]]
-    bounds = size_bounds(n)
-    own = int(np.searchsorted(bounds, n, side="right")) - 1
-    least = int(np.ceil(SIMILARITY * n - 1e-9))
-    first = max(0, int(np.searchsorted(bounds, least, side="right")) - 1)
-    reach = [(own, n - int(needed(n, n)) + 1, False)]
-    reach += [(q, n - int(needed(n, max(least, int(bounds[q])))) + 1, True) for q in range(first, own + 1)]
-    places = [np.nonzero(meets[:k])[0] for _, k, _ in reach]
-    keys = [join_hash(ranked[at], np.full(len(at), q, np.uint64)) for (q, _, _), at in zip(reach, places)]
-    return np.concatenate(keys), np.concatenate(places), np.repeat([p for _, _, p in reach], [len(at) for at in places])
+    order = np.lexsort((strips, counts[at]))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+    meets = ~alone[at[order]]
+    return strips[order][meets], np.nonzero(meets)[0]
 
 
 def strips_of(packed: list[bytes]) -> list[np.ndarray]:
@@ -297,23 +280,21 @@ def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
             rows = [prefix_rows(s, *shared.value) for s in strips]
             size = [len(r[0]) for r in rows]
             spread = lambda x: np.repeat(np.array(x, np.int64), size)
-            key, place, probe = (np.concatenate(x) for x in zip(*rows))
-            return [key.view(np.int64), spread(node), spread(cls), spread([len(s) for s in strips]), place, probe]
+            key, place = (np.concatenate(x) for x in zip(*rows))
+            return [key.view(np.int64), spread(node), spread(cls), spread([len(s) for s in strips]), place]
 
         return run
 
-    fields = [("key", "long"), ("node", "long"), ("class", "long"), ("size", "long"), ("place", "long"), ("probe", "boolean")]
+    fields = [("key", "long"), ("node", "long"), ("class", "long"), ("size", "long"), ("place", "long")]
     rows = arrow_flat(texts, ["node", "class", "packed"], fields, make_rows, by="packed", limit=1 << 18)
-    # Only keys that two classes have; members of a key's main class look for others alone.
-    main = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("asks"), F.min("probe").alias("all_ask"))
-    main = main.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("asks").alias("asks"), F.min("all_ask").alias("all_ask"))
-    main = main.where("classes > 1 and asks and not all_ask").select("key", "main")
-    rows = written(rows.join(main, "key").withColumn("in_main", F.col("class") == F.col("main")).drop("main"), "prefixes")
-    found = rows.where("not probe").select("key", F.col("in_main").alias("side"), F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("b"), F.col("place").alias("j"))
-    sides = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    asking = rows.where("probe").select("key", F.explode(sides).alias("side"), F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("a"), F.col("place").alias("i"))
+    # Only keys that two classes have; members of a key's main class don't look for others, they are found.
+    main = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes"))
+    rows = written(rows.join(main.where("classes > 1").select("key", "main"), "key").withColumn("in_main", F.col("class") == F.col("main")).drop("main"), "prefixes")
+    found = rows.select("key", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("in_main").alias("found"))
+    asking = rows.where("not in_main").select("key", F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("b"), F.col("place").alias("j"))
     fits = F.least(F.expr("a - i"), F.expr("b - j")) >= F.ceil(F.expr("a + b") * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
-    near = found.join(asking, ["key", "side"]).where("cu <> cv and b <= a").where(fits)
+    near = found.join(asking, "key").where("cu <> cv and (found or u < v)").where(fits)
     return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -343,9 +324,10 @@ def classes_of(docs: DataFrame) -> DataFrame:
     texts_of = packed_by_hash(docs).join(met_any, ["first", "h1", "h2"]).select("node", "packed").dropDuplicates(["node"])
     slim = written(nodes.select("node", "sig").join(texts_of, "node"), "candidates")
     classes = written(nodes.select("node", F.col("node").alias("class")), "classes")
-    for turn in range(ROUNDS + 1):
+    leading, turn = ROUNDS > 0, 0
+    while True:
         held = buckets.join(classes, "node")
-        if turn < ROUNDS:
+        if leading:
             # A leader for each bucket, another in each round; each node meets the one of another class that it shares most buckets with.
             order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
             lead = held.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("leader"), F.col("class").alias("c"))).alias("l")).select("key", "l.leader", "l.c")
@@ -361,8 +343,13 @@ def classes_of(docs: DataFrame) -> DataFrame:
             crowd = rest.where("crowded").select("node", "class").distinct()
             pairs = pairs.unionByName(prefix_pairs(crowd, slim)).distinct()
         links = written(linked(pairs, slim), "links")
-        if links.limit(1).count():
+        linking = bool(links.limit(1).count())
+        if linking:
             classes = merged(classes, links)
+        if not leading:
+            break
+        turn += 1
+        leading = linking and turn < ROUNDS
     members = texts.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     leader = members.groupBy("class").agg(F.min(F.struct("first", "node")).alias("l"))
     named_class = members.join(leader, "class").select("h1", "h2", F.col("l.first").alias("class_id"), (F.col("node") == F.col("l.node")).alias("leads"))
@@ -377,7 +364,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, that of the smallest doc_id, with all its columns; rows without doc_id stay."""
-    found = classes_of(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    first = found.where("leads").select(F.col("doc_id").alias("_first_id"), F.col("h").alias("_first_hash")).distinct()
-    named = docs.join(first, (F.col(doc_id).cast("long") == F.col("_first_id")) & (F.xxhash64(F.col(text)) == F.col("_first_hash")), "left_semi")
-    return named.unionByName(docs.where(F.col(doc_id).cast("long").isNull()))
+    plain, (i, t) = numbered(docs, doc_id, text)
+    number = F.col(i).cast("long")
+    found = classes_of(plain.select(number.alias("doc_id"), F.col(t).alias("text")))
+    first = found.where("leads").select("doc_id", "h").distinct()
+    named = plain.join(first, (number == F.col("doc_id")) & (F.xxhash64(F.col(t)) == F.col("h")), "left_semi")
+    return named.unionByName(plain.where(number.isNull())).toDF(*docs.columns)

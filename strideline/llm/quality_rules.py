@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import WORD, arrow_map, written
+from strideline.llm.common import WORD, arrow_map, numbered, written
 
 #: Labelled rows that the list is learned from, at most; a hash of the document's id chooses them.
 SAMPLE_ROWS = 20_000
@@ -230,7 +230,7 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, all columns as they were."""
-    prefix = "_rule_"
-    stats = written(statistics(docs, list(docs.columns), text, prefix), "quality")
-    rules = fitted(stats, labels, doc_id, prefix)
-    return stats.where(~base_failed(prefix) & expression(rules, prefix)).select(*docs.columns)
+    plain, (i, t) = numbered(docs, doc_id, text)
+    stats = written(statistics(plain, plain.columns, t), "quality")
+    rules = fitted(stats, labels, i)
+    return stats.where(~base_failed() & expression(rules)).select(*plain.columns).toDF(*docs.columns)

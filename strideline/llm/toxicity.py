@@ -6,8 +6,8 @@ characters), its margin the largest of theirs: the machine is trained on sentenc
 by choosing toxic sentences' witnesses, fitting a squared-hinge machine on Nyström features of units, and choosing
 again. A document's score is the calibrated largest margin over all its sentences, which is the largest over all units.
 
-Defined cases: a null or empty text has no unit and gets the score of the bias alone; null labels are ignored; with no
-labelled example of one class every score is the other class's; repeated rows are scored one by one; other columns pass
+Defined cases: a null or empty text has no unit and gets the score of the bias alone; null labels are ignored, of contradicting ones of an id toxic holds; with no
+labelled example of one class every score is the other class's, and with no string that tells the classes apart it is 0; repeated rows are scored one by one; other columns pass
 through untouched in `clean`.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import arrow_map
+from strideline.llm.common import arrow_map, numbered
 
 #: Labelled documents that the machine is trained on, at most about so many of each class; a hash of the id chooses them.
 TOXIC_DOCS, OTHER_DOCS = 1_000, 1_500
@@ -338,7 +338,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Machine | None, float]:
     """The machine of the labelled documents that aren't held out, and the toxic share of those it was trained on."""
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out()).select(F.col("doc_id").alias("_label_id"), (F.col("toxic") == 1).alias("_toxic"))
-    marks = marks.dropDuplicates(["_label_id"])
+    marks = marks.groupBy("_label_id").agg(F.max("_toxic").alias("_toxic"))
     n = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = 1 << 20
     place = F.pmod(F.xxhash64("_label_id"), F.lit(full))
@@ -349,7 +349,9 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = rows.select("_label_id", "_toxic", "_text").limit(2 * (TOXIC_DOCS + OTHER_DOCS)).collect()
     rows = sorted(rows, key=lambda r: (r["_label_id"], r["_text"]))
     toxic = np.array([r["_toxic"] for r in rows], bool)
-    return train([r["_text"] for r in rows], toxic), float(toxic.mean()) if len(toxic) else 0.0
+    machine = train([r["_text"] for r in rows], toxic)
+    # Without a machine: one class alone gives its score; two that no string tells apart mark nothing.
+    return machine, float(len(toxic) > 0 and toxic.all())
 
 
 def _scorer(machine: Machine | None, share: float, shared):
@@ -377,5 +379,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that don't count as toxic, all columns as they were."""
-    machine, share = fitted(docs, labels, doc_id, text)
-    return _scored(docs, list(docs.columns), text, "_toxic_score", machine, share).where(F.col("_toxic_score") < THRESHOLD).select(*docs.columns)
+    plain, (i, t) = numbered(docs, doc_id, text)
+    machine, share = fitted(plain, labels, i, t)
+    return _scored(plain, plain.columns, t, "score", machine, share).where(F.col("score") < THRESHOLD).select(*plain.columns).toDF(*docs.columns)

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, warc_fixity
 from strideline.llm.common import WORD
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, words long, packed string, g long, `_place` long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, words long, packed string, g long, `_place` long, doc long, sub long, h long, _label_id long, n_words long, c0 string, `unit` int"
 
 
 def odd_docs(spark):
     """Nulls, empty and long texts, repeated rows, ties, and columns with names that operators use."""
     texts = ["plain words here", "", None, "plain words here", "x " * 3000, "é😀\x00 \n\t<|endoftext|>", "a\n\nb\n\na", " ", "word" * 500]
-    rows = [(i, t, None, None, None, 0.5, True, 1, "p", 2, 3) for i, t in enumerate(texts)]
+    rows = [(i, t, None, None, None, 0.5, True, 1, "p", 2, 3, 4, 5, 6, 7, 8, "c", 9) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[0], (None, "no id", *rows[0][2:]), (None, None, *rows[0][2:])], SCHEMA)
 
 
@@ -181,6 +181,9 @@ def test_gif_drawing(spark):
     red, green, blue, black = pal[1], pal[2], pal[3], pal[0]
     assert at == [[red] * 4, [green, red, red, red], [red, red, red, blue], [red, red, green, black]]
     df = spark.createDataFrame([(1, gif), (2, b"junk"), (3, None)], "doc_id long, media binary")
+    for cut in range(len(gif)):  # a file cut off anywhere is told as broken, never as anything else
+        with pytest.raises(ValueError):
+            media_gif.decode(gif[:cut])
     rows = media_gif.frame_columns(df).orderBy("doc_id", "frame").collect()
     assert [r["start_ms"] for r in rows[:4]] == [0, 50, 100, 150] and sum(rows[0]["histogram"]) == 4 and rows[4]["error"] and rows[5]["error"]
 
@@ -424,14 +427,12 @@ def test_prefixes():
         a = rng.choice(1 << 40, size=rng.integers(1, 120), replace=False).astype(np.uint64)
         b = np.unique(np.concatenate([a[rng.integers(0, 1 + len(a) // 5) :], rng.integers(1 << 41, 1 << 42, size=rng.integers(0, 1 + len(a) // 8)).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        large, small = (a, b) if len(a) >= len(b) else (b, a)
         alone = np.ones(near_dup.COUNTERS, bool)
         alone[np.intersect1d(a, b).astype(np.int64) % near_dup.COUNTERS] = False
-        keys, places, probe = near_dup.prefix_rows(small, counts, alone)
-        held = dict(zip(keys[~probe].tolist(), places[~probe].tolist()))
-        keys, places, probe = near_dup.prefix_rows(large, counts, alone)
+        (keys, places), (others, theirs) = near_dup.prefix_rows(a, counts, alone), near_dup.prefix_rows(b, counts, alone)
+        held = dict(zip(keys.tolist(), places.tolist()))
         need = near_dup.needed(len(a), len(b))
-        met = any(k in held and min(len(large) - i, len(small) - held[k]) >= need for k, i, p in zip(keys.tolist(), places.tolist(), probe) if p)
+        met = any(k in held and min(len(a) - held[k], len(b) - j) >= need for k, j in zip(others.tolist(), theirs.tolist()))
         assert met or common < 0.8 * (len(a) + len(b) - common) - 1e-9
 
 
