@@ -19,8 +19,10 @@ each; a null doc_id has a null class; other columns pass through untouched in `k
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, numbered, unit, written
 from strideline.llm.components import components
+from strideline.llm.doubling import grouped, joined, packed, unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million.
@@ -40,6 +43,7 @@ AGREE = 0.64
 CROWD = 32
 #: Counters of shingles and their classes, whatever the data's size; shingles that share one cost time alone.
 COUNTERS = 1 << 20
+COUNTER_BLOCKS = 64
 #: Documents whose darts a task holds at once.
 SIGN_DOCS = 256
 #: Word hashes that a worker keeps.
@@ -248,30 +252,45 @@ def strips_of(packed: list[bytes]) -> list[np.ndarray]:
     return [occurrences(np.zeros(len(s), np.int64), s) for s in sets]
 
 
+def summed(at: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counters that stand once each: their numbers added up, and the smallest and the largest class."""
+    order = np.argsort(at, kind="stable")
+    at, n, lo, hi = at[order], n[order], lo[order], hi[order]
+    cut = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
+    return at[cut], np.add.reduceat(n, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
+
+
 def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
     """(u, v) of the nodes (node, class) of different classes that may be similar enough by their prefixes."""
     texts = written(crowd.join(slim.select("node", "packed"), "node"), "crowd")
 
+    size = COUNTERS // COUNTER_BLOCKS
+
     def make_counts():
-        def run(cls: list, packed: list) -> list:
-            strips = strips_of(packed)
+        def run(cls: list, packs: list) -> list:
+            strips = strips_of(packs)
             at = (np.concatenate(strips) % np.uint64(COUNTERS)).astype(np.int64)
             owner = np.repeat(np.array(cls, np.int64), [len(s) for s in strips])
-            order = np.lexsort((owner, at))
-            at, owner = at[order], owner[order]
-            cut = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
-            n = np.diff(np.append(cut, len(at)))
-            return [at[cut], n, owner[cut], owner[cut + n - 1]]
+            at, n, lo, hi = summed(at, np.ones(len(at), np.int64), owner, owner)
+            cut = np.searchsorted(at, np.arange(COUNTER_BLOCKS + 1) * size)
+            parts = [(k, a, z) for k, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+            return [[k for k, _, _ in parts], *([packed(x[a:z]) for _, a, z in parts] for x in (at, n, lo, hi))]
 
         return run
 
-    seen = arrow_flat(texts, ["class", "packed"], [("at", "long"), ("n", "long"), ("lo", "long"), ("hi", "long")], make_counts, by="packed", limit=1 << 20)
-    # COUNTERS rows at most, in 13 MB.
-    counted = seen.groupBy("at").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counted = counted.select(F.col("at").cast("int").alias("at"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"), (F.col("lo") == F.col("hi")).alias("alone")).toPandas()
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "block"):
+            at, n, lo, hi = summed(*(joined(rows, c) for c in ("at", "n", "lo", "hi")))
+            yield pa.RecordBatch.from_arrays([pa.array([packed(x)]) for x in (at, n, (lo == hi).astype(np.int64))], names=["at", "n", "alone"])
+
+    # Counters travel in blocks of packed arrays; COUNTERS of them at most reach the driver, in 13 MB unpacked.
+    fields = [("block", "int"), ("at", "binary"), ("n", "binary"), ("lo", "binary"), ("hi", "binary")]
+    seen = arrow_flat(texts, ["class", "packed"], fields, make_counts, by="packed", limit=1 << 20)
+    seen = seen.repartitionById(COUNTER_BLOCKS, F.col("block")).sortWithinPartitions("block").mapInArrow(merge, "at binary, n binary, alone binary")
     counts, alone = np.zeros(COUNTERS, np.int32), np.zeros(COUNTERS, bool)
-    counts[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int32)
-    alone[counted["at"].to_numpy(np.int64)] = counted["alone"].to_numpy(bool)
+    for r in seen.collect():
+        at = unpacked(r["at"])
+        counts[at], alone[at] = np.minimum(unpacked(r["n"]), 2**31 - 1), unpacked(r["alone"]) > 0
     shared = crowd.sparkSession.sparkContext.broadcast((counts, alone))
 
     def make_rows():

@@ -132,7 +132,7 @@ class WordBpe:
         for text in texts:
             text = text or ""
             parts, n = [text], 0
-            if self.special and "<" in text:
+            if self.special:
                 parts = self.special.split(text)
                 n = len(parts) - 1
             words: list[str] = []

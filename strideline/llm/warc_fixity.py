@@ -110,12 +110,17 @@ def split_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, bytes) of the records of a WARC file; of a packed one, places of its members."""
     at = 0
     if data[:2] == b"\x1f\x8b":
+        view, step = memoryview(data), 1 << 16
         while at < len(data):
-            member = zlib.decompressobj(31)
-            body = member.decompress(data[at:]) + member.flush()
-            size = len(data) - at - len(member.unused_data)
-            yield at, size, body
-            at += size
+            member, parts, end = zlib.decompressobj(31), [], at
+            while not member.eof and end < len(data):  # by steps, so that what follows isn't copied for each member
+                parts.append(member.decompress(view[end : end + step]))
+                end = min(len(data), end + step)
+            if not member.eof:
+                raise ValueError(f"the member at {at} has no end")
+            end -= len(member.unused_data)
+            yield at, end - at, b"".join(parts)
+            at = end
         return
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)

@@ -1,23 +1,70 @@
-"""The pipeline's stages over the smallest tables."""
+"""Each stage of the pipeline over what its predecessor kept, against a plain version of what it decides."""
 
+from collections import defaultdict
 from pathlib import Path
 
+import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from strideline.llm.common import table
+from strideline.llm import quality_rules, toxicity
+from strideline.llm.common import table, written
+import brute
 
 DATA = "/root/testdata/sf0.001"
 
 
+def quality_kept(spark, docs):
+    rules = quality_rules.fitted(quality_rules.statistics(docs, ["doc_id"]), table(spark, DATA, "labels"))
+    return [r for r in docs.collect() if brute.kept(brute.quality(r["text"]), rules, quality_rules.RATIOS)]
+
+
+def toxic_dropped(spark, docs):
+    machine, share = toxicity.fitted(docs, table(spark, DATA, "labels"))
+    score = lambda t: share if machine is None else machine.scores([t])[0]
+    return [r for r in docs.collect() if score(r["text"]) < 0.3]
+
+
+def near_dropped(spark, docs):
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    same = brute.links([r["text"] for r in rows])
+    first: dict = {}
+    for i, r in enumerate(rows):  # equal texts are one document, whatever their length
+        if r["text"] is not None:
+            same.add((first.setdefault(r["text"], i), i))
+    return [r for i, (r, c) in enumerate(zip(rows, brute.classes(len(rows), same))) if i == c]
+
+
+def repeats_cut(spark, docs):
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    out = []
+    for r, (kept, _, _) in zip(rows, brute.bytes_kept([r["text"] for r in rows])):
+        text = None if r["text"] is None else kept.decode("utf-8", "ignore")
+        new = r.asDict() | {"text": text, "n_chars": None if text is None else len(text)}
+        out.append(type(r)(**new))
+    return out
+
+
+PLAIN = [quality_kept, toxic_dropped, near_dropped, repeats_cut]
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no generated tables")
 def test_stages(spark):
     docs = table(spark, DATA, "documents")
-    columns, kept = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, DATA).cache()
-        left = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert docs.columns == columns and left <= kept and left, name
-        kept = left
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert {r["doc_id"] for r in last.select("doc_id").collect()} == kept
+    columns = docs.columns
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, PLAIN):
+        out = written(stage(spark, docs, DATA), "stage")
+        assert out.columns == columns, name
+        key = lambda r: tuple(str(v) for v in r)
+        assert sorted(map(tuple, out.collect()), key=key) == sorted((tuple(r[c] for c in columns) for r in plain(spark, docs)), key=key), name
+        docs = out
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    want = [(r["doc_id"], *p) for r in docs.collect() for p in brute.pieces(r["text"], library)]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+    filled = defaultdict(int)
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 2048 and len(filled) <= brute.best_fit_decreasing([r["length"] for r in rows], 2048)
