@@ -10,10 +10,12 @@ import sys
 from functools import reduce
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.operators import compare, labels, sla
+from strideline.model import OTHER, hidden_labels, without_sub_samples
+from strideline.operators import compare, labels, sla, steady
 from strideline.plans import report
 from strideline.sources import merge, rules
 
@@ -50,25 +52,34 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def read(spark: SparkSession, paths: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, (merge.read_one(spark, p) for p in paths.split(",") if p))
+def read(spark: SparkSession, paths: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Events of all logs, and the warnings about them."""
+    found = [merge.read_checked(spark, p) for p in paths.split(",") if p]
+    return reduce(DataFrame.unionByName, (e for e, _ in found)), tuple(w for _, ws in found for w in ws)
 
 
 def generate(spark: SparkSession, a: argparse.Namespace) -> int:
     given = rules.loads(Path(a.sla).read_text(encoding="utf-8")) if a.sla else rules.RuleSet()
     apdex = labels.Apdex(a.apdex_satisfied or given.apdex.satisfied, a.apdex_tolerated or given.apdex.tolerated)
     extras = dict(m.split("=", 1) for m in a.meta if "=" in m)
-    options = report.Options(a.title, a.log.split(","), extras, (), apdex, a.bucket, a.label_cap, a.sub, a.steady_state_only)
-    events = read(spark, a.log).persist()
+    events, warnings = read(spark, a.log)
+    events = events.persist(StorageLevel.DISK_ONLY)
+    over = hidden_labels(events if a.sub else without_sub_samples(events), a.label_cap)
+    if over:
+        warnings += (f"{over} labels beyond the cap of {a.label_cap} are counted as {OTHER}",)
+    options = report.Options(a.title, a.log.split(","), extras, warnings, apdex, a.bucket, a.label_cap, a.sub, a.steady_state_only)
     bundle = report.analysed(events, options)
     results = comparison = None
     title = ""
     if a.sla:
-        stats = bundle.tables["steady_stats" if given.steady_window else "stats"]
+        full = bundle.tables["stats"]
+        # A label without an event in the steady window is held against the whole run, not left out.
+        stats = steady.or_full(bundle.tables["steady_stats"], full) if given.steady_window else full
         results = sla.evaluate(stats, sla.rules_table(spark, given.rules)).persist()
     if a.baseline:
         base, slots, title = report.baseline_tables(spark, a.baseline)
         comparison = compare.verdicts(compare.deltas(base, bundle.tables["stats"]), compare.rank_test(slots, bundle.tables["histogram"]))
+        comparison = report.with_shift(comparison, slots, bundle.tables["histogram"])
     doc = report.document(bundle, results, comparison, title)
     report.write(doc, a.out)
     if a.junit and results is not None:
@@ -94,10 +105,12 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         if a.command == "generate":
             return generate(spark, a)
         if a.command == "compare":
-            judged = report.compared(read(spark, a.baseline), read(spark, a.candidate)).persist()
-            judged.write.mode("overwrite").json(a.out)
+            (baseline, _), (candidate, warnings) = read(spark, a.baseline), read(spark, a.candidate)
+            judged = report.compared(baseline, candidate).persist()
+            bundle = report.analysed(candidate, report.Options(f"{a.candidate} against {a.baseline}", [a.candidate], warnings=warnings))
+            report.write(report.document(bundle, comparison=judged, baseline_title=a.baseline), a.out)
             return int(compare.has_regression(judged).first()["has_regression"])
-        stats = labels.statistics(read(spark, a.log)).persist()
+        stats = labels.statistics(read(spark, a.log)[0]).persist()
         found = sla.recommend(stats, a.headroom)
         total = found.where("is_total").first()
         text = rules.dumps(sla.recommended_rules(found), total["apdex_satisfied"], total["apdex_tolerated"])

@@ -48,5 +48,10 @@ def quantiles(histograms: DataFrame, keys: Sequence[str], wanted: dict[str, floa
     every = Window.partitionBy(*keys)
     ranked = histograms.withColumn("_cum", F.sum("c").over(every.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.withColumn("_n", F.sum("c").over(every))
-    first = lambda q: F.min(F.when(F.col("_cum") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n"))), F.col("slot")))
-    return ranked.groupBy(*keys).agg(*(midpoint(first(q)).alias(name) for name, q in wanted.items()))
+    return ranked.groupBy(*keys).agg(*picks(wanted))
+
+
+def picks(wanted: dict[str, float], cum: str = "_cum", n: str = "_n") -> list[Column]:
+    """Aggregates that pick quantiles from rows with their slot, the running count up to it and the whole count."""
+    first = lambda q: F.min(F.when(F.col(cum) >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col(n))), F.col("slot")))
+    return [midpoint(first(q)).alias(name) for name, q in wanted.items()]

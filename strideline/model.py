@@ -97,5 +97,10 @@ def capped_labels(events: DataFrame, cap: int) -> DataFrame:
     return joined.withColumn("label", F.when(F.col("_kept").isNotNull(), F.col("label")).otherwise(F.lit(OTHER))).drop("_kept")
 
 
+def hidden_labels(events: DataFrame, cap: int) -> int:
+    """Labels that `capped_labels` would rename."""
+    return max(0, events.agg(F.count_distinct(F.coalesce("label", F.lit("")))).first()[0] - cap)
+
+
 def without_sub_samples(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(F.col("is_sub_sample"), F.lit(False)))

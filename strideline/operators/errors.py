@@ -29,7 +29,7 @@ def top_labels(events: DataFrame, k: int = 5) -> DataFrame:
 
 def onset(events: DataFrame, bucket_ms: int = 0, limit: int = 50) -> DataFrame:
     """Threads and throughput of the bucket in which each of the most frequent signatures first appeared."""
-    first = clusters(events, limit).crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("slot_ms", second("first_ms")).withColumn("t", bucket_key())
+    first = clusters(events, limit).crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("slot_ms", second("first_ms", bucket_ms)).withColumn("t", bucket_key())
     total = buckets(events, bucket_ms).where("is_total").select("t", "threads", "n")
     joined = first.join(total, "t", "left")
     rate = F.col("n") / (F.col("bucket_ms") / 1000.0)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.sketch import QUANTILES, histogram, quantiles
+from strideline.functions.sketch import QUANTILES, histogram, picks, quantiles, slot
 from strideline.model import TOTAL
 
 
@@ -67,12 +67,8 @@ def with_total(finer: DataFrame, aggregates: list[Column], by: tuple[str, ...] =
     return out.withColumn("is_total", F.col("_total") == 1).withColumn("label", F.when(F.col("_total") == 1, F.lit(TOTAL)).otherwise(F.col("label"))).drop("_total")
 
 
-def sums(events: DataFrame, apdex: Apdex = Apdex()) -> DataFrame:
-    return with_total(events.groupBy("label").agg(*measures(apdex)), rollup_measures())
-
-
-def derived(rows: DataFrame, duration_s: Column) -> DataFrame:
-    """Rates, means and Apdex out of sums. A rollup takes its own Apdex thresholds."""
+def derived(rows: DataFrame, duration_s: Column, also: list[str] | None = None) -> DataFrame:
+    """Rates, means and Apdex out of sums, and the columns `also`. A rollup takes its own Apdex thresholds."""
     n = F.col("n")
     mean = F.try_divide(F.col("sum_elapsed").cast("double"), n)
     variance = F.try_divide(F.col("sum_square"), n) - mean * mean
@@ -92,9 +88,28 @@ def derived(rows: DataFrame, duration_s: Column) -> DataFrame:
         (F.col("bytes") / 1024.0 / duration_s).alias("kb_recv"),
         (F.col("sent_bytes") / 1024.0 / duration_s).alias("kb_sent"),
         F.coalesce(F.try_divide(satisfied + tolerated / 2.0, n), F.lit(0.0)).alias("apdex"),
+        *(also or []),
     )
 
 
+def sketch_slot(value: str = "elapsed_ms") -> Column:
+    """The sketch's slot of a value; null without one, which counts for no quantile."""
+    return F.when(F.col(value).isNotNull(), slot(F.col(value)))
+
+
+def cells(events: DataFrame, apdex: Apdex = Apdex(), by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and sketch together, in one pass: (label, is_total, by, slot), the sums and the sketch's count c."""
+    rows = events.groupBy("label", *by, sketch_slot().alias("slot")).agg(*measures(apdex), F.count("elapsed_ms").alias("c"))
+    return with_total(rows, [*rollup_measures(), F.sum("c").alias("c")], (*by, "slot"))
+
+
+def summarised(fine: DataFrame, keys: list[str], wanted: dict[str, float] = QUANTILES) -> DataFrame:
+    """(keys, sums, quantiles) of rows that hold sums and the count c of a sketch's slot."""
+    every = Window.partitionBy(*keys)
+    ranked = fine.withColumn("_cum", F.sum("c").over(every.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(every))
+    return ranked.groupBy(*keys).agg(*rollup_measures(), *picks(wanted))
+
+
 def slots(events: DataFrame, value: str = "elapsed_ms") -> DataFrame:
     """The sketch of every label and of all events: (label, is_total, slot, c)."""
     return with_total(histogram(events, ["label"], value), [F.sum("c").alias("c")], ("slot",))
@@ -107,7 +122,7 @@ def percentiles(events: DataFrame, value: str = "elapsed_ms", wanted: dict[str,
 def statistics(events: DataFrame, apdex: Apdex = Apdex()) -> DataFrame:
     """One row for each label and one for all: counts, rates over the label's own span, spread, percentiles, Apdex."""
     span = F.greatest(F.lit(0.001), (F.col("last_ms") - F.col("first_ms")) / 1000.0)
-    return derived(sums(events, apdex), span).join(percentiles(events), ["label", "is_total"])
+    return derived(summarised(cells(events, apdex), ["label", "is_total"]), span, [*QUANTILES])
 
 
 def exact_percentiles(events: DataFrame, wanted: dict[str, float] = QUANTILES) -> DataFrame:
@@ -118,8 +133,6 @@ def exact_percentiles(events: DataFrame, wanted: dict[str, float] = QUANTILES) -
 
 def slowest(events: DataFrame, k: int = 20) -> DataFrame:
     """The k slowest events of every label and of all."""
-    from pyspark.sql import Window
-
     order = [F.col("elapsed_ms").desc(), "timestamp_ms", "source_id", "row_no"]
     cols = ["label", "timestamp_ms", "elapsed_ms", "response_code", "thread_name", "source_id", "row_no"]
     own = events.select(*cols).withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rank") <= k)

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.sketch import quantiles
+from strideline.functions.sketch import picks
 from strideline.operators import steady
-from strideline.operators.series import bounds, bucket_slots, buckets
+from strideline.operators.series import bounds, buckets, fine
 
 
 def curve(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
     """Throughput and p95 at every level of concurrent threads that some bucket reached."""
-    total = buckets(events, bucket_ms).where("is_total and threads > 0").select("t", "threads", "n")
-    level = total.groupBy("threads").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("b"))
-    level = level.crossJoin(F.broadcast(bounds(events, bucket_ms).select("bucket_ms")))
-    sketch = bucket_slots(events, bucket_ms).where("is_total").join(total.select("t", "threads"), "t")
-    p95 = quantiles(sketch.groupBy("threads", "slot").agg(F.sum("c").alias("c")), ["threads"], {"p95": 0.95})
-    rate = F.col("n") / (F.col("b") * (F.col("bucket_ms") / 1000.0))
-    return level.select("threads", rate.alias("throughput")).join(p95, "threads")
+    bucket = Window.partitionBy("t")
+    rows = fine(events, bucket_ms).where("is_total").select("t", "slot", "n", "c", "bucket_ms", F.max("threads").over(bucket).alias("threads"), (F.row_number().over(bucket.orderBy("slot")) == 1).alias("first"))
+    levels = rows.where("threads > 0").groupBy("threads", "slot").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if("first").alias("b"), F.max("bucket_ms").alias("bucket_ms"))
+    level = Window.partitionBy("threads")
+    levels = levels.withColumn("_cum", F.sum("c").over(level.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(level))
+    rate = F.sum("n") / (F.sum("b") * (F.max("bucket_ms") / 1000.0))
+    return levels.groupBy("threads").agg(rate.alias("throughput"), *picks({"p95": 0.95}))
 
 
 def knee(levels: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
-"""Time series: one-second slots, merged into buckets that begin with the run."""
+"""Time series: events fall on one-second slots, slots on buckets that begin with the run.
+
+A bucket of under a second is cut from the events' own times.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideline.functions.sketch import quantiles, slot
-from strideline.operators.labels import Apdex, measures, rollup_measures, with_total
+from strideline.operators.labels import Apdex, measures, rollup_measures, sketch_slot, summarised, with_total
 
 
 def bounds(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
@@ -17,8 +19,8 @@ def bounds(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
     return run.withColumn("bucket_ms", (F.lit(bucket_ms) if bucket_ms > 0 else auto).cast("long"))
 
 
-def second(ts: str = "timestamp_ms") -> Column:
-    return F.expr(f"({ts} div 1000) * 1000")
+def second(ts: str = "timestamp_ms", bucket_ms: int = 0) -> Column:
+    return F.col(ts) if 0 < bucket_ms < 1000 else F.expr(f"({ts} div 1000) * 1000")
 
 
 def bucket_key(at: str = "slot_ms") -> Column:
@@ -31,28 +33,31 @@ def seconds(events: DataFrame, apdex: Apdex = Apdex()) -> DataFrame:
     return with_total(events.groupBy("label", second().alias("slot_ms")).agg(*measures(apdex)), rollup_measures(), ("slot_ms",))
 
 
+def timed(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
+    """Events with their bucket `t` and the columns of `bounds`, which is one row."""
+    slotted = events.crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("slot_ms", second(bucket_ms=bucket_ms))
+    return slotted.withColumn("t", bucket_key())
+
+
 def buckets(events: DataFrame, bucket_ms: int = 0, apdex: Apdex = Apdex()) -> DataFrame:
     """Sums of every label in every bucket `t`, and of all labels."""
-    slots = events.groupBy("label", second().alias("slot_ms")).agg(*measures(apdex))
-    keyed = slots.crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("t", bucket_key())
-    return with_total(keyed, rollup_measures(), ("t",))
+    return with_total(timed(events, bucket_ms).groupBy("label", "t").agg(*measures(apdex)), rollup_measures(), ("t",))
 
 
-def bucket_slots(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
-    """The sketch of every label in every bucket: (label, is_total, t, slot, c)."""
-    timed = events.crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("slot_ms", second())
-    cells = timed.groupBy("label", bucket_key().alias("t"), slot(F.col("elapsed_ms")).alias("slot")).agg(F.count(F.lit(1)).alias("c"))
-    return with_total(cells, [F.sum("c").alias("c")], ("t", "slot"))
+def fine(events: DataFrame, bucket_ms: int = 0, apdex: Apdex = Apdex()) -> DataFrame:
+    """Sums and sketch together, in one pass: (label, is_total, t, slot), the sums, the sketch's count c, and bucket_ms."""
+    rows = timed(events, bucket_ms).groupBy("label", "t", sketch_slot().alias("slot"))
+    rows = rows.agg(*measures(apdex), F.count("elapsed_ms").alias("c"), F.max("bucket_ms").alias("bucket_ms"))
+    return with_total(rows, [*rollup_measures(), F.sum("c").alias("c"), F.max("bucket_ms").alias("bucket_ms")], ("t", "slot"))
 
 
 def cells(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
     """What a chart shows of every label in every bucket."""
-    p95 = quantiles(bucket_slots(events, bucket_ms), ["label", "is_total", "t"], {"p95": 0.95})
-    shown = buckets(events, bucket_ms).select(
+    rows = summarised(fine(events, bucket_ms), ["label", "is_total", "t"], {"p95": 0.95})
+    return rows.select(
         "label", "is_total", "t", "threads", "n", F.col("errors").alias("err"), (F.col("sum_elapsed") / F.col("n")).alias("mean"),
-        "max", (F.col("bytes") / 1024.0).alias("kb"), (F.col("sent_bytes") / 1024.0).alias("kb_sent"),
+        "max", (F.col("bytes") / 1024.0).alias("kb"), (F.col("sent_bytes") / 1024.0).alias("kb_sent"), "p95",
     )
-    return shown.join(p95, ["label", "is_total", "t"])
 
 
 def by_bucket(events: DataFrame, bucket_ms: int = 0) -> DataFrame:

@@ -27,13 +27,18 @@ class Rule:
     warn: float | None = None
 
 
+def normal_metric(name: str) -> str:
+    """A metric's own name; case doesn't matter, and some have two names."""
+    name = name.strip().lower()
+    return {"p99.9": "p999", "errorrate": "error_rate"}.get(name, name)
+
+
 def rules_table(spark, rules: Sequence[Rule]) -> DataFrame:
     """Rules as rows; their number is configuration. A rule for TOTAL, in any case, selects the rollup alone."""
     rows = []
     for i, r in enumerate(rules):
         on_total = r.match.upper() == TOTAL
-        metric = {"p99.9": "p999"}.get(r.metric, r.metric)
-        rows.append((i, r.match, glob_regex(r.match), on_total, metric, r.op, float(r.value), None if r.warn is None else float(r.warn)))
+        rows.append((i, r.match, glob_regex(r.match), on_total, normal_metric(r.metric), r.op, float(r.value), None if r.warn is None else float(r.warn)))
     return spark.createDataFrame(rows, _RULE)
 
 
@@ -55,12 +60,11 @@ def _holds(op, actual, bound):
 
 def evaluate(stats: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each rule and label that it matches: actual value and PASS, DEGRADED or FAIL. Unknown metrics and comparisons are errors."""
-    labels = stats.select("label", "is_total")
+    metric = F.when(F.col("metric").isin(*METRICS), F.col("metric")).otherwise(F.raise_error(F.concat(F.lit("unknown metric: "), F.col("metric"))).cast("string"))
+    wanted = rules.withColumn("metric", metric).withColumnRenamed("metric", "_metric")
     hit = F.when(F.col("on_total"), F.col("is_total")).otherwise(~F.col("is_total") & F.expr("label rlike pattern"))
-    matched = labels.join(F.broadcast(rules), hit)
-    valued = matched.join(metric_rows(stats), ["label", "is_total", "metric"], "left")
-    actual = F.coalesce("actual", F.when(~F.col("metric").isin(*METRICS), F.raise_error(F.concat(F.lit("unknown metric: "), F.col("metric"))).cast("double")))
-    rows = valued.withColumn("actual", actual)
+    # Statistics are evaluated once, as rows of one metric each.
+    rows = metric_rows(stats).join(F.broadcast(wanted), (F.col("metric") == F.col("_metric")) & hit)
     good = _holds(F.col("op"), F.col("actual"), F.col("value"))
     fair = F.col("warn").isNull() | _holds(F.col("op"), F.col("actual"), F.col("warn"))
     status = F.when(~good, F.lit("FAIL")).when(~fair, F.lit("DEGRADED")).otherwise(F.lit("PASS"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.sketch import QUANTILES, quantiles
-from strideline.operators.labels import Apdex, derived, rollup_measures
-from strideline.operators.series import bounds, bucket_slots, buckets
+from strideline.functions.sketch import QUANTILES
+from strideline.operators.labels import Apdex, derived, rollup_measures, summarised
+from strideline.operators.series import bounds, buckets, fine
 
 
 def window(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
@@ -32,10 +32,17 @@ def window(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
 def statistics(events: DataFrame, bucket_ms: int = 0, apdex: Apdex = Apdex()) -> DataFrame:
     """Statistics of every label over the steady buckets; rates are over the window's length. A label without events there has no row."""
     edge = F.broadcast(window(events, bucket_ms).withColumnsRenamed({"start_ms": "_from", "end_ms": "_to"}))
-    inside = lambda df: df.crossJoin(edge).where("t >= _from and t < _to")
-    rows = inside(buckets(events, bucket_ms, apdex)).groupBy("label", "is_total", "_from", "_to").agg(*rollup_measures())
+    keys = ["label", "is_total", "_from", "_to"]
+    inside = fine(events, bucket_ms, apdex).crossJoin(edge).where("t >= _from and t < _to")
+    rows = summarised(inside.groupBy(*keys, "slot").agg(*rollup_measures(), F.sum("c").alias("c")), keys)
     # The rollup of a window counts each sample by its own label's thresholds.
     rows = rows.withColumn("total_satisfied", F.col("satisfied")).withColumn("total_tolerated", F.col("tolerated"))
     span = F.greatest(F.lit(0.001), (F.col("_to") - F.col("_from")) / 1000.0)
-    sketch = inside(bucket_slots(events, bucket_ms)).groupBy("label", "is_total", "slot").agg(F.sum("c").alias("c"))
-    return derived(rows, span).join(quantiles(sketch, ["label", "is_total"], QUANTILES), ["label", "is_total"])
+    return derived(rows, span, [*QUANTILES])
+
+
+def or_full(steady: DataFrame, full: DataFrame) -> DataFrame:
+    """Steady statistics of every label of `full`, and the full run's where a label has no event in the steady window."""
+    both = full.alias("f").join(steady.alias("s"), ["label", "is_total"], "left")
+    pick = lambda c: F.when(F.col("s.n").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c)
+    return both.select("label", "is_total", *(pick(c) for c in full.columns if c not in ("label", "is_total")))

@@ -165,6 +165,19 @@ ORACLE: dict[str, str] = {
     "timestamp_parse": f"with {EV} select row_no, {_RAW} as parsed_ms from ev",
     "lenient_cast": f"with {EV} select row_no, case when row_no % 3 = 0 then e else 0 end as or_zero, case when row_no % 3 = 0 then e end as or_null from ev",
     "malformed_counts": f"with {EV} select count(*) as total, count(*) filter ({_RAW} is null) as malformed from ev",
+    "log_policy": f"""with {EV}, m as (select case when row_no % 97 = 0 then 'short' when row_no % 2 = 0 then 'clean' else 'bad' end as source_id, row_no, ts from ev),
+      c as (select source_id, count(*) as total, count(*) filter (source_id <> 'clean' and {_RAW} is null) as malformed from m group by all)
+      select *, total > 1000 and malformed > total * 0.01::double as refused from c""",
+    "sla_eval_steady": f"""with {EV.replace("ev as (", "ev0 as (", 1)}, ev as (select * from ev0 where label <> 'click' or row_no < 20), {keyed()}, {BOUNDS}, {timed()}, {STEADY}, {stats(name="fs")},
+      sw as (select tb.* from tb, win where t >= w0 and t < w1), {quant('sw', 'k, is_total', 'e', 'q')},
+      a as (select k, is_total, 100.0::double * count(*) filter (not ok) / count(*) as error_rate, avg(e) as mean, max(e) as "max",
+        (count(*) filter (ok and e <= 500) + count(*) filter (ok and e > 500 and e <= 1500) / 2.0::double) / count(*) as apdex from sw group by all),
+      ss as (select k as label, is_total, error_rate, mean, "max", apdex, p95, p999 from a join q using (k, is_total)),
+      st as (select f.label, f.is_total, coalesce(ss.p95, f.p95) as p95, coalesce(ss.error_rate, f.error_rate) as error_rate, coalesce(ss.mean, f.mean) as mean, coalesce(ss.apdex, f.apdex) as apdex,
+        coalesce(ss."max", f."max") as "max", coalesce(ss.p999, f.p999) as p999 from fs f left join ss on ss.label = f.label and ss.is_total = f.is_total), {_RULES}
+      select rule_id, label, is_total, metric, {_R('actual')}, status from res""",
+    "comparison_grades": f"""{_RUNS}, {_DELTAS} select label, is_total, case when p95_change > 0.5 then 'worse' when p95_change < -0.5 then 'better' else 'same' end as p95_grade,
+      case when throughput_change > 0.5 then 'worse' when throughput_change < -0.5 then 'better' else 'same' end as throughput_grade from dl""",
     "price_sketch": f"with l as (select l_returnflag as label, floor(l_extendedprice)::bigint as v from lineitem), {quant('l', 'label', 'v', 'q')} select * from q",
     "stream_label_counts": f"with {EV}, {keyed()} select k as label, is_total, count(*) as n, count(*) filter (not ok) as errors, sum(e)::bigint as sum_elapsed from g group by all",
 }

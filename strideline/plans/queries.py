@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strideline.functions.sketch import histogram, merged, quantiles
 from strideline.model import capped_labels, runs, user_events, without_sub_samples
 from strideline.operators import compare, downsample, errors, labels, posterior, scaling, series, sla, steady, tables
-from strideline.sources.csv_log import lenient_long, parsed_timestamp
+from strideline.sources.csv_log import lenient_long, parsed_timestamp, policy
 from strideline.streaming.live import label_counts_once
 
 OVERRIDES = labels.Apdex(500, 1500, {"click": (200, 800), "TOTAL": (300, 1200)})
@@ -300,6 +300,29 @@ def malformed_counts(ev):
     return ev.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("malformed"))
 
 
+@_query("log_policy")
+def log_policy(ev):
+    """Three logs: one without malformed rows, one with too many, and one that is too short to be refused."""
+    n = F.col("row_no")
+    source = F.when(n % 97 == 0, "short").when(n % 2 == 0, "clean").otherwise("bad")
+    raw = F.when(source == "clean", F.col("timestamp_ms").cast("string")).otherwise(_raw_time(n))
+    return policy(ev.select(source.alias("source_id"), parsed_timestamp(raw).isNull().alias("is_malformed")))
+
+
+@_query("sla_eval_steady")
+def sla_eval_steady(ev):
+    """Rules over the steady window; a label that is all but absent there is held against the whole run."""
+    rare = ev.where("label <> 'click' or row_no < 20")
+    stats = steady.or_full(steady.statistics(rare), labels.statistics(rare))
+    return sla.evaluate(stats, sla.rules_table(ev.sparkSession, RULES)).drop("warn", "op", "value")
+
+
+@_query("comparison_grades")
+def comparison_grades(ev):
+    rows = compare.deltas(*map(labels.statistics, runs(ev)))
+    return rows.select("label", "is_total", tables.change_grade(F.col("p95_change")).alias("p95_grade"), tables.change_grade(F.col("throughput_change")).alias("throughput_grade"))
+
+
 def price_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketch over a larger table: percentiles of prices in cents by return flag."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("label"), F.floor("l_extendedprice").cast("long").alias("price"))

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.model import capped_labels, without_sub_samples
-from strideline.operators import compare, errors, labels, posterior, scaling, series, sla, steady
+from strideline.operators import compare, downsample, errors, labels, posterior, scaling, series, sla, steady
+from strideline.operators.tables import change_grade, risk_grade
 
 SCHEMA_ID = "strideline/report/1"
 CURVE_POINTS = 2000
@@ -120,7 +121,9 @@ def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataF
     }
     names = sorted(keyed["stats"], key=lambda k: k[0])
     cells: dict[int, dict] = {}
-    for r in _rows(t["series"], "t", "label"):
+    # A document shows CURVE_POINTS of each label's buckets at most; `Bundle.write_parquet` keeps them all.
+    shown = downsample.thinned(t["series"], "mean", CURVE_POINTS).select("label", "is_total", "t")
+    for r in _rows(t["series"].join(shown, ["label", "is_total", "t"], "left_semi"), "t", "label"):
         b = cells.setdefault(r["t"], {"t": r["t"], "threads": 0, "perLabel": {}})
         if r["is_total"]:
             b["threads"] = r["threads"]
@@ -150,9 +153,13 @@ def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataF
 
 def compared(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """The comparison of two runs' events with the estimated shifts of their p95."""
-    judged = compare.against(baseline, candidate)
-    shift = posterior.posterior(labels.slots(baseline), labels.slots(candidate))
-    return judged.join(shift, ["label", "is_total"], "left")
+    return with_shift(compare.against(baseline, candidate), labels.slots(baseline), labels.slots(candidate))
+
+
+def with_shift(judged: DataFrame, baseline_slots: DataFrame, candidate_slots: DataFrame) -> DataFrame:
+    """Judged labels with the estimated shifts of their p95 and the grades that a report shows."""
+    rows = judged.join(posterior.posterior(baseline_slots, candidate_slots), ["label", "is_total"], "left")
+    return rows.withColumn("grade", change_grade(F.col("p95_change"))).withColumn("risk", F.when(F.col("p_regression").isNotNull(), risk_grade(F.col("p_regression"))))
 
 
 def baseline_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
@@ -160,7 +167,7 @@ def baseline_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     row = spark.read.option("multiLine", True).json(path).first()
     doc = row.asDict(recursive=True)
     stats, slots = [], []
-    for item, is_total in [*((x, False) for x in doc["labels"]), (doc["total"], True)]:
+    for item, is_total in [*((x, False) for x in doc["labels"] or []), *([(doc["total"], True)] if doc.get("total") else [])]:
         s = item["stats"]
         stats.append((item["name"], is_total, int(s["n"]), *(float(s[k]) for k in ("error_rate", "mean", "throughput", "apdex")), *(int(s[k]) for k in ("p50", "p90", "p95", "p99"))))
         slots += [(item["name"], is_total, int(a), int(c)) for a, c in item["histogram"]]
@@ -172,6 +179,17 @@ def as_json(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
 
 
+def _chart(title: str, rows: list[dict], key: str, wide: int = 900, high: int = 160) -> str:
+    """A line over the run's buckets as inline SVG."""
+    points = [(r["t"], r[key]) for r in rows if r.get(key) is not None]
+    if len(points) < 2:
+        return ""
+    left, span = points[0][0], max(1, points[-1][0] - points[0][0])
+    top = max(1e-9, max(v for _, v in points))
+    path = " ".join(f"{(t - left) / span * wide:.1f},{high - v / top * (high - 10):.1f}" for t, v in points)
+    return f'<h2>{_html.escape(title)} (up to {top:g})</h2><svg width="{wide}" height="{high}" role="img"><polyline fill="none" stroke="#36c" points="{path}"/></svg>'
+
+
 def as_html(doc: dict) -> str:
     """One self-contained page: the tables, and the document itself for scripts."""
     cell = lambda v: f"<td>{_html.escape('' if v is None else str(v))}</td>"
@@ -184,7 +202,14 @@ def as_html(doc: dict) -> str:
         return f"<h2>{_html.escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
     entries = [*doc["labels"], *([doc["total"]] if doc["total"] else [])]
-    parts = [table("Transactions", [{"label": e["name"]} | e["stats"] for e in entries]), table("Errors", doc["errors"]), table("Scalability", doc["scalability"]["curve"])]
+    total = doc["total"]["name"] if doc["total"] else ""
+    series = [{"t": b["t"], "threads": b["threads"]} | b["perLabel"].get(total, {}) for b in doc["series"]["buckets"]]
+    notes = [{"warning": w} for w in doc["meta"]["warnings"]]
+    extras = [{"name": k, "value": v} for k, v in doc["meta"]["extras"].items()]
+    parts = [table("Warnings", notes), table("Run", extras), table("Transactions", [{"label": e["name"]} | e["stats"] for e in entries])]
+    parts += [table("Steady state", [{"label": e["name"]} | e["steadyStats"] for e in entries if e["steadyStats"]])]
+    parts += [_chart("Throughput", series, "n"), _chart("Mean response time", series, "mean"), _chart("Threads", series, "threads")]
+    parts += [table("Errors", doc["errors"]), table("Scalability", doc["scalability"]["curve"])]
     if "sla" in doc:
         parts.append(table(f"Service levels: {doc['sla']['verdict']}", doc["sla"]["rules"]))
     if "comparison" in doc:

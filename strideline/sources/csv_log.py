@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.model import conform
-from strideline.sources.detect import first_bytes
+from strideline.sources.detect import first_bytes, is_gzip, named_gzip
 
 #: The columns of a log without a header, in their order.
 DEFAULT_COLUMNS = (
@@ -26,20 +26,33 @@ MALFORMED_SHARE, FREE_ROWS = 0.01, 1000
 class Log:
     """A parsed log: good events, and the malformed rows with their text."""
 
-    events: DataFrame
-    malformed: DataFrame
+    parsed: DataFrame
     columns: tuple[str, ...]
     warnings: tuple[str, ...]
 
+    @property
+    def events(self) -> DataFrame:
+        return conform(self.parsed.where("not is_malformed"))
+
+    @property
+    def malformed(self) -> DataFrame:
+        return self.parsed.where("is_malformed").select(F.substring("_text", 1, 200).alias("text"), "row_no")
+
     def counts(self) -> tuple[int, int]:
-        """(rows, malformed rows), in one pass each; raises if too many are malformed."""
-        bad = self.malformed.count()
-        total = bad + self.events.count()
-        if total > FREE_ROWS and bad > total * MALFORMED_SHARE:
+        """(rows, malformed rows), in one pass; raises if too many are malformed."""
+        r = policy(self.parsed).first()
+        total, bad = (r["total"], r["malformed"]) if r else (0, 0)
+        if r and r["refused"]:
             raise ValueError(f"{bad} of {total} rows are malformed")
         return total, bad
 
 
+def policy(parsed: DataFrame) -> DataFrame:
+    """(source_id, total, malformed, refused) of rows with `is_malformed`: a log with too many malformed rows is refused."""
+    out = parsed.groupBy("source_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_malformed").alias("malformed"))
+    return out.withColumn("refused", (F.col("total") > FREE_ROWS) & (F.col("malformed") > F.col("total") * MALFORMED_SHARE))
+
+
 def normal_name(name: str) -> str:
     return name.lstrip("﻿").strip().lower()
 
@@ -83,12 +96,22 @@ def to_events(rows: DataFrame, source_id: str) -> DataFrame:
     return out.withColumn("is_malformed", F.col("timestamp_ms").isNull() | F.col("elapsed_ms").isNull())
 
 
-def read(spark: SparkSession, path: str, samples: int = 10) -> Log:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """If some quoted field holds a line end: a line then has an odd number of quotes. Reads the file once, in splits, as text."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def read(spark: SparkSession, path: str, multi_line: bool | None = None) -> Log:
     """A CSV log, compressed or not, with or without a header. Quoted fields may hold commas, quotes and line ends.
 
-    Every field is read as text and cast leniently; a row without a time or a duration is malformed and set apart.
+    Every field is read as text and cast leniently; a row without a time or a duration is malformed and set apart. A file
+    is dealt in splits unless quoted line ends forbid it, which `multi_line` tells or else a pass over the text.
     """
-    options = {"header": False, "multiLine": True, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
+    source_id = path
+    if is_gzip(spark, path) and not path.endswith(".gz"):
+        path = named_gzip(spark, path)
+    options = {"header": False, "multiLine": spans_lines(spark, path) if multi_line is None else multi_line, "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
     head = first_bytes(spark, path, 1 << 16).decode("utf-8", "replace").lstrip("﻿").splitlines()
     first = [f.strip().strip('"') for f in (head[0].split(",") if head else [])]
     has_header = looks_like_header(first)
@@ -99,7 +122,6 @@ def read(spark: SparkSession, path: str, samples: int = 10) -> Log:
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])
     rows = spark.read.options(**(options | {"header": has_header, "enforceSchema": True})).schema(schema).csv(path)
     kept = {c: i for i, c in reversed(list(enumerate(columns)))}
-    parsed = to_events(rows.select(*(F.col(f"_{i}").alias(c) for c, i in kept.items())), path)
+    parsed = to_events(rows.select(*(F.col(f"_{i}").alias(c) for c, i in kept.items())), source_id)
     warnings = () if "success" in columns else ("no success column: every sample counts as failed",)
-    bad = parsed.where("is_malformed").select(F.substring("_text", 1, 200).alias("text"), "row_no")
-    return Log(conform(parsed.where("not is_malformed")), bad, columns, warnings)
+    return Log(parsed, columns, warnings)

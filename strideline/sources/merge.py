@@ -12,11 +12,22 @@ from strideline.sources import csv_log, xml_log
 from strideline.sources.detect import is_xml
 
 
-def read_one(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a file by its content: XML, Parquet (by name), else CSV."""
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Events of a file by its content (XML, Parquet by name, else CSV), and what is to be said about it.
+
+    A CSV log is counted first: one with too many malformed rows raises ValueError, fewer of them become a warning.
+    """
     if path.rstrip("/").endswith(".parquet"):
-        return conform(spark.read.parquet(path))
-    return xml_log.read(spark, path) if is_xml(spark, path) else csv_log.read(spark, path).events
+        return conform(spark.read.parquet(path)), ()
+    if is_xml(spark, path):
+        return xml_log.read(spark, path), ()
+    log = csv_log.read(spark, path)
+    _, bad = log.counts()
+    return log.events, (*log.warnings, *([f"{bad} malformed rows of {path} were skipped"] if bad else []))
+
+
+def read_one(spark: SparkSession, path: str) -> DataFrame:
+    return read_checked(spark, path)[0]
 
 
 def merged(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

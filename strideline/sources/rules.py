@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from strideline.operators.labels import Apdex
-from strideline.operators.sla import METRICS, OPS, Rule
+from strideline.operators.sla import METRICS, OPS, Rule, normal_metric
 
 
 @dataclass
@@ -26,7 +26,7 @@ def loads(text: str) -> RuleSet:
     for rule in doc.get("rules") or []:
         for a in rule.get("assert") or []:
             metric, op = str(a["metric"]), str(a["op"])
-            if metric not in (*METRICS, "p99.9") or op not in OPS:
+            if normal_metric(metric) not in METRICS or op not in OPS:
                 raise ValueError(f"rule for {rule['match']!r}: {metric} {op} isn't known")
             out.rules.append(Rule(str(rule["match"]), metric, op, float(a["value"]), None if a.get("warn") is None else float(a["warn"])))
     return out

@@ -6,15 +6,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from strideline.functions.sketch import slot
 from strideline.model import EVENT, TOTAL, as_user_events
+from strideline.plans import report
+
+
+def collected_events(rows: DataFrame) -> DataFrame:
+    """Events as a collector writes them: a failure without a message of its own has the response's."""
+    silent = ~F.coalesce("success", F.lit(False)) & (F.coalesce("failure_message", F.lit("")) == "")
+    return rows.withColumn("failure_message", F.when(silent, F.col("response_message")).otherwise(F.col("failure_message")))
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Events as they arrive: JSON files in EVENT's schema that a collector drops into a folder."""
-    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    return collected_events(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).json(path))
+
+
+def finished(spark: SparkSession, path: str, options: report.Options | None = None) -> report.Bundle:
+    """The report of a run whose stream has ended, out of all that its collector dropped."""
+    return report.analysed(collected_events(spark.read.schema(EVENT).json(path)), options)
 
 
 def label_counts(events: DataFrame) -> DataFrame:
@@ -44,10 +56,29 @@ def collected(events: DataFrame, name: str, checkpoint: str | None = None, every
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def progress(query: StreamingQuery) -> tuple[int, int]:
-    """(received, processed) rows of the stream so far."""
-    rows = sum(int(p["numInputRows"]) for p in query.recentProgress)
-    return rows, rows
+class Progress(StreamingQueryListener):
+    """Counts over all batches of all queries: rows received by batches that began, and rows and batches that are done.
+
+    Spark itself keeps the last batches alone. Add it with `spark.streams.addListener`.
+    """
+
+    def __init__(self) -> None:
+        self.received = self.processed = self.batches = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.received += sum(s.numInputRows for s in p.sources)
+        self.processed += p.numInputRows
+        self.batches += p.numInputRows > 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def label_counts_once(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strideline.functions.sketch import midpoint, quantiles, slot, width
 from strideline.functions.text import glob_regex, signature
-from strideline.model import OTHER, capped_labels, conform
+from strideline.model import OTHER, capped_labels, conform, hidden_labels
 from strideline.operators import compare, labels, posterior, series, sla, steady
 from strideline.sources import csv_log, detect, generate, merge, rules, xml_log
 
@@ -44,6 +44,37 @@ def test_csv_packed_and_without_success(spark, tmp_path):
     assert [r["success"] for r in log.events.collect()] == [False] and log.warnings
 
 
+def test_csv_packed_under_any_name(spark, tmp_path):
+    text = HEAD + "".join(LINE.format(ts=1700000000000 + i, ms=i, label="a", lat=1) for i in range(50))
+    events_, warnings = merge.read_checked(spark, write(tmp_path / "x.jtl", text, packed=True))
+    assert events_.count() == 50 and not warnings and events_.agg(F.sum("elapsed_ms")).first()[0] == 1225
+
+
+def test_csv_in_splits(spark, tmp_path):
+    """A plain log is dealt in splits; one with a quoted line end is read as a whole, and rightly."""
+    plain = write(tmp_path / "x.csv", HEAD + "".join(LINE.format(ts=1700000000000 + i, ms=i, label="a", lat=1) for i in range(3000)))
+    folded = write(tmp_path / "y.csv", HEAD + LINE.format(ts=1700000000000, ms=3, label="two\nlines", lat=1) * 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 60_000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        log = csv_log.read(spark, plain)
+        assert log.events.rdd.getNumPartitions() >= 3 and log.counts() == (3000, 0)
+        assert not csv_log.spans_lines(spark, plain) and csv_log.spans_lines(spark, folded)
+        assert [r["label"] for r in csv_log.read(spark, folded).events.collect()] == ["two\nlines"] * 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_malformed_logs(spark, tmp_path):
+    good = lambda n: "".join(LINE.format(ts=1700000000000 + i, ms=5, label="a", lat=1) for i in range(n))
+    bad = "never,5,a,200,OK,t1,text,true,,1,1,1,1,u,1,0,1\n"
+    assert merge.read_checked(spark, write(tmp_path / "a.csv", HEAD + good(10) + bad * 5))[1] == (f"5 malformed rows of {tmp_path / 'a.csv'} were skipped",)
+    assert merge.read_one(spark, write(tmp_path / "b.csv", HEAD + good(2000) + bad * 20)).count() == 2000
+    with pytest.raises(ValueError, match="30 of 2030"):
+        merge.read_one(spark, write(tmp_path / "c.csv", HEAD + good(2000) + bad * 30))
+
+
 XML = """<?xml version="1.0"?><testResults version="1.2">
 <httpSample t="10" lt="8" ts="1000" s="true" lb="top" rc="200" by="5" na="2"><assertionResult><name>x</name></assertionResult>
 <sample t="4" ts="1001" lb="mid"><sample t="2" ts="1002" s="false" lb="deep" fm="no"/></sample></httpSample>
@@ -138,9 +169,10 @@ def events(spark, rows):
 
 
 def test_apdex_steady_and_buckets(spark):
-    rows = [(i, 80, "a", True, 1) for i in range(50)] + [(i, 200, "a", True, 1) for i in range(30)] + [(i, 500, "a", True, 1) for i in range(20)]
-    got = labels.statistics(events(spark, rows), labels.Apdex(100, 300)).where("not is_total").first()
-    assert abs(got["apdex"] - 0.65) < 1e-9
+    # By hand: 40 ms satisfies, the edges 60 and 61 ms part satisfied from tolerated, 240 is tolerated, 241 isn't, failures never count.
+    rows = [(i, ms, "shop", ok, 1) for i, (ms, ok) in enumerate([(40, True), (60, True), (61, True), (240, True), (241, True), (5, False), (100, False), (9000, True)])]
+    got = labels.statistics(events(spark, rows), labels.Apdex(60, 240)).where("not is_total").first()
+    assert abs(got["apdex"] - (2 + 2 / 2) / 8) < 1e-9
     rows = [(t, 1, "a", True, n) for t, n in [(0, 1), (1000, 50), (2000, 50), (5000, 49), (6000, 3), (7000, 50)]]
     assert tuple(steady.window(events(spark, rows), 1000).first()) == (1000, 6000)
     rows = [(t, 1, "a", True, 1) for t in (500, 1200, 1700, 2600)]
@@ -149,8 +181,10 @@ def test_apdex_steady_and_buckets(spark):
 
 
 def test_label_cap(spark):
-    ev = events(spark, [(i, 1, c, True, 1) for i, c in enumerate("ABCDEA")])
-    assert {r["label"] for r in capped_labels(ev, 3).collect()} == {"A", "B", "C", OTHER}
+    # First seen: pay at 10, cart at 20, find at 30, help at 40; two of them keep their names whatever their frequency.
+    ev = events(spark, [(40, 1, "help", True, 1), (30, 1, "find", True, 1), (10, 1, "pay", True, 1), (20, 1, "cart", True, 1), (50, 1, "help", True, 1), (60, 1, "help", True, 1)])
+    got = capped_labels(ev, 2).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {"pay": 1, "cart": 1, OTHER: 4} and hidden_labels(ev, 2) == 2 and hidden_labels(ev, 9) == 0
 
 
 def test_rank_test_and_posterior(spark):
@@ -174,6 +208,99 @@ def test_sla(spark):
     assert sla.verdict(sla.evaluate(stats, table.where("rule_id = 2"))).first()["verdict"] == "PASS"
 
 
+def test_sla_of_a_label_outside_the_steady_window(spark):
+    """Load is steady from 10 s on; "early" was slow before and is never seen again."""
+    rows = [(t * 1000, 5, "work", True, 1 if t < 10 else 40) for t in range(40)] + [(2000, 99_999, "early", True, 1)]
+    ev = events(spark, rows)
+    steady_stats, full = steady.statistics(ev, 1000), labels.statistics(ev)
+    assert steady_stats.where("label = 'early'").count() == 0
+    rule = sla.rules_table(spark, [sla.Rule("early", "P95", "<", 100), sla.Rule("work", "ErrorRate", "<", 1)])
+    got = {r["label"]: r["status"] for r in sla.evaluate(steady.or_full(steady_stats, full), rule).collect()}
+    assert got == {"early": "FAIL", "work": "PASS"}
+
+
+def test_buckets_below_a_second(spark):
+    ev = events(spark, [(100, 1, "a", True, 1), (349, 1, "a", True, 1), (350, 1, "a", True, 1), (1199, 1, "a", True, 1)])
+    got = series.buckets(ev, 250).where("is_total").orderBy("t").select("t", "n").collect()
+    assert [tuple(r) for r in got] == [(100, 2), (350, 1), (1100, 1)]
+
+
+def test_unknown_metric(spark):
+    stats = spark.createDataFrame([("a", False, 750.0)], "label string, is_total boolean, p95 double")
+    with pytest.raises(Exception, match="unknown metric"):
+        sla.evaluate(stats, sla.rules_table(spark, [sla.Rule("a", "speed", "<", 1)])).collect()
+
+
+def test_thinned_series_against_one_by_one():
+    """Each bucket keeps the point that spans the largest triangle; by a plain loop."""
+    import random
+
+    import numpy as np
+
+    from strideline.operators.downsample import largest_triangles
+
+    rng = random.Random(6)
+    for n, limit in ((5, 9), (40, 7), (333, 20)):
+        x, y = list(range(n)), [rng.random() for _ in range(n)]
+        got = largest_triangles(np.array(x, float), np.array(y), limit).tolist()
+        if n <= limit:
+            assert got == x
+            continue
+        edges = [int(e) for e in np.floor(np.linspace(1, n - 1, limit - 1))]
+        want = [0]
+        for k in range(limit - 2):
+            after = range(edges[k + 1], edges[k + 2] if k + 2 < len(edges) else n)
+            cx, cy = sum(after) / len(after), sum(y[i] for i in after) / len(after)
+            ax, ay = x[want[-1]], y[want[-1]]
+            want.append(max(range(edges[k], edges[k + 1]), key=lambda i: abs((ax - cx) * (y[i] - ay) - (ax - x[i]) * (cy - ay))))
+        assert got == [*want, n - 1]
+
+
+def test_series_as_maps(spark):
+    rows = [(t * 500, t % 7 + 1, "ab"[t % 3 == 0], t % 5 > 0, t % 4 + 1) for t in range(40)]
+    ev = events(spark, rows)
+    flat = {(r["t"], r["label"]): r for r in series.cells(ev, 2000).collect()}
+    seen = 0
+    for r in series.by_bucket(ev, 2000).collect():
+        for name, cell in r["per_label"].items():
+            seen += 1
+            assert all(cell[k] == flat[r["t"], name][k] for k in ("n", "err", "mean", "p95", "max", "kb", "kb_sent"))
+        assert r["threads"] == flat[r["t"], "TOTAL"]["threads"]
+    assert seen == len(flat) == 30
+
+
+def test_live_run(spark, tmp_path):
+    """A folder that a collector fills, counted as a stream over two batches, then finished as a report."""
+    from strideline.plans import report
+    from strideline.streaming import live
+
+    generate.synthetic(spark, minutes=1, every_ms=500).repartition(2).write.json(str(tmp_path / "in"))
+    counter = live.Progress()
+    spark.streams.addListener(counter)
+    try:
+        query = live.collected(live.event_stream(spark, str(tmp_path / "in"), 1), "live_run", str(tmp_path / "ck"))
+        query.awaitTermination()
+        for _ in range(100):
+            if counter.processed >= 120:
+                break
+            import time
+
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counter)
+    assert (counter.received, counter.processed, counter.batches) == (120, 120, 2)
+    counts = {r["label"]: r["n"] for r in spark.table("live_run").collect()}
+    bundle = live.finished(spark, str(tmp_path / "in"), report.Options("live"))
+    doc = report.document(bundle)
+    assert doc["total"]["stats"]["n"] == counts["TOTAL"] == 120 and {e["name"]: e["stats"]["n"] for e in doc["labels"]} == {k: v for k, v in counts.items() if k != "TOTAL"}
+    silent = spark.createDataFrame([(False, "", "Gone"), (False, "own", "Gone"), (True, "", "OK")], "success boolean, failure_message string, response_message string")
+    assert [r["failure_message"] for r in live.collected_events(silent).collect()] == ["Gone", "own", ""]
+    stream = live.windows(live.event_stream(spark, str(tmp_path / "in")), "10 seconds", "30 seconds")
+    query = stream.writeStream.format("memory").queryName("live_windows").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("live_windows").agg(F.sum("n")).first()[0] >= 120
+
+
 def test_rules_round_trip():
     text = rules.dumps([sla.Rule("a", "p95", "<", 100.0, 80.0), sla.Rule("a", "apdex", ">=", 0.9)], 500, 1500)
     back = rules.loads(text)
@@ -200,3 +327,12 @@ def test_report_and_cli(spark, tmp_path):
     assert cli.run(["validate", "--sla", str(tmp_path / "r.yaml")], spark) == 0
     assert cli.run(["generate", "--log", str(tmp_path / "none.csv"), "--out", str(out)], spark) == 3
     assert cli.run(["generate"], spark) == 2
+    again = json.loads((out / "report-data.json").read_text())["comparison"]["labels"]
+    assert {"p_regression", "shift_pct", "grade", "risk"} <= set(again[0]) and {r["grade"] for r in again} == {"same"}
+    assert cli.run(["compare", "--baseline", data, "--candidate", data, "--out", str(tmp_path / "cmp")], spark) == 0
+    cmp = json.loads((tmp_path / "cmp" / "report-data.json").read_text())
+    assert not cmp["comparison"]["hasRegression"] and "Comparison" in (tmp_path / "cmp" / "report.html").read_text() and "<svg" in (tmp_path / "cmp" / "report.html").read_text()
+    assert cli.run(["generate", "--log", data, "--out", str(out), "--label-cap", "2"], spark) == 0
+    assert json.loads((out / "report-data.json").read_text())["meta"]["warnings"] == ["4 labels beyond the cap of 2 are counted as __OTHER__"]
+    bad = write(tmp_path / "bad.csv", HEAD + "never,5,a,200,OK,t1,text,true,,1,1,1,1,u,1,0,1\n" * 1500)
+    assert cli.run(["generate", "--log", bad, "--out", str(out)], spark) == 4
