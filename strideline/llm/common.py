@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -49,6 +50,21 @@ def slices(batch: pa.RecordBatch, by: str | None, limit: int = SLICE_BYTES) -> I
             yield batch.slice(a, b - a)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back at its end: workers stay for the next task, and idle ones shouldn't hold what the last one took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def arrow_map(
     df: DataFrame,
     keep: Sequence[str],
@@ -77,7 +93,7 @@ def arrow_map(
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=_ARROW[t]) for x, (_, t) in zip(out, fields)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(n for n, _ in fields)])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tidy(run), schema)
 
 
 def arrow_flat(
@@ -101,7 +117,7 @@ def arrow_flat(
                     arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=_ARROW[t]) for x, (_, t) in zip(out, fields)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
-    return plain.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
+    return plain.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
 def shared_dir(spark: SparkSession) -> str:

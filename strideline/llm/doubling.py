@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import arrow_flat, dropped, join_hash, partitions, written
+from strideline.llm.common import arrow_flat, dropped, join_hash, partitions, tidy, written
 
 #: Addresses of a unit, the least part of the space that a document gets.
 UNIT_BITS = 10
@@ -224,7 +224,7 @@ def ranked(source: Source, space: Space, step: int) -> DataFrame:
         return df.repartitionById(k, F.col("part")).sortWithinPartitions("part")
 
     plain = source.rows.select(*use)
-    return by_part(by_part(plain.mapInArrow(deal, _ROUTED), n).mapInArrow(rank, _ROUTED), space.blocks)
+    return by_part(by_part(plain.mapInArrow(tidy(deal), _ROUTED), n).mapInArrow(tidy(rank), _ROUTED), space.blocks)
 
 
 def paired(ranks: DataFrame, space: Space, step: int) -> DataFrame:
@@ -244,7 +244,7 @@ def paired(ranks: DataFrame, space: Space, step: int) -> DataFrame:
                 a, b = mine[k : k + FLUSH // 8], found[k : k + FLUSH // 8]
                 yield pa.RecordBatch.from_arrays([pa.array([packed(x)], pa.binary()) for x in (at[a], far[a], far[b])], names=["at", "near", "far"])
 
-    return ranks.mapInArrow(run, "at binary, near binary, far binary")
+    return ranks.mapInArrow(tidy(run), "at binary, near binary, far binary")
 
 
 def hits(ranks: DataFrame, space: Space, earlier: bool) -> DataFrame:
@@ -260,7 +260,7 @@ def hits(ranks: DataFrame, space: Space, earlier: bool) -> DataFrame:
             unit = x >> UNIT_BITS
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (unit, x - (unit << UNIT_BITS), y - (unit << UNIT_BITS))], names=["unit", "x", "y"])
 
-    return ranks.mapInArrow(run, "unit long, x long, y long")
+    return ranks.mapInArrow(tidy(run), "unit long, x long, y long")
 
 
 def pair_keys(ats: list[bytes], nears: list[bytes], fars: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0) -
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     fields = [("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")]
-    return arrow_flat(plain, ["doc_id", "text"], fields, make)
+    return arrow_flat(plain, ["doc_id", "text"], fields, make, limit=1 << 20)
 
 
 def sweep(count: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:

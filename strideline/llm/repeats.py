@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import M3, arrow_flat, arrow_map, dropped, globally_ranked, join_hash, mix, partitions, written
+from strideline.llm.common import M3, arrow_flat, arrow_map, dropped, globally_ranked, join_hash, mix, partitions, tidy, written
 from strideline.llm.doubling import UNIT, UNIT_BITS, changes, repeated, whole_groups
 from strideline.llm.packed import packed_texts
 from strideline.llm.windows import anchor_places, intervals, window_hashes, window_starts
@@ -205,7 +205,7 @@ class Repeats:
         """(doc, sub, spans) of (doc, sub, text): for each document with repeated windows what they cover, as (a, z) in symbols."""
         sort = ("g", "f", "doc", "sub", "lo")
         rows = written(arrow_flat(docs, ["doc", "sub", "text"], _ANCHOR, lambda: self.anchors, limit=1 << 20), "anchors")
-        found = written(rows.repartitionByRange(partitions(docs.sparkSession), *sort).sortWithinPartitions(*sort).mapInArrow(self.settled, _FOUND_SQL), "contexts")
+        found = written(rows.repartitionByRange(partitions(docs.sparkSession), *sort).sortWithinPartitions(*sort).mapInArrow(tidy(self.settled), _FOUND_SQL), "contexts")
         dropped(rows)
         repeat, vary = self.told(found)
         lo, n = F.col("lo").cast("long"), F.shiftright("na", 16)
