@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 
 def odd_docs(spark):
     """Nulls, empty and long texts, repeated rows, ties, and columns with names that operators use."""
-    texts = ["plain words here", "", None, "plain words here", "x " * 3000, "é😀\x00 \n\t<|endoftext|>", "a\n\nb\n\na", " ", "word" * 500]
+    texts = ["plain words here", "", None, "plain words here", "x " * 3000, "é😀\x00 \n\t<|endoftext|>", "a\n\nb\n\na", " ", "word" * 500, " ".join(f"w{i * 7919 % 5000}" for i in range(60_000))]
     rows = [(i, t, None, None, None, 0.5, True, 1, "p", 2, 3, 4, 5, 6, 7, 8, "c", 9) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[0], (None, "no id", *rows[0][2:]), (None, None, *rows[0][2:])], SCHEMA)
 
