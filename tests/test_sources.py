@@ -75,6 +75,17 @@ def test_malformed_logs(spark, tmp_path):
         merge.read_one(spark, write(tmp_path / "c.csv", HEAD + good(2000) + bad * 30))
 
 
+def test_timestamp_forms(spark):
+    """22:13:20 on 14 November 2023 is second 1,700,000,000; what has no such form has no time."""
+    want = {
+        "1700000000123": 1700000000123, "  1700000000123 ": 1700000000123, "1700000000": 1700000000000, "170000000": None, "-1700000000": None, "1700000000.5": None,
+        "2023/11/14 22:13:20": 1700000000000, "2023-11-14 22:13:20.007": 1700000000007, "2023-11-14T22:13:20.007": 1700000000007, "2023/11/14T22:13:20": 1700000000000,
+        "11/14/23 22:13:20": 1700000000000, "14/11/23 22:13:20": None, "2023/13/14 22:13:20": None, "2023/11/14": None, "2023/11/14 25:13:20": None, "": None, "now": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want] + [(None,)], "raw string").select("raw", csv_log.parsed_timestamp(F.col("raw")).alias("ms")).collect()
+    assert {r["raw"]: r["ms"] for r in rows} == want | {None: None}
+
+
 XML = """<?xml version="1.0"?><testResults version="1.2">
 <httpSample t="10" lt="8" ts="1000" s="true" lb="top" rc="200" by="5" na="2"><assertionResult><name>x</name></assertionResult>
 <sample t="4" ts="1001" lb="mid"><sample t="2" ts="1002" s="false" lb="deep" fm="no"/></sample></httpSample>
