@@ -30,7 +30,7 @@ from strideline.llm.common import arrow_flat, dropped, join_hash, partitions, ti
 UNIT_BITS = 10
 UNIT = 1 << UNIT_BITS
 #: Positions that a task holds before it deals them out.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: One position in so many is looked at to find pairs that very many hold; so many of these make one.
 SAMPLE, HEAVY = 64, 1024
 
@@ -278,7 +278,8 @@ def repeated(units: DataFrame, count: int, keys: Callable[..., tuple[np.ndarray,
     `keys` gives the hashes of strings of `length` from rows (unit, raw) of the `count` units.
     """
     n = partitions(units.sparkSession)
-    space = Space(n, max(UNIT, -(-count // n) * UNIT))
+    # A block is no smaller than a window, so that what a position is paired with lies in the next block at most.
+    space = Space(n, max(-(-window // UNIT), -(-count // n)) * UNIT)
     source, before = Source(units, ("unit", "raw"), keys), None
     while length < window:
         step = min(length, window - length)

@@ -318,10 +318,12 @@ def copied(seed, letters):
     return [*docs, (100, "a" * 300), (101, None), (102, ""), (103, "é" * 90), (104, "é" * 70)]
 
 
-@pytest.mark.parametrize("part", [1 << 22, 50])
+@pytest.mark.parametrize("part, heavy", [(1 << 22, 1024), (50, 2)])
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
-def test_substring_dedup(spark, monkeypatch, letters, part):
+def test_substring_dedup(spark, monkeypatch, letters, part, heavy):
     monkeypatch.setattr("strideline.llm.repeats.PART_SYMBOLS", part)  # 50: every text goes the way of very long ones
+    monkeypatch.setattr("strideline.llm.doubling.SAMPLE", min(64, heavy // 2))
+    monkeypatch.setattr("strideline.llm.doubling.HEAVY", heavy)  # 2: keys that two positions hold go the way of very frequent ones
     docs = copied(len(letters), letters)
     df = lambda d: spark.createDataFrame(d, "doc_id long, text string").repartition(5)
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.deduplicated(df(docs), 20, 7).collect()}
