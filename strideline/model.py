@@ -37,8 +37,13 @@ OTHER = "__OTHER__"
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Any table with some of EVENT's columns as an event table: the rest are null, types are cast."""
+    """Any table with some of EVENT's columns as an event table: the rest are null, types are cast.
+
+    A sample without a label has the empty one, here and so in all operators.
+    """
     have = set(df.columns)
+    df = df.withColumn("label", F.coalesce(F.col("label"), F.lit(""))) if "label" in have else df.withColumn("label", F.lit(""))
+    have.add("label")
     return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions.text import signature
-from strideline.operators.series import bounds, bucket_key, buckets, second
+from strideline.operators.cube import Cube, at, cube
+from strideline.operators.series import bounds, bucket_key, totals
 
 
 def signed(events: DataFrame) -> DataFrame:
@@ -27,10 +28,12 @@ def top_labels(events: DataFrame, k: int = 5) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def onset(events: DataFrame, bucket_ms: int = 0, limit: int = 50) -> DataFrame:
-    """Threads and throughput of the bucket in which each of the most frequent signatures first appeared."""
-    first = clusters(events, limit).crossJoin(F.broadcast(bounds(events, bucket_ms))).withColumn("slot_ms", second("first_ms", bucket_ms)).withColumn("t", bucket_key())
-    total = buckets(events, bucket_ms).where("is_total").select("t", "threads", "n")
+def onset(events: DataFrame, bucket_ms: int = 0, limit: int = 50, run: Cube | None = None) -> DataFrame:
+    """Threads and throughput of the bucket in which each of the most frequent signatures first appeared; `run` is the events' cube, if there is one."""
+    run = run or cube(events, bucket_ms)
+    found = clusters(events, limit)
+    first = found.crossJoin(F.broadcast(bounds(run))).withColumn("at", at(run.bucket_ms, "first_ms")).withColumn("t", bucket_key())
+    total = totals(run).select("t", "threads", "n")
     joined = first.join(total, "t", "left")
     rate = F.col("n") / (F.col("bucket_ms") / 1000.0)
     return joined.select("signature", "code", "count", "first_ms", "last_ms", F.coalesce("threads", F.lit(0)).alias("threads_at_onset"), F.coalesce(rate, F.lit(0.0)).alias("throughput_at_onset"))

@@ -111,7 +111,9 @@ def summarised(fine: DataFrame, keys: list[str], wanted: dict[str, float] = QUAN
 
 
 def slots(events: DataFrame, value: str = "elapsed_ms") -> DataFrame:
-    """The sketch of every label and of all events: (label, is_total, slot, c)."""
+    """The sketch of every label and of all events: (label, is_total, slot, c). A cube has that of its elapsed times."""
+    if not isinstance(events, DataFrame):
+        return events.cells().where("c > 0").select("label", "is_total", "slot", "c")
     return with_total(histogram(events, ["label"], value), [F.sum("c").alias("c")], ("slot",))
 
 
@@ -120,9 +122,10 @@ def percentiles(events: DataFrame, value: str = "elapsed_ms", wanted: dict[str,
 
 
 def statistics(events: DataFrame, apdex: Apdex = Apdex()) -> DataFrame:
-    """One row for each label and one for all: counts, rates over the label's own span, spread, percentiles, Apdex."""
+    """One row for each label and one for all: counts, rates over the label's own span, spread, percentiles, Apdex. A cube has its own thresholds."""
     span = F.greatest(F.lit(0.001), (F.col("last_ms") - F.col("first_ms")) / 1000.0)
-    return derived(summarised(cells(events, apdex), ["label", "is_total"]), span, [*QUANTILES])
+    fine = cells(events, apdex) if isinstance(events, DataFrame) else events.cells()
+    return derived(summarised(fine, ["label", "is_total"]), span, [*QUANTILES])
 
 
 def exact_percentiles(events: DataFrame, wanted: dict[str, float] = QUANTILES) -> DataFrame:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from strideline.functions.sketch import picks
 from strideline.operators import steady
-from strideline.operators.series import bounds, buckets, fine
+from strideline.operators.cube import Cube, cube
+from strideline.operators.series import timed, totals
 
 
-def curve(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
+def curve(run: DataFrame | Cube, bucket_ms: int = 0) -> DataFrame:
     """Throughput and p95 at every level of concurrent threads that some bucket reached."""
-    bucket = Window.partitionBy("t")
-    rows = fine(events, bucket_ms).where("is_total").select("t", "slot", "n", "c", "bucket_ms", F.max("threads").over(bucket).alias("threads"), (F.row_number().over(bucket.orderBy("slot")) == 1).alias("first"))
+    run = cube(run, bucket_ms)
+    rows = timed(run).groupBy("t", "slot").agg(F.max("threads").alias("threads"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("bucket_ms").alias("bucket_ms"))
+    bucket = Window.partitionBy("t")  # one bucket's slots: the sketch bounds them
+    rows = rows.withColumn("threads", F.max("threads").over(bucket)).withColumn("first", F.row_number().over(bucket.orderBy("slot")) == 1)
     levels = rows.where("threads > 0").groupBy("threads", "slot").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.count_if("first").alias("b"), F.max("bucket_ms").alias("bucket_ms"))
     level = Window.partitionBy("threads")
     levels = levels.withColumn("_cum", F.sum("c").over(level.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(level))
@@ -35,18 +38,19 @@ def knee(levels: DataFrame) -> DataFrame:
     return best.where("above > 0.02").select("threads", "throughput", "above", "monotone")
 
 
-def littles_deviation(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
+def littles_deviation(run: DataFrame | Cube, bucket_ms: int = 0) -> DataFrame:
     """One row: how far load and throughput times response time differ over the steady window; -1 if it can't be told."""
-    edge = F.broadcast(steady.window(events, bucket_ms).withColumnsRenamed({"start_ms": "_from", "end_ms": "_to"}))
-    total = buckets(events, bucket_ms).where("is_total").crossJoin(edge).where("t >= _from and t < _to")
+    run = cube(run, bucket_ms)
+    edge = F.broadcast(steady.window(run).withColumnsRenamed({"start_ms": "_from", "end_ms": "_to"}))
+    total = totals(run).crossJoin(edge).where("t >= _from and t < _to")
     one = total.agg(F.sum("n").alias("n"), F.sum("sum_elapsed").alias("e"), F.avg("threads").alias("threads"), F.max(F.col("_to") - F.col("_from")).alias("ms"))
     predicted = F.col("e") / 1000.0 / (F.col("ms") / 1000.0)
     found = F.when(F.col("threads") <= 0, F.lit(0.0)).otherwise(F.abs(predicted - F.col("threads")) / F.col("threads"))
     return one.select(F.when(F.col("n") > 0, found).otherwise(F.lit(-1.0)).alias("deviation"))
 
 
-def littles_residuals(events: DataFrame, bucket_ms: int = 0) -> DataFrame:
+def littles_residuals(run: DataFrame | Cube, bucket_ms: int = 0) -> DataFrame:
     """Every loaded bucket's threads against throughput times response time: what is left is waiting that no sample shows."""
-    total = buckets(events, bucket_ms).where("is_total and n > 0 and threads > 0").crossJoin(F.broadcast(bounds(events, bucket_ms).select("bucket_ms")))
+    total = totals(run, bucket_ms).where("n > 0 and threads > 0")
     predicted = F.col("sum_elapsed") / 1000.0 / (F.col("bucket_ms") / 1000.0)
     return total.select("t", "threads", predicted.alias("predicted"), (F.col("threads") - predicted).alias("residual"))

@@ -113,6 +113,9 @@ ORACLE: dict[str, str] = {
     "series_rebucket": f"""with {EV}, {keyed()}, {BOUNDS}, {timed('86400000')} select k as label, is_total, t, count(*) as n, count(*) filter (not ok) as errors, sum(e)::bigint as sum_elapsed, max(e) as "max", sum(bytes)::bigint as bytes, sum(sent)::bigint as sent_bytes, max(threads) as threads from tb group by all""",
     "auto_bucket": f"with {EV}, {BOUNDS} select start_ms, end_ms, bucket as bucket_ms from b",
     "series_cells": f"""{SERIES}, {_CELL}, {quant('tb', 'k, is_total, t', 'e', 'q', {'p95': 0.95})} select label, cell.is_total, cell.t, threads, n, err, {_R('mean', 'kb', 'kb_sent')}, "max", p95 from cell join q on label = k and cell.is_total = q.is_total and cell.t = q.t""",
+    "series_map": f"""{SERIES}, {_CELL}, {quant('tb', 'k, is_total, t', 'e', 'q', {'p95': 0.95})},
+      w as (select label, cell.is_total, cell.t, threads, concat_ws(':', n, err, p95, "max", (kb * 1024)::bigint, (kb_sent * 1024)::bigint) as x from cell join q on label = k and cell.is_total = q.is_total and cell.t = q.t)
+      select t, max(threads) as threads, max(x) filter (is_total) as total, string_agg(label || '=' || x, ';' order by label) filter (not is_total) as per_label from w group by t""",
     "series_rates": f"""with {EV}, {keyed()}, {BOUNDS}, {timed('3600000')}, {_CELL} select label, is_total, t, round(n / 3600.0::double, 6) as per_s, round(err / 3600.0::double, 6) as err_per_s, round(kb / 3600.0::double, 6) as kb_per_s from cell""",
     "steady_window": f"{SERIES}, {STEADY} select w0 as start_ms, w1 as end_ms from win",
     "steady_stats": f"""{SERIES}, {STEADY}, sw as (select tb.* from tb, win where t >= w0 and t < w1), {quant('sw', 'k, is_total', 'e', 'q')},

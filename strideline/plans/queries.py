@@ -113,7 +113,10 @@ def series_cells(ev):
 
 @_query("series_map")
 def series_map(ev):
-    return series.by_bucket(ev).select("t", "threads", F.to_json("per_label").alias("per_label"))
+    """Each bucket's map as text, a label's numbers in whole ones: SQL then gives the same text."""
+    whole = lambda c: F.concat_ws(":", c["n"], c["err"], c["p95"], c["max"], (c["kb"] * 1024).cast("long"), (c["kb_sent"] * 1024).cast("long"))
+    entries = F.transform(F.array_sort(F.map_entries("per_label")), lambda e: F.concat_ws("=", e["key"], whole(e["value"])))
+    return series.by_bucket(ev).select("t", "threads", whole(F.col("total")).alias("total"), F.concat_ws(";", entries).alias("per_label"))
 
 
 @_query("series_rates")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strideline.model import capped_labels, without_sub_samples
 from strideline.operators import compare, downsample, errors, labels, posterior, scaling, series, sla, steady
+from strideline.operators.cube import Cube, cube
 from strideline.operators.tables import change_grade, risk_grade
 
 SCHEMA_ID = "strideline/report/1"
@@ -44,6 +45,12 @@ class Bundle:
 
     tables: dict[str, DataFrame]
     options: Options
+    run: Cube | None = None
+
+    def release(self) -> None:
+        """Lets go of what Spark holds of the run."""
+        if self.run is not None:
+            self.run.release()
 
     def write_parquet(self, folder: str) -> None:
         for name, df in self.tables.items():
@@ -67,26 +74,28 @@ def analysed(events: DataFrame, options: Options | None = None) -> Bundle:
     if options.steady_only:
         edge = steady.window(ev, options.bucket_ms)
         ev = ev.crossJoin(F.broadcast(edge)).where("timestamp_ms >= start_ms and timestamp_ms < end_ms").drop("start_ms", "end_ms")
-    curve = scaling.curve(ev, options.bucket_ms)
+    run = cube(ev, options.bucket_ms, options.apdex)
+    curve = scaling.curve(run)
     return Bundle(
         {
-            "bounds": series.bounds(ev, options.bucket_ms),
-            "window": steady.window(ev, options.bucket_ms),
-            "stats": labels.statistics(ev, options.apdex),
-            "steady_stats": steady.statistics(ev, options.bucket_ms, options.apdex),
+            "bounds": series.bounds(run),
+            "window": steady.window(run),
+            "stats": labels.statistics(run),
+            "steady_stats": steady.statistics(run),
             "latency": labels.percentiles(ev, "latency_ms"),
             "connect": labels.percentiles(ev, "connect_ms"),
-            "histogram": labels.slots(ev),
+            "histogram": labels.slots(run),
             "slowest": labels.slowest(ev),
-            "series": series.cells(ev, options.bucket_ms),
-            "errors": errors.onset(raw, options.bucket_ms),
+            "series": series.cells(run),
+            "errors": errors.onset(raw, run=run),
             "error_labels": errors.top_labels(raw),
             "curve": curve,
             "knee": scaling.knee(curve),
-            "littles_law": scaling.littles_deviation(ev, options.bucket_ms),
-            "residuals": scaling.littles_residuals(ev, options.bucket_ms),
+            "littles_law": scaling.littles_deviation(run),
+            "residuals": scaling.littles_residuals(run),
         },
         options,
+        run,
     )
 
 
@@ -124,10 +133,12 @@ def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataF
     # A document shows CURVE_POINTS of each label's buckets at most; `Bundle.write_parquet` keeps them all.
     shown = downsample.thinned(t["series"], "mean", CURVE_POINTS).select("label", "is_total", "t")
     for r in _rows(t["series"].join(shown, ["label", "is_total", "t"], "left_semi"), "t", "label"):
-        b = cells.setdefault(r["t"], {"t": r["t"], "threads": 0, "perLabel": {}})
+        b = cells.setdefault(r["t"], {"t": r["t"], "threads": 0, "total": None, "perLabel": {}})
+        cell = {k: r[k] for k in ("n", "err", "mean", "p95", "max", "kb", "kb_sent")}
         if r["is_total"]:
-            b["threads"] = r["threads"]
-        b["perLabel"][r["label"]] = {k: r[k] for k in ("n", "err", "mean", "p95", "max", "kb", "kb_sent")}
+            b |= {"threads": r["threads"], "total": cell}
+        else:
+            b["perLabel"][r["label"]] = cell
     hit: dict[str, list] = {}
     for r in _rows(t["error_labels"], "signature", "rank"):
         hit.setdefault(r["signature"], []).append(r["label"])
@@ -202,8 +213,7 @@ def as_html(doc: dict) -> str:
         return f"<h2>{_html.escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
     entries = [*doc["labels"], *([doc["total"]] if doc["total"] else [])]
-    total = doc["total"]["name"] if doc["total"] else ""
-    series = [{"t": b["t"], "threads": b["threads"]} | b["perLabel"].get(total, {}) for b in doc["series"]["buckets"]]
+    series = [{"t": b["t"], "threads": b["threads"]} | (b["total"] or {}) for b in doc["series"]["buckets"]]
     notes = [{"warning": w} for w in doc["meta"]["warnings"]]
     extras = [{"name": k, "value": v} for k, v in doc["meta"]["extras"].items()]
     parts = [table("Warnings", notes), table("Run", extras), table("Transactions", [{"label": e["name"]} | e["stats"] for e in entries])]
