@@ -10,14 +10,13 @@ import sys
 from functools import reduce
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from strideline.model import OTHER, hidden_labels, without_sub_samples
 from strideline.operators import compare, labels, sla, steady
 from strideline.plans import report
-from strideline.sources import merge, rules
+from strideline.sources import csv_log, merge, rules
 
 
 def parser() -> argparse.ArgumentParser:
@@ -52,9 +51,9 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def read(spark: SparkSession, paths: str) -> tuple[DataFrame, tuple[str, ...]]:
-    """Events of all logs, and the warnings about them."""
-    found = [merge.read_checked(spark, p) for p in paths.split(",") if p]
+def read(spark: SparkSession, paths: str, held: list | None = None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Events of all logs, and the warnings about them; what Spark holds of them is put into `held`."""
+    found = [merge.read_checked(spark, p, held) for p in paths.split(",") if p]
     return reduce(DataFrame.unionByName, (e for e, _ in found)), tuple(w for _, ws in found for w in ws)
 
 
@@ -62,8 +61,8 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> int:
     given = rules.loads(Path(a.sla).read_text(encoding="utf-8")) if a.sla else rules.RuleSet()
     apdex = labels.Apdex(a.apdex_satisfied or given.apdex.satisfied, a.apdex_tolerated or given.apdex.tolerated)
     extras = dict(m.split("=", 1) for m in a.meta if "=" in m)
-    events, warnings = read(spark, a.log)
-    events = events.persist(StorageLevel.DISK_ONLY)
+    held: list[csv_log.Counted] = []
+    events, warnings = read(spark, a.log, held)
     over = hidden_labels(events if a.sub else without_sub_samples(events), a.label_cap)
     if over:
         warnings += (f"{over} labels beyond the cap of {a.label_cap} are counted as {OTHER}",)
@@ -84,7 +83,9 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> int:
     report.write(doc, a.out)
     if a.junit and results is not None:
         Path(a.junit).write_text(sla.junit(results, a.title), encoding="utf-8")
-    events.unpersist()
+    bundle.release()
+    for log in held:
+        log.release()
     said = doc.get("sla", {}).get("verdict", "PASS")
     worse = doc.get("comparison", {}).get("hasRegression", False)
     print(f"verdict {said}, regression {worse}")
@@ -105,7 +106,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         if a.command == "generate":
             return generate(spark, a)
         if a.command == "compare":
-            (baseline, _), (candidate, warnings) = read(spark, a.baseline), read(spark, a.candidate)
+            (baseline, earlier), (candidate, warnings) = read(spark, a.baseline), read(spark, a.candidate)
+            warnings += tuple(f"baseline: {w}" for w in earlier)
             judged = report.compared(baseline, candidate).persist()
             bundle = report.analysed(candidate, report.Options(f"{a.candidate} against {a.baseline}", [a.candidate], warnings=warnings))
             report.write(report.document(bundle, comparison=judged, baseline_title=a.baseline), a.out)

@@ -12,18 +12,20 @@ from strideline.sources import csv_log, xml_log
 from strideline.sources.detect import is_xml
 
 
-def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, ...]]:
+def read_checked(spark: SparkSession, path: str, held: list[csv_log.Counted] | None = None) -> tuple[DataFrame, tuple[str, ...]]:
     """Events of a file by its content (XML, Parquet by name, else CSV), and what is to be said about it.
 
-    A CSV log is counted first: one with too many malformed rows raises ValueError, fewer of them become a warning.
+    A CSV log is read once and counted on the way: one with too many malformed rows raises ValueError, fewer of them become
+    warnings that show the first ten. Spark holds its rows until what is put into `held` is released.
     """
     if path.rstrip("/").endswith(".parquet"):
         return conform(spark.read.parquet(path)), ()
     if is_xml(spark, path):
         return xml_log.read(spark, path), ()
-    log = csv_log.read(spark, path)
-    _, bad = log.counts()
-    return log.events, (*log.warnings, *([f"{bad} malformed rows of {path} were skipped"] if bad else []))
+    log = csv_log.counted(spark, path)
+    if held is not None:
+        held.append(log)
+    return log.log.events, (*([f"{log.malformed} malformed rows of {path} were skipped"] if log.malformed else []), *log.warnings)
 
 
 def read_one(spark: SparkSession, path: str) -> DataFrame:

@@ -50,26 +50,81 @@ def test_csv_packed_under_any_name(spark, tmp_path):
     assert events_.count() == 50 and not warnings and events_.agg(F.sum("elapsed_ms")).first()[0] == 1225
 
 
-def test_csv_in_splits(spark, tmp_path):
-    """A plain log is dealt in splits; one with a quoted line end is read as a whole, and rightly."""
+@pytest.fixture
+def small_splits(spark):
+    """Files are dealt in splits of this many bytes."""
+    def of(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+
+    yield of
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_in_splits(spark, tmp_path, small_splits):
     plain = write(tmp_path / "x.csv", HEAD + "".join(LINE.format(ts=1700000000000 + i, ms=i, label="a", lat=1) for i in range(3000)))
-    folded = write(tmp_path / "y.csv", HEAD + LINE.format(ts=1700000000000, ms=3, label="two\nlines", lat=1) * 3)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 60_000)
-    spark.conf.set("spark.sql.files.openCostInBytes", 1)
-    try:
-        log = csv_log.read(spark, plain)
-        assert log.events.rdd.getNumPartitions() >= 3 and log.counts() == (3000, 0)
-        assert not csv_log.spans_lines(spark, plain) and csv_log.spans_lines(spark, folded)
-        assert [r["label"] for r in csv_log.read(spark, folded).events.collect()] == ["two\nlines"] * 3
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    small_splits(60_000)
+    log = csv_log.read(spark, plain)
+    assert log.events.rdd.getNumPartitions() >= 3 and log.counts() == (3000, 0)
+    assert csv_log.folds(csv_log.text_lines(spark, plain)) is None
+
+
+@pytest.mark.parametrize("size", [300, 2_001, 1 << 20])
+def test_csv_with_line_ends_in_quotes(spark, tmp_path, small_splits, size):
+    """Labels with line ends, quotes and commas, some longer than a split, in two files; the same rows as a parser that reads whole files."""
+    import random
+
+    rng = random.Random(9)
+    names = ["plain", "two\nlines", 'a ""b"" c', "x,\n\n,y", '""\n""', "\n", "long\n" * 60, 'q""\n""q\n']
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for f in range(2):
+        rows = [LINE.format(ts=1700000000000 + i, ms=i, label=rng.choice(names), lat=1) for i in range(90)]
+        write(folder / f"{f}.csv", HEAD + "".join(rows))
+    want = spark.read.options(header=True, multiLine=True, escape='"').csv(str(folder)).selectExpr("cast(timestamp as long) as t", "cast(elapsed as long) as e", "label").collect()
+    small_splits(size)
+    log = csv_log.read(spark, str(folder))
+    got = log.events.select("timestamp_ms", "elapsed_ms", "label").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 180
+    assert size > 2_001 or log.events.rdd.getNumPartitions() > 10
+    counted = csv_log.counted(spark, str(folder))
+    assert (counted.total, counted.malformed) == (180, 0) and counted.log.events.count() == 180
+    counted.release()
+
+
+def test_csv_field_that_is_never_closed(spark, tmp_path, small_splits):
+    text = HEAD + LINE.format(ts=1700000000000, ms=3, label="a", lat=1) + '1700000000001,4,"open' + "\n1700000000002,5,b,200" * 50
+    small_splits(200)
+    got = csv_log.read(spark, write(tmp_path / "x.csv", text)).events.orderBy("timestamp_ms").collect()
+    assert [r["elapsed_ms"] for r in got] == [3, 4] and got[1]["label"].startswith("open\n1700000000002")
+
+
+@pytest.mark.parametrize("blank", ["\n", "\r\n\n", "  \n", "\ufeff\n"])
+def test_csv_blank_first_lines(spark, tmp_path, blank):
+    """Columns in an order of their own are found behind blank lines; carriage returns and U+2028 are no line ends."""
+    head = 'elapsed,"label",timeStamp,success,"my, own"\r\n'
+    log = csv_log.read(spark, write(tmp_path / "x.csv", blank + head + "\n5,a\u2028b,1700000000000,true,x\r\n\n6,c,1700000000001,false,\r\n"))
+    got = log.events.orderBy("elapsed_ms").collect()
+    assert [(r["elapsed_ms"], r["label"], r["timestamp_ms"], r["success"]) for r in got] == [(5, "a\u2028b", 1700000000000, True), (6, "c", 1700000000001, False)]
+    assert log.counts() == (2, 0) and log.columns == ("elapsed", "label", "timestamp", "success", "my, own")
+
+
+def test_csv_is_read_once(spark, tmp_path):
+    """Counting, sampling and using a log's events make one scan of its file."""
+    bad = "".join(f"never{i},5,a\n" for i in range(15))
+    path = tmp_path / "x.csv"
+    write(path, HEAD + LINE.format(ts=1700000000000, ms=5, label="a", lat=1) * 40 + bad)
+    log = csv_log.counted(spark, str(path))
+    path.unlink()
+    assert (log.total, log.malformed) == (55, 15) and log.samples == tuple(f"never{i},5,a" for i in range(10)) and log.log.events.count() == 40
+    log.release()
 
 
 def test_malformed_logs(spark, tmp_path):
     good = lambda n: "".join(LINE.format(ts=1700000000000 + i, ms=5, label="a", lat=1) for i in range(n))
     bad = "never,5,a,200,OK,t1,text,true,,1,1,1,1,u,1,0,1\n"
-    assert merge.read_checked(spark, write(tmp_path / "a.csv", HEAD + good(10) + bad * 5))[1] == (f"5 malformed rows of {tmp_path / 'a.csv'} were skipped",)
+    assert merge.read_checked(spark, write(tmp_path / "a.csv", HEAD + good(10) + bad * 5))[1] == (f"5 malformed rows of {tmp_path / 'a.csv'} were skipped", *[f"malformed: {bad.strip()}"] * 5)
     assert merge.read_one(spark, write(tmp_path / "b.csv", HEAD + good(2000) + bad * 20)).count() == 2000
     with pytest.raises(ValueError, match="30 of 2030"):
         merge.read_one(spark, write(tmp_path / "c.csv", HEAD + good(2000) + bad * 30))
