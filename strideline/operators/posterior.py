@@ -1,47 +1,66 @@
 """A hierarchical estimate of every label's p95 shift, by quadrature instead of sampling.
 
 d ~ N(delta, s), delta ~ N(mu, tau), mu ~ N(0, 1), tau ~ HalfNormal(0.5). Given tau every delta is Gaussian, so that the
-posterior is a mixture over a grid of tau; nothing is random. One row for each label comes to the driver.
+posterior is a mixture over a grid of tau; nothing is random. Sums over labels are an aggregate for each tau; the grid's
+weights, of a fixed number, are sent to the labels, where each finds its own mixture's tail and quantiles.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideline.functions.normal import normal_cdf
 from strideline.operators.compare import se_log_p95
 
-_SCHEMA = "label string, is_total boolean, p_regression double, shift_pct double, low_pct double, high_pct double"
-
-
-def shifts(d: np.ndarray, s: np.ndarray, tolerance: float = 0.1, points: int = 4000) -> np.ndarray:
-    """For each label: P(delta > log(1 + tolerance)), exp(E delta) - 1 and its 5 % and 95 % quantiles, in percent."""
-    tau = np.exp(np.linspace(math.log(1e-5), math.log(5.0), points))[:, None]
-    v = s[None, :] ** 2 + tau**2
-    w = 1.0 / v
-    precision = 1.0 + w.sum(axis=1)
-    mean_mu = (w * d).sum(axis=1) / precision
-    log_like = -0.5 * np.log(v).sum(axis=1) - 0.5 * np.log(precision) - 0.5 * ((w * d**2).sum(axis=1) - precision * mean_mu**2)
-    log_weight = log_like - 0.5 * (tau[:, 0] / 0.5) ** 2 + np.log(tau[:, 0])
-    weight = np.exp(log_weight - log_weight.max())
-    weight /= weight.sum()
-    shrink = tau**2 / v
-    mean = shrink * d + (1 - shrink) * mean_mu[:, None]
-    sd = np.sqrt(shrink * s[None, :] ** 2 + (1 - shrink) ** 2 / precision[:, None])
-    erf = np.vectorize(math.erf)
-    tail = lambda x: (weight[:, None] * 0.5 * (1 - erf((x - mean) / (sd * math.sqrt(2))))).sum(axis=0)
-    ends = []
-    for q in (0.05, 0.95):
-        low, high = mean.min(axis=0) - 10 * sd.max(axis=0), mean.max(axis=0) + 10 * sd.max(axis=0)
-        for _ in range(40):
-            mid = (low + high) / 2
-            above = tail(mid) > 1 - q
-            low, high = np.where(above, mid, low), np.where(above, high, mid)
-        ends.append(np.expm1((low + high) / 2) * 100)
-    return np.stack([tail(math.log1p(tolerance)), np.expm1((weight[:, None] * mean).sum(axis=0)) * 100, *ends], axis=1)
+#: The grid: so many values of tau, evenly spaced in its logarithm; and the halvings that find a quantile.
+LOWEST, HIGHEST, POINTS, HALVINGS = 1e-5, 5.0, 400, 40
+_KEY = ["label", "is_total"]
+
+
+def taus() -> Column:
+    low, step = math.log(LOWEST), (math.log(HIGHEST) - math.log(LOWEST)) / (POINTS - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.exp(F.lit(low) + i * F.lit(step)))
+
+
+def weighted_taus(rows: DataFrame) -> DataFrame:
+    """One row: the grid as an array of (tau, weight, precision, mu), the weights adding up to 1."""
+    each = rows.select("d", F.explode(taus()).alias("tau"), "s").withColumn("v", F.col("s") * F.col("s") + F.col("tau") * F.col("tau"))
+    sums = each.groupBy("tau").agg(F.sum(1 / F.col("v")).alias("w"), F.sum(F.col("d") / F.col("v")).alias("wd"), F.sum(F.col("d") * F.col("d") / F.col("v")).alias("wdd"), F.sum(F.log("v")).alias("lv"))
+    sums = sums.withColumn("precision", 1 + F.col("w")).withColumn("mu", F.col("wd") / F.col("precision"))
+    like = -0.5 * F.col("lv") - 0.5 * F.log("precision") - 0.5 * (F.col("wdd") - F.col("precision") * F.col("mu") * F.col("mu"))
+    prior = F.log("tau") - 0.5 * (F.col("tau") / 0.5) * (F.col("tau") / 0.5)
+    one = sums.withColumn("lw", like + prior).agg(F.array_sort(F.collect_list(F.struct("tau", "lw", "precision", "mu"))).alias("grid"), F.max("lw").alias("top"))
+    one = one.withColumn("grid", F.transform("grid", lambda x: F.struct(x["tau"].alias("tau"), F.exp(x["lw"] - F.col("top")).alias("w"), x["precision"].alias("precision"), x["mu"].alias("mu"))))
+    return one.select("grid", F.aggregate("grid", F.lit(0.0), lambda t, x: t + x["w"]).alias("whole"))
+
+
+def shifts(rows: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """For each (label, is_total, d, s): P(delta > log(1 + tolerance)), exp(E delta) - 1 and its 5 % and 95 % quantiles, in percent."""
+    s2, d = F.col("s") * F.col("s"), F.col("d")
+
+    def part(x: Column) -> Column:
+        shrink = x["tau"] * x["tau"] / (s2 + x["tau"] * x["tau"])
+        sd = F.sqrt(shrink * s2 + (1 - shrink) * (1 - shrink) / x["precision"])
+        return F.struct((x["w"] / F.col("whole")).alias("w"), (shrink * d + (1 - shrink) * x["mu"]).alias("mean"), sd.alias("sd"))
+
+    mixed = rows.crossJoin(F.broadcast(weighted_taus(rows))).select(*_KEY, F.transform("grid", part).alias("parts"))
+    above = lambda x: F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["w"] * normal_cdf((p["mean"] - x) / p["sd"]))
+    widest = 10 * F.array_max("parts.sd")
+    mixed = mixed.withColumn("low", F.array_min("parts.mean") - widest).withColumn("high", F.array_max("parts.mean") + widest)
+
+    def quantile(q: float) -> Column:
+        def halved(r: Column, _: Column) -> Column:
+            mid = (r["low"] + r["high"]) / 2
+            return F.when(above(mid) > 1 - q, F.struct(mid.alias("low"), r["high"].alias("high"))).otherwise(F.struct(r["low"].alias("low"), mid.alias("high")))
+
+        ends = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct("low", "high"), halved)
+        return F.expm1((ends["low"] + ends["high"]) / 2) * 100
+
+    mean = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["w"] * p["mean"])
+    return mixed.select(*_KEY, above(F.lit(math.log1p(tolerance))).alias("p_regression"), (F.expm1(mean) * 100).alias("shift_pct"), quantile(0.05).alias("low_pct"), quantile(0.95).alias("high_pct"))
 
 
 def inputs(baseline_slots: DataFrame, candidate_slots: DataFrame) -> DataFrame:
@@ -54,6 +73,4 @@ def inputs(baseline_slots: DataFrame, candidate_slots: DataFrame) -> DataFrame:
 
 def posterior(baseline_slots: DataFrame, candidate_slots: DataFrame, tolerance: float = 0.1, with_total: bool = True) -> DataFrame:
     """Shifts of all labels pooled; the rollup is pooled with them unless told otherwise."""
-    rows = inputs(baseline_slots, candidate_slots).where(F.lit(with_total) | ~F.col("is_total")).orderBy("is_total", "label").collect()
-    out = shifts(np.array([r["d"] for r in rows]), np.array([r["s"] for r in rows]), tolerance).tolist() if rows else []
-    return baseline_slots.sparkSession.createDataFrame([(r["label"], r["is_total"], *x) for r, x in zip(rows, out)], _SCHEMA)
+    return shifts(inputs(baseline_slots, candidate_slots).where(F.lit(with_total) | ~F.col("is_total")), tolerance)

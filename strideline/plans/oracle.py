@@ -83,6 +83,33 @@ _TEST = f"""pairs as (select k, is_total, slot, sum(a)::double as a, sum(b)::dou
     0.3989422804014327::double * exp(-z * z / 2) * tt * (0.3193815::double + tt * (-0.3565638::double + tt * (1.781478::double + tt * (-1.821256::double + tt * 1.330274::double)))) end) as p from ts)"""
 
 
+def _shift(run: str) -> str:
+    """p95 of a run's labels and the standard error of its logarithm, for those with 20 values and more."""
+    width = "(case when r[1] < 128 then 1 else 1::bigint << (r[1] // 128 - 1)::int end)::double"
+    return f"""{run}_h as (select k, is_total, min((slot, c, n)) as r from {run}_q_c where cum >= greatest(1, ceil(0.95::double * n)) and c > 0 group by all),
+  {run}_f as (select k, is_total, {mid('r[1]')} as p95, sqrt(0.95::double * 0.05::double / (r[3] * (r[2] / (r[3] * {width})) ** 2)) / {mid('r[1]')} as se from {run}_h where r[3] >= 20 and {mid('r[1]')} > 0)"""
+
+
+def _cdf(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419::double * abs({z})))"
+    tail = f"0.3989422804014327::double * exp(-{z} * {z} / 2) * {t} * (0.3193815::double + {t} * (-0.3565638::double + {t} * (1.781478::double + {t} * (-1.821256::double + {t} * 1.330274::double))))"
+    return f"(case when {z} < -8 then 0 when {z} > 8 then 1 when {z} > 0 then 1 - {tail} else {tail} end)"
+
+
+_POSTERIOR = f"""{_shift('sb')}, {_shift('sc')},
+  ins as materialized (select k as label, is_total, ln(c.p95 / b.p95) as d, sqrt(b.se ** 2 + c.se ** 2) as s from sb_f b join sc_f c using (k, is_total)),
+  taus as (select exp(ln(1e-5::double) + i * (ln(5::double) - ln(1e-5::double)) / 399) as tau from range(400) r(i)),
+  pt as (select tau, 1 + sum(1 / v) as prec, sum(d / v) as wd, sum(d * d / v) as wdd, sum(ln(v)) as lv from (select tau, d, s * s + tau * tau as v from ins, taus) group by tau),
+  lw as (select *, wd / prec as mu, -0.5::double * lv - 0.5::double * ln(prec) - 0.5::double * (wdd - wd * wd / prec) + ln(tau) - 2 * tau * tau as lw from pt),
+  ew as (select *, exp(lw - (select max(lw) from lw)) as e from lw), wn as (select *, e / (select sum(e) from ew) as w from ew),
+  comp as materialized (select label, is_total, w, r * d + (1 - r) * mu as m, sqrt(r * s * s + (1 - r) * (1 - r) / prec) as sd from (select *, tau * tau / (s * s + tau * tau) as r from ins, wn)),
+  br as (select label, is_total, q, min(m) - 10 * max(sd) as lo, max(m) + 10 * max(sd) as hi, 0 as i from comp, (values (0.05::double), (0.95::double)) v(q) group by label, is_total, q union all
+    select label, is_total, q, case when tail > 1 - q then mid else lo end, case when tail > 1 - q then hi else mid end, i + 1 from (
+      select b.label, b.is_total, q, lo, hi, i, (lo + hi) / 2 as mid, sum(w * {_cdf('((m - (lo + hi) / 2) / sd)')}) as tail from br b join comp c on b.label = c.label and b.is_total = c.is_total where i < 40 group by all)),
+  qs as (select label, is_total, max(case when q < 0.5 then (exp((lo + hi) / 2) - 1) * 100 end) as low_pct, max(case when q > 0.5 then (exp((lo + hi) / 2) - 1) * 100 end) as high_pct from br where i = 40 group by all),
+  ps as (select label, is_total, sum(w * {_cdf('((m - ln(1.1::double)) / sd)')}) as p_regression, (exp(sum(w * m)) - 1) * 100 as shift_pct from comp group by all)"""
+
+
 def _pct(m: str) -> str:
     return f"case when b.{m} = 0 then case when c.{m} = 0 then 0.0::double else 100.0::double end else (c.{m} - b.{m})::double / b.{m} * 100 end as {m}_change"
 
@@ -158,6 +185,15 @@ ORACLE: dict[str, str] = {
     "se_log_p95": f"""{_BASE}, h as (select k, is_total, min((slot, c, n)) as r from st_q_c where cum >= greatest(1, ceil(0.95::double * n)) and c > 0 group by all),
       f as (select k, is_total, r[1] as s, r[2] as c, r[3] as n from h)
       select k as label, is_total, n::bigint as n, {mid('s')} as p95, round(case when n >= 20 then sqrt(0.95::double * 0.05::double / (n * (c / (n * (case when s < 128 then 1 else 1::bigint << (s // 128 - 1)::int end)::double)) ** 2)) / {mid('s')} end, 6) as se from f""",
+    "posterior_shift": f"""{_RUNS.replace('with ', 'with recursive ', 1)}, {_POSTERIOR} select label, is_total, {_R('p_regression', 'shift_pct', 'low_pct', 'high_pct')} from ps join qs using (label, is_total)""",
+    "lttb": f"""{SERIES.replace('with ', 'with recursive ', 1)}, raw as (select k as label, is_total, t, avg(e) as v, row_number() over (partition by k, is_total order by t) - 1 as i, count(*) over (partition by k, is_total) as n from tb group by k, is_total, t),
+      st as (select *, (n - 2.0::double) / 1998 as step from raw), nr as (select *, floor((i - 1) / step) as g from st where n > 2000),
+      pts as materialized (select label, is_total, t, v, (case when i = 0 then -1 when i = n - 1 then 1998 when floor((g + 1) * step + 1) <= i then g + 1 when floor(g * step + 1) > i then g - 1 else g end)::bigint as k from nr),
+      nx as materialized (select label, is_total, k - 1 as k, avg(t) as mt, avg(v) as mv from pts group by label, is_total, k),
+      pk as (select label, is_total, k, t, v from pts where k = -1 union all
+        select label, is_total, k, (-r.t)::bigint as t, r.v as v from (select p.label, p.is_total, p.k, max(struct_pack(area := abs((o.t - mt) * (p.v - o.v) - (o.t - p.t) * (mv - o.v)), t := -p.t, v := p.v)) as r
+          from pk o join pts p on p.label = o.label and p.is_total = o.is_total and p.k = o.k + 1 join nx on nx.label = p.label and nx.is_total = p.is_total and nx.k = p.k where p.k < 1998 group by p.label, p.is_total, p.k))
+      select label, is_total, t, round(v, 6) as value from raw where n <= 2000 union all select label, is_total, t, round(v, 6) from pk union all select label, is_total, t, round(v, 6) from pts where k = 1998""",
     "new_removed_labels": f"""with {EV}, x as (select distinct label from ev where row_no % 2 = 0 and label <> 'view'), y as (select distinct label from ev where row_no % 2 = 1 and label <> 'click')
       select label, false as is_total, 'new' as change from y where label not in (select label from x) union all select label, false, 'removed' from x where label not in (select label from y)""",
     "merge_union": f"with {EV} select label, count(*) as n, sum(case when row_no % 2 = 1 then e * 12 // 10 else e end)::bigint as sum_elapsed, min(ts) as first_ms from ev group by label",

@@ -257,11 +257,32 @@ def test_rank_test_and_posterior(spark):
     sketch = lambda d: spark.createDataFrame([("x", False, s, c) for s, c in d.items()], "label string, is_total boolean, slot long, c long")
     r = compare.rank_test(sketch({1: 2, 2: 1}), sketch({2: 1, 3: 2})).first()
     assert (r["u"], round(r["z"], 4), round(r["delta"], 6)) == (0.5, -1.7457, round(-8 / 9, 6)) and abs(r["p"] - 0.081) < 1e-3
+    import math
+
     import numpy as np
 
-    got = posterior.shifts(np.array([0, 0.02, -0.01, 0.01, 0.6]), np.array([0.02] * 4 + [1.0]))[-1]
-    assert np.allclose(got, [0.0205, 0.62, -4.31, 5.97], atol=0.02)
-    assert posterior.shifts(np.array([np.log(3)] * 2), np.array([0.01] * 2))[0][0] > 0.999
+    def exact(d, s, tolerance, points=4000):
+        """The mixture over a finer grid with the exact normal distribution."""
+        tau = np.exp(np.linspace(math.log(1e-5), math.log(5.0), points))[:, None]
+        v = s**2 + tau**2
+        prec = 1 + (1 / v).sum(axis=1)
+        mu = (d / v).sum(axis=1) / prec
+        lw = -0.5 * np.log(v).sum(axis=1) - 0.5 * np.log(prec) - 0.5 * ((d**2 / v).sum(axis=1) - prec * mu**2) - 2 * tau[:, 0] ** 2 + np.log(tau[:, 0])
+        w = np.exp(lw - lw.max())
+        w /= w.sum()
+        r = tau**2 / v
+        mean, sd = r * d + (1 - r) * mu[:, None], np.sqrt(r * s**2 + (1 - r) ** 2 / prec[:, None])
+        above = lambda x: (w[:, None] * 0.5 * (1 - np.vectorize(math.erf)((x - mean) / sd / math.sqrt(2)))).sum(axis=0)
+        return above(math.log1p(tolerance)), np.expm1((w[:, None] * mean).sum(axis=0)) * 100, above
+
+    for d, s in (([0, 0.02, -0.01, 0.01, 0.6], [0.02] * 4 + [1.0]), ([math.log(3)] * 2, [0.01] * 2), ([0.3], [0.2])):
+        rows = spark.createDataFrame([(f"l{i}", False, float(a), float(b)) for i, (a, b) in enumerate(zip(d, s))], "label string, is_total boolean, d double, s double")
+        got = np.array([tuple(r)[2:] for r in posterior.shifts(rows).orderBy("label").collect()])
+        p, shift, above = exact(np.array(d), np.array(s), 0.1)
+        assert np.allclose(got[:, 0], p, atol=1e-5) and np.allclose(got[:, 1], shift, atol=1e-4)
+        for column, q in ((2, 0.95), (3, 0.05)):
+            assert np.allclose(above(np.log1p(got[:, column] / 100)), q, atol=1e-5)
+    assert posterior.shifts(rows.limit(0)).count() == 0
 
 
 def test_sla(spark):
@@ -322,6 +343,53 @@ def test_thinned_series_against_one_by_one():
         assert got == [*want, n - 1]
 
 
+def test_thinned_series_in_pieces(spark, monkeypatch):
+    """Many labels and one long series with ties, steps and gaps, in chunks far smaller than a series, against the plain form."""
+    import random
+
+    import numpy as np
+
+    from strideline.operators import downsample
+
+    monkeypatch.setattr(downsample, "CHUNK", 50)
+    rng = random.Random(3)
+    data, want = [], set()
+    for label, n, of in (("short", 9, rng.random), ("even", 40, rng.random), ("long", 2500, rng.random), ("flat", 700, lambda: 1.0), ("steps", 900, lambda: float(rng.randrange(3))), ("walk", 1200, lambda: rng.gauss(0, 1) ** 3)):
+        t = sorted(rng.sample(range(n * 3), n))
+        y = [of() for _ in t]
+        data += [(label, False, a * 1000, b) for a, b in zip(t, y)]
+        want |= {(label, t[i] * 1000, y[i]) for i in downsample.largest_triangles(np.array(t, float) * 1000, np.array(y), 40)}
+    rows = spark.createDataFrame([*data, ("even", False, 10**9, None)], "label string, is_total boolean, t long, v double").repartition(5)
+    got = [(r["label"], r["t"], r["value"]) for r in downsample.thinned(rows, "v", 40).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(downsample.hull(np.arange(5000.0), np.array([rng.random() for _ in range(5000)]))) < 100
+
+
+def test_longest_run_over_chunks(spark):
+    """Runs that end at, cross and fill chunks, with gaps in time and ties, against a plain loop."""
+    import random
+
+    rng = random.Random(5)
+    cases = [[rng.random() < p for _ in range(n)] for n in (1, 2, 7, 60, 200) for p in (0.3, 0.8, 0.97)] + [[True] * 40, [False] * 30, [True] * 8 + [False] * 8 + [True] * 8, [False] * 8 + [True] * 8 + [False] * 17]
+    for c, inside in enumerate(cases):
+        t, at = [], -5000
+        for _ in inside:
+            at += 10 * rng.choice([1, 1, 1, 1, 2, 40])
+            t.append(at)
+        best, start = None, None
+        for i, x in enumerate([*inside, False]):
+            if x and start is None:
+                start = i
+            elif not x and start is not None:
+                if best is None or t[i - 1] - t[start] > best[1] - best[0]:
+                    best = (t[start], t[i - 1])
+                start = None
+        rows = spark.createDataFrame([(a, x, 10) for a, x in zip(t, inside)], "t long, inside boolean, bucket_ms long").repartition(3)
+        for chunk in (1, 4, 1 << 16) if c > 10 else (4,):
+            got = steady.longest_run(rows, chunk=chunk).collect()
+            assert [tuple(r) for r in got] == [best or (None, None)], (inside, t, chunk)
+
+
 def test_series_as_maps(spark):
     rows = [(t * 500, t % 7 + 1, "ab"[t % 3 == 0], t % 5 > 0, t % 4 + 1) for t in range(40)]
     ev = events(spark, rows)
