@@ -69,17 +69,18 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> int:
     options = report.Options(a.title, a.log.split(","), extras, warnings, apdex, a.bucket, a.label_cap, a.sub, a.steady_state_only)
     bundle = report.analysed(events, options)
     results = comparison = None
-    title = ""
+    meta = None
     if a.sla:
         full = bundle.tables["stats"]
         # A label without an event in the steady window is held against the whole run, not left out.
         stats = steady.or_full(bundle.tables["steady_stats"], full) if given.steady_window else full
         results = sla.evaluate(stats, sla.rules_table(spark, given.rules)).persist()
     if a.baseline:
-        base, slots, title = report.baseline_tables(spark, a.baseline)
-        comparison = compare.verdicts(compare.deltas(base, bundle.tables["stats"]), compare.rank_test(slots, bundle.tables["histogram"]))
-        comparison = report.with_shift(comparison, slots, bundle.tables["histogram"])
-    doc = report.document(bundle, results, comparison, title)
+        base = report.baseline(spark, a.baseline)
+        meta = base.meta
+        comparison = compare.verdicts(compare.deltas(base.stats, bundle.tables["stats"]), compare.rank_test(base.slots, bundle.tables["histogram"]))
+        comparison = report.with_blocks(report.with_shift(comparison, base.slots, bundle.tables["histogram"]), base, bundle)
+    doc = report.document(bundle, results, comparison, meta)
     report.write(doc, a.out)
     if a.junit and results is not None:
         Path(a.junit).write_text(sla.junit(results, a.title), encoding="utf-8")
@@ -107,10 +108,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
             return generate(spark, a)
         if a.command == "compare":
             (baseline, earlier), (candidate, warnings) = read(spark, a.baseline), read(spark, a.candidate)
-            warnings += tuple(f"baseline: {w}" for w in earlier)
             judged = report.compared(baseline, candidate).persist()
             bundle = report.analysed(candidate, report.Options(f"{a.candidate} against {a.baseline}", [a.candidate], warnings=warnings))
-            report.write(report.document(bundle, comparison=judged, baseline_title=a.baseline), a.out)
+            report.write(report.document(bundle, comparison=judged, baseline_meta={"title": a.baseline, "source": a.baseline.split(","), "warnings": list(earlier)}), a.out)
             return int(compare.has_regression(judged).first()["has_regression"])
         stats = labels.statistics(read(spark, a.log)[0]).persist()
         found = sla.recommend(stats, a.headroom)

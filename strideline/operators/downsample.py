@@ -87,14 +87,17 @@ def thinned(series: DataFrame, metric: str = "mean", limit: int = 2000, step_ms:
     short = rows.where("k is null").select(*_KEY, "t", "value")
     long_ = rows.where("k is not null")
 
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.iloc[hull(pdf["t"].to_numpy(float), pdf["value"].to_numpy(float))]
+    def outlines(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The hull of each bucket, or of what a group has of it."""
+        pdf = pdf.sort_values(["k", "t"])
+        t, v = pdf["t"].to_numpy(float), pdf["value"].to_numpy(float)
+        cut = np.append(np.nonzero(np.diff(pdf["k"].to_numpy(), prepend=-2))[0], len(pdf))
+        return pdf.iloc[np.concatenate([a + hull(t[a:z], v[a:z]) for a, z in zip(cut, cut[1:])])][["label", "is_total", "k", "t", "value"]]
 
     fields = "label string, is_total boolean, k long, t long, value double"
-    plain = long_.select(*_KEY, "k", "t", "value", "chunk")
-    edges = plain.groupBy(*_KEY, "k", "chunk").applyInPandas(lambda pdf: outline(pdf)[["label", "is_total", "k", "t", "value"]], fields)
-    edges = edges.groupBy(*_KEY, "k").applyInPandas(outline, fields)
+    edges = long_.select(*_KEY, "k", "t", "value", "chunk").groupBy(*_KEY, "chunk").applyInPandas(outlines, fields)
+    # Once more for buckets that lie in several chunks.
+    edges = edges.groupBy(*_KEY, F.floor(F.col("k") / 64).alias("some")).applyInPandas(outlines, fields)
     means = long_.groupBy(*_KEY, "k").agg(F.avg("t").alias("mt"), F.avg("value").alias("mv"))
     after = means.select(*_KEY, (F.col("k") - 1).alias("k"), "mt", "mv")
     points = edges.join(after, [*_KEY, "k"], "left")

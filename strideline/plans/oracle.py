@@ -131,6 +131,7 @@ ORACLE: dict[str, str] = {
       select label, is_total, {_R("apdex")} from st""",
     "histogram_slots": f"with {EV}, {keyed()} select k as label, is_total, {slot('e')} as slot, count(*) as c from g group by all",
     "histogram_merge": f"with {EV}, e2 as (select * replace (case when row_no % 2 = 1 then e * 12 // 10 else e end as e) from ev), {keyed('e2')} select k as label, is_total, {slot('e')} as slot, count(*) as c from g group by all",
+    "packed_sketches": f"with {EV}, e2 as (select * replace (case when row_no % 2 = 1 then e * 12 // 10 else e end as e) from ev), {keyed('e2')}, {quant('g', 'k, is_total', 'e', 'q')} select k as label, is_total, p50, p75, p90, p95, p99, p999 from q",
     "quantiles_all": f"with {EV}, {keyed()}, {quant('g', 'k, is_total', 'e', 'q')} select k as label, is_total, p50, p75, p90, p95, p99, p999 from q",
     "latency_connect_quantiles": f"""with {EV}, {keyed()}, {quant('g', 'k, is_total', 'latency', 'q')}, {quant('g', 'k, is_total', 'connect', 'r')}
       select k as label, is_total, p50, p75, p90, p95, p99, p999, 'latency' as metric from q union all select k, is_total, p50, p75, p90, p95, p99, p999, 'connect' from r""",
@@ -219,4 +220,8 @@ ORACLE: dict[str, str] = {
       case when throughput_change > 0.5 then 'worse' when throughput_change < -0.5 then 'better' else 'same' end as throughput_grade from dl""",
     "price_sketch": f"with l as (select l_returnflag as label, floor(l_extendedprice)::bigint as v from lineitem), {quant('l', 'label', 'v', 'q')} select * from q",
     "stream_label_counts": f"with {EV}, {keyed()} select k as label, is_total, count(*) as n, count(*) filter (not ok) as errors, sum(e)::bigint as sum_elapsed from g group by all",
+    "stream_percentiles": f"{_BASE} select label, is_total, n, {_R('apdex')}, p50, p75, p90, p95, p99, p999 from st",
+    "stream_closed_windows": f"""with {EV} select label, ts // 3600000 * 3600000 as start_ms, count(*) as n, count(*) filter (not ok) as errors, max(threads) as threads from ev
+      group by label, 2 having ts // 3600000 * 3600000 + 3600000 <= (select max(ts) - 3600000 from ev)""",
 }
+ORACLE["stream_series"] = ORACLE["series_cells"]

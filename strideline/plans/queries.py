@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideline.functions.packed_sketch import merged_sketches, packed, sketch_quantiles
 from strideline.functions.sketch import histogram, merged, quantiles
 from strideline.model import capped_labels, runs, user_events, without_sub_samples
 from strideline.operators import compare, downsample, errors, labels, posterior, scaling, series, sla, steady, tables
 from strideline.sources.csv_log import lenient_long, parsed_timestamp, policy
-from strideline.streaming.live import label_counts_once
+from strideline.streaming import live
 
 OVERRIDES = labels.Apdex(500, 1500, {"click": (200, 800), "TOTAL": (300, 1200)})
 RULES = [
@@ -75,6 +76,14 @@ def histogram_merge(ev):
     return merged(labels.slots(a).unionByName(labels.slots(b)), ["label", "is_total"])
 
 
+@_query("packed_sketches")
+def packed_sketches(ev):
+    """Two runs' sketches as binary values, merged as such, and what they tell."""
+    key = ["label", "is_total"]
+    both = [packed(labels.slots(run), key) for run in runs(ev)]
+    return sketch_quantiles(merged_sketches(both[0].unionByName(both[1]), key), key)
+
+
 @_query("quantiles_all")
 def quantiles_all(ev):
     return labels.percentiles(ev)
@@ -333,4 +342,7 @@ def price_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["price_sketch"] = price_sketch
-QUERIES["stream_label_counts"] = label_counts_once
+QUERIES["stream_label_counts"] = live.label_counts_once
+QUERIES["stream_percentiles"] = live.percentiles_once
+QUERIES["stream_series"] = live.series_once
+QUERIES["stream_closed_windows"] = live.closed_windows_once

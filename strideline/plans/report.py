@@ -5,6 +5,7 @@ What comes to the driver is the report itself: a row for each label, bucket or c
 
 from __future__ import annotations
 
+import base64
 import html as _html
 import json
 import math
@@ -16,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideline.functions.packed_sketch import packed, unpacked
+from strideline.functions.sketch import QUANTILES
 from strideline.model import capped_labels, without_sub_samples
 from strideline.operators import compare, downsample, errors, labels, posterior, scaling, series, sla, steady
 from strideline.operators.cube import Cube, cube
@@ -99,6 +102,22 @@ def analysed(events: DataFrame, options: Options | None = None) -> Bundle:
     )
 
 
+def live_document(run: Cube, options: Options | None = None) -> dict:
+    """The report of a run that goes on, out of its state: what a cube has. Errors and the slowest samples come with the finished run's."""
+    options = options or Options()
+    spark = run.rows.sparkSession
+    curve = scaling.curve(run)
+    none = lambda schema: spark.createDataFrame([], schema)
+    by_label = "label string, is_total boolean, p50 long"
+    tables = {
+        "bounds": series.bounds(run), "window": steady.window(run), "stats": labels.statistics(run), "steady_stats": steady.statistics(run), "latency": none(by_label), "connect": none(by_label),
+        "histogram": labels.slots(run), "slowest": none("label string, is_total boolean, rank int, timestamp_ms long, elapsed_ms long, response_code string, thread_name string"),
+        "series": series.cells(run), "errors": none("signature string, count long"), "error_labels": none("signature string, rank int, label string"), "curve": curve,
+        "knee": scaling.knee(curve), "littles_law": scaling.littles_deviation(run), "residuals": scaling.littles_residuals(run),
+    }
+    return document(Bundle(tables, options))
+
+
 def _plain(v):
     """Numbers as a report writes them: no NaN, whole ones without a point, others with three decimals."""
     if isinstance(v, float):
@@ -112,21 +131,19 @@ def _rows(df: DataFrame, *order: str) -> list[dict]:
     return [{k: _plain(v) for k, v in r.asDict().items()} for r in df.orderBy(*order).collect()]
 
 
-def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataFrame | None = None, baseline_title: str = "") -> dict:
+def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataFrame | None = None, baseline_meta: dict | None = None) -> dict:
     """The report as a document; `results` are SLA rows, `comparison` judged labels."""
     t, o = bundle.tables, bundle.options
     bounds, window = t["bounds"].first(), t["window"].first()
     keyed = {name: {(r["label"], r["is_total"]): r for r in _rows(t[name], "label")} for name in ("stats", "steady_stats", "latency", "connect")}
-    slots: dict[tuple, list] = {}
-    for r in _rows(t["histogram"], "label", "slot"):
-        slots.setdefault((r["label"], r["is_total"]), []).append([r["slot"], r["c"]])
+    slots = {(r["label"], r["is_total"]): base64.b64encode(r["sketch"]).decode() for r in packed(t["histogram"], ["label", "is_total"]).collect()}
     slow: dict[tuple, list] = {}
     for r in _rows(t["slowest"], "label", "rank"):
         slow.setdefault((r["label"], r["is_total"]), []).append({k: r[k] for k in ("timestamp_ms", "elapsed_ms", "response_code", "thread_name")})
     strip = lambda r: None if r is None else {k: v for k, v in r.items() if k not in ("label", "is_total")}
     entry = lambda k: {
         "name": k[0], "stats": strip(keyed["stats"][k]), "steadyStats": strip(keyed["steady_stats"].get(k)), "latency": strip(keyed["latency"].get(k)),
-        "connect": strip(keyed["connect"].get(k)), "histogram": slots.get(k, []), "topSlowest": slow.get(k, []),
+        "connect": strip(keyed["connect"].get(k)), "histogram": slots.get(k), "topSlowest": slow.get(k, []),
     }
     names = sorted(keyed["stats"], key=lambda k: k[0])
     cells: dict[int, dict] = {}
@@ -158,7 +175,7 @@ def document(bundle: Bundle, results: DataFrame | None = None, comparison: DataF
         out["sla"] = {"verdict": sla.verdict(results).first()["verdict"], "rules": _rows(results, "rule_id", "label")}
     if comparison is not None:
         rows = _rows(comparison, "is_total", "label")
-        out["comparison"] = {"baselineMeta": {"title": baseline_title}, "hasRegression": any(r["regression"] for r in rows), "labels": rows}
+        out["comparison"] = {"baselineMeta": baseline_meta or {}, "hasRegression": any(r["regression"] for r in rows), "labels": rows}
     return out
 
 
@@ -173,32 +190,88 @@ def with_shift(judged: DataFrame, baseline_slots: DataFrame, candidate_slots: Da
     return rows.withColumn("grade", change_grade(F.col("p95_change"))).withColumn("risk", F.when(F.col("p_regression").isNotNull(), risk_grade(F.col("p_regression"))))
 
 
-def baseline_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
-    """(statistics, sketch, title) out of a report's JSON, for a comparison without the events."""
-    row = spark.read.option("multiLine", True).json(path).first()
-    doc = row.asDict(recursive=True)
-    stats, slots = [], []
-    for item, is_total in [*((x, False) for x in doc["labels"] or []), *([(doc["total"], True)] if doc.get("total") else [])]:
-        s = item["stats"]
-        stats.append((item["name"], is_total, int(s["n"]), *(float(s[k]) for k in ("error_rate", "mean", "throughput", "apdex")), *(int(s[k]) for k in ("p50", "p90", "p95", "p99"))))
-        slots += [(item["name"], is_total, int(a), int(c)) for a, c in item["histogram"]]
-    schema = "label string, is_total boolean, n long, error_rate double, mean double, throughput double, apdex double, p50 long, p90 long, p95 long, p99 long"
-    return spark.createDataFrame(stats, schema), spark.createDataFrame(slots, "label string, is_total boolean, slot long, c long"), doc["meta"]["title"]
+@dataclass
+class Baseline:
+    """An earlier report: what a comparison needs of it, and what it says of itself."""
+
+    stats: DataFrame
+    slots: DataFrame
+    latency: DataFrame
+    connect: DataFrame
+    meta: dict
+
+
+def baseline(spark: SparkSession, path: str) -> Baseline:
+    """A report's JSON, for a comparison without the events."""
+    doc = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))  # one report
+    stats, sketches, blocks = [], [], {"latency": [], "connect": []}
+    for item, is_total in [*((x, False) for x in doc.get("labels") or []), *([(doc["total"], True)] if doc.get("total") else [])]:
+        s, key = item["stats"], (item["name"], is_total)
+        stats.append((*key, int(s["n"]), *(float(s[k]) for k in ("error_rate", "mean", "throughput", "apdex")), *(int(s[k]) for k in ("p50", "p90", "p95", "p99"))))
+        sketches.append((*key, base64.b64decode(item["histogram"]) if item.get("histogram") else None))
+        for name, rows in blocks.items():
+            if item.get(name):
+                rows.append((*key, *(None if item[name].get(q) is None else int(item[name][q]) for q in QUANTILES)))
+    key = "label string, is_total boolean"
+    schema = f"{key}, n long, error_rate double, mean double, throughput double, apdex double, p50 long, p90 long, p95 long, p99 long"
+    quantile_schema = f"{key}, {', '.join(f'{q} long' for q in QUANTILES)}"
+    tables = {name: spark.createDataFrame(rows, quantile_schema) for name, rows in blocks.items()}
+    slots = unpacked(spark.createDataFrame(sketches, f"{key}, sketch binary"), ["label", "is_total"])
+    meta = doc.get("meta") or {}
+    said = {"title": meta.get("title", ""), "source": meta.get("source") or [], "extras": meta.get("extras") or {}, "warnings": meta.get("warnings") or []}
+    return Baseline(spark.createDataFrame(stats, schema), slots, tables["latency"], tables["connect"], said)
+
+
+def with_blocks(judged: DataFrame, base: Baseline, bundle: Bundle) -> DataFrame:
+    """Judged labels with the p95 of latency and connect time of both runs, where they have any."""
+    for name, table in (("latency", base.latency), ("connect", base.connect)):
+        for side, df in (("base", table), ("cand", bundle.tables[name])):
+            judged = judged.join(df.select("label", "is_total", F.col("p95").alias(f"{side}_{name}_p95")), ["label", "is_total"], "left")
+    return judged
 
 
 def as_json(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
 
 
-def _chart(title: str, rows: list[dict], key: str, wide: int = 900, high: int = 160) -> str:
-    """A line over the run's buckets as inline SVG."""
-    points = [(r["t"], r[key]) for r in rows if r.get(key) is not None]
-    if len(points) < 2:
+#: Colours of a chart's lines, one after the other.
+COLOURS = ("#36c", "#c33", "#393", "#939", "#c80", "#088", "#666", "#c6c")
+
+
+def _chart(title: str, lines: dict[str, list[tuple[float, float]]], wide: int = 900, high: int = 160) -> str:
+    """Named lines over one axis as inline SVG; what has under two points isn't drawn."""
+    lines = {k: [(x, y) for x, y in v if y is not None] for k, v in lines.items()}
+    lines = {k: v for k, v in lines.items() if len(v) > 1}
+    if not lines:
         return ""
-    left, span = points[0][0], max(1, points[-1][0] - points[0][0])
-    top = max(1e-9, max(v for _, v in points))
-    path = " ".join(f"{(t - left) / span * wide:.1f},{high - v / top * (high - 10):.1f}" for t, v in points)
-    return f'<h2>{_html.escape(title)} (up to {top:g})</h2><svg width="{wide}" height="{high}" role="img"><polyline fill="none" stroke="#36c" points="{path}"/></svg>'
+    left, right = min(v[0][0] for v in lines.values()), max(v[-1][0] for v in lines.values())
+    top = max(1e-9, max(y for v in lines.values() for _, y in v))
+    drawn, keys = [], []
+    for i, (name, points) in enumerate(lines.items()):
+        path = " ".join(f"{(x - left) / max(1e-9, right - left) * wide:.1f},{high - y / top * (high - 10):.1f}" for x, y in points)
+        drawn.append(f'<polyline fill="none" stroke="{COLOURS[i % len(COLOURS)]}" points="{path}"><title>{_html.escape(name)}</title></polyline>')
+        keys.append(f'<span style="color:{COLOURS[i % len(COLOURS)]}">{_html.escape(name)}</span>')
+    legend = f"<p>{' '.join(keys)}</p>" if len(lines) > 1 else ""
+    return f'<h2>{_html.escape(title)} (up to {top:g})</h2><svg width="{wide}" height="{high}" role="img">{"".join(drawn)}</svg>{legend}'
+
+
+#: Labels whose lines a page draws, the ones with most samples; its tables and data have all.
+DRAWN_LABELS = 8
+
+
+def _charts(doc: dict) -> list[str]:
+    """Series of the run and of its busiest labels, the percentile profile, throughput and p95 against load, and waiting that no sample shows."""
+    buckets = doc["series"]["buckets"]
+    run = lambda key: [(b["t"], b["threads"] if key == "threads" else (b["total"] or {}).get(key)) for b in buckets]
+    busy = sorted(doc["labels"], key=lambda e: (-e["stats"]["n"], e["name"]))[:DRAWN_LABELS]
+    own = lambda e, key: [(b["t"], b["perLabel"].get(e["name"], {}).get(key)) for b in buckets]
+    profile = lambda e: [(100 * q, e["stats"].get(k)) for k, q in QUANTILES.items()]
+    curve, waiting = doc["scalability"]["curve"], doc["scalability"]["littleLaw"]
+    out = [_chart("Throughput", {"all": run("n")}), _chart("Mean response time", {"all": run("mean")}), _chart("Threads", {"all": run("threads")})]
+    out += [_chart("Mean response time by label", {e["name"]: own(e, "mean") for e in busy}), _chart("p95 by label", {e["name"]: own(e, "p95") for e in busy}), _chart("Errors by label", {e["name"]: own(e, "err") for e in busy})]
+    out.append(_chart("Percentile profile", {e["name"]: profile(e) for e in [*busy, *([doc["total"]] if doc["total"] else [])]}))
+    out += [_chart("Throughput against threads", {"all": [(r["threads"], r["throughput"]) for r in curve]}), _chart("p95 against threads", {"all": [(r["threads"], r["p95"]) for r in curve]})]
+    return [*out, _chart("Threads, measured and by Little's law", {"measured": [(r["t"], r["threads"]) for r in waiting], "by Little's law": [(r["t"], r["predicted"]) for r in waiting]})]
 
 
 def as_html(doc: dict) -> str:
@@ -213,17 +286,19 @@ def as_html(doc: dict) -> str:
         return f"<h2>{_html.escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
     entries = [*doc["labels"], *([doc["total"]] if doc["total"] else [])]
-    series = [{"t": b["t"], "threads": b["threads"]} | (b["total"] or {}) for b in doc["series"]["buckets"]]
     notes = [{"warning": w} for w in doc["meta"]["warnings"]]
     extras = [{"name": k, "value": v} for k, v in doc["meta"]["extras"].items()]
     parts = [table("Warnings", notes), table("Run", extras), table("Transactions", [{"label": e["name"]} | e["stats"] for e in entries])]
     parts += [table("Steady state", [{"label": e["name"]} | e["steadyStats"] for e in entries if e["steadyStats"]])]
-    parts += [_chart("Throughput", series, "n"), _chart("Mean response time", series, "mean"), _chart("Threads", series, "threads")]
+    parts += _charts(doc)
     parts += [table("Errors", doc["errors"]), table("Scalability", doc["scalability"]["curve"])]
     if "sla" in doc:
         parts.append(table(f"Service levels: {doc['sla']['verdict']}", doc["sla"]["rules"]))
     if "comparison" in doc:
-        parts.append(table("Comparison", doc["comparison"]["labels"]))
+        base = doc["comparison"]["baselineMeta"]
+        about = [{"name": k, "value": v} for k, v in base.get("extras", {}).items()] + [{"name": "warning", "value": w} for w in base.get("warnings", [])]
+        said = f"Comparison with {base.get('title') or 'the baseline'}" + (f" ({', '.join(base['source'])})" if base.get("source") else "")
+        parts += [table(said, doc["comparison"]["labels"]), table("Baseline", about)]
     data = as_json(doc).replace("</", "<\\/")
     style = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px;text-align:right}"
     title = _html.escape(doc["meta"]["title"])

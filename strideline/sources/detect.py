@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import SparkSession
 
+from strideline.sources.staging import fresh_dir
+
 GZIP = b"\x1f\x8b"
 
 
@@ -42,12 +42,9 @@ def is_gzip(spark: SparkSession, path: str) -> bool:
 
 def named_gzip(spark: SparkSession, path: str) -> str:
     """A copy of a packed file under a name by which Spark knows that it is packed; in the folder that executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{path} is gzip without the suffix .gz: spark.checkpoint.dir must name a folder for its copy")
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     source = jvm.org.apache.hadoop.fs.Path(path)
-    target = jvm.org.apache.hadoop.fs.Path(f"{shared or tempfile.mkdtemp(prefix='strideline-')}/{uuid.uuid4().hex}.csv.gz")
+    target = jvm.org.apache.hadoop.fs.Path(f"{fresh_dir(spark, 'packed')}.csv.gz")
     jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
     return str(target)
 

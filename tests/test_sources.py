@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strideline.functions import packed_sketch
 from strideline.functions.sketch import midpoint, quantiles, slot, width
 from strideline.functions.text import glob_regex, signature
 from strideline.model import OTHER, capped_labels, conform, hidden_labels
@@ -222,6 +223,31 @@ def test_sketch_error(spark, values):
     assert all(abs(r["m"] - r["v"]) <= r["v"] / 128 for r in rows)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 3199), st.integers(1, 2**60), max_size=300))
+def test_packed_sketch_round_trip(counts):
+    packed = packed_sketch.pack(list(counts), list(counts.values()))
+    slots, back = packed_sketch.unpack(packed)
+    assert dict(zip(slots.tolist(), back.tolist())) == counts and slots.tolist() == sorted(counts)
+    for broken in (packed[:-1], b"x" + packed[1:], packed[:8] + bytes([packed[8] ^ 1]) + packed[9:], b""):
+        with pytest.raises(ValueError):
+            packed_sketch.unpack(broken)
+
+
+def test_packed_sketches_merge(spark):
+    """Merging packed sketches, empty and repeated ones among them, is adding up rows; a full one takes little room."""
+    rows = [("a", s, c) for s, c in ((0, 1), (3199, 2), (64, 7))], [("a", 64, 1), ("b", 5, 9)]
+    frames = [spark.createDataFrame(r, "k string, slot long, c long") for r in rows]
+    both = packed_sketch.packed(frames[0], ["k"]).unionByName(packed_sketch.packed(frames[1], ["k"]))
+    odd = spark.createDataFrame([("c", None), ("d", packed_sketch.pack([], []))], "k string, sketch binary")
+    got = packed_sketch.unpacked(packed_sketch.merged_sketches(both.unionByName(odd), ["k"]), ["k"]).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 1), ("a", 64, 8), ("a", 3199, 2), ("b", 5, 9)]
+    assert {r["k"]: r["p50"] for r in packed_sketch.sketch_quantiles(both, ["k"]).collect()} == {"a": 64, "b": 5}
+    assert len(packed_sketch.pack(range(3200), [1] * 3200)) < 100
+    with pytest.raises(ValueError):
+        packed_sketch.pack([1, 1], [1, 1])
+
+
 def test_signature_and_glob(spark):
     df = spark.createDataFrame([("502", "Txn DEADBEEF at line 42  Feedback failed", ""), (None, None, "Gone 7")], "c string, f string, r string")
     got = [r[0] for r in df.select(signature(F.col("c"), F.col("f"), F.col("r"))).collect()]
@@ -396,13 +422,30 @@ def test_series_as_maps(spark):
     flat = {(r["t"], r["label"]): r for r in series.cells(ev, 2000).collect()}
     seen = 0
     for r in series.by_bucket(ev, 2000).collect():
-        for name, cell in r["per_label"].items():
+        for name, cell in [*r["per_label"].items(), ("TOTAL", r["total"])]:
             seen += 1
             assert all(cell[k] == flat[r["t"], name][k] for k in ("n", "err", "mean", "p95", "max", "kb", "kb_sent"))
         assert r["threads"] == flat[r["t"], "TOTAL"]["threads"]
     assert seen == len(flat) == 30
 
 
+def test_labels_of_any_name(spark):
+    """A label called like the rollup and a missing one keep their own numbers, in maps, reports, comparisons and under a cap."""
+    from strideline.plans import report
+
+    rows = [(t * 500, t + 1, ("TOTAL", None, "a")[t % 3], t % 5 > 0, 1) for t in range(30)]
+    ev = events(spark, rows)
+    maps = series.by_bucket(ev, 5000).collect()
+    assert all(set(r["per_label"]) == {"TOTAL", "", "a"} and sum(c["n"] for c in r["per_label"].values()) == r["total"]["n"] == 10 for r in maps) and len(maps) == 3
+    doc = report.document(report.analysed(ev, report.Options(bucket_ms=5000)))
+    assert [e["name"] for e in doc["labels"]] == ["", "TOTAL", "a"] and doc["total"]["stats"]["n"] == 30
+    assert all(b["total"]["n"] == 10 and sum(c["n"] for c in b["perLabel"].values()) == 10 for b in doc["series"]["buckets"])
+    both = {(r["label"], r["is_total"]) for r in compare.deltas(labels.statistics(ev), labels.statistics(ev)).collect()}
+    assert both == {(r["label"], r["is_total"]) for r in compare.against(ev, ev).collect()} == {("TOTAL", False), ("", False), ("a", False), ("TOTAL", True)}
+    assert {r["label"] for r in capped_labels(ev, 3).select("label").distinct().collect()} == {"TOTAL", "", "a"}
+    assert {r["label"] for r in capped_labels(ev, 2).select("label").distinct().collect()} == {"TOTAL", "", OTHER}
+
+
 def test_live_run(spark, tmp_path):
     """A folder that a collector fills, counted as a stream over two batches, then finished as a report."""
     from strideline.plans import report
@@ -462,7 +505,12 @@ def test_report_and_cli(spark, tmp_path):
     assert cli.run(["generate", "--log", str(tmp_path / "none.csv"), "--out", str(out)], spark) == 3
     assert cli.run(["generate"], spark) == 2
     again = json.loads((out / "report-data.json").read_text())["comparison"]["labels"]
-    assert {"p_regression", "shift_pct", "grade", "risk"} <= set(again[0]) and {r["grade"] for r in again} == {"same"}
+    assert {"p_regression", "shift_pct", "grade", "risk", "base_latency_p95", "cand_connect_p95"} <= set(again[0]) and all(r["base_latency_p95"] == r["cand_latency_p95"] for r in again)
+    page = (out / "report.html").read_text()
+    assert all(f"<h2>{_} " in page for _ in ("Percentile profile", "Mean response time by label", "Throughput against threads"))
+    meta = json.loads((out / "report-data.json").read_text())["comparison"]["baselineMeta"]
+    assert meta["extras"] == {"env": "test"} and meta["source"] == [data]
+    assert {r["grade"] for r in again} == {"same"} and {"p_regression"} <= set(again[0]) and {r["grade"] for r in again} == {"same"}
     assert cli.run(["compare", "--baseline", data, "--candidate", data, "--out", str(tmp_path / "cmp")], spark) == 0
     cmp = json.loads((tmp_path / "cmp" / "report-data.json").read_text())
     assert not cmp["comparison"]["hasRegression"] and "Comparison" in (tmp_path / "cmp" / "report.html").read_text() and "<svg" in (tmp_path / "cmp" / "report.html").read_text()
