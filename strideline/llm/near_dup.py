@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.common import M1, M3, WORD, arrow_flat, arrow_map, join_hash, mix, numbered, unit, written
@@ -306,15 +306,37 @@ def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
 
     fields = [("key", "long"), ("node", "long"), ("class", "long"), ("size", "long"), ("place", "long")]
     rows = arrow_flat(texts, ["node", "class", "packed"], fields, make_rows, by="packed", limit=1 << 18)
-    # Only keys that two classes have; members of a key's main class don't look for others, they are found.
-    main = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = main.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    rows = written(rows.join(main.where("classes > 1").select("key", "main"), "key").withColumn("in_main", F.col("class") == F.col("main")).drop("main"), "prefixes")
-    found = rows.select("key", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("a"), F.col("place").alias("i"), F.col("in_main").alias("found"))
-    asking = rows.where("not in_main").select("key", F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("b"), F.col("place").alias("j"))
+    met = meeting(rows)
     fits = F.least(F.expr("a - i"), F.expr("b - j")) >= F.ceil(F.expr("a + b") * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
-    near = found.join(asking, "key").where("cu <> cv and (found or u < v)").where(fits)
-    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return met.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def size_band(size: Column) -> Column:
+    """Sizes within about 1 % share a band."""
+    return F.floor(F.log(size.cast("double")) * 100).cast("int")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """(u, a, i, v, b, j) of prefix rows (key, node, class, size, place) with a common key, of different classes and of sizes that may fit.
+
+    With `place` strips before this one, a node of `size` can have no partner larger than it still has strips for, nor one
+    under SIMILARITY of its size. Each key tells which bands of sizes it has; a row none of whose sizes is there goes before
+    the join, and the rest meet by key and band. So texts that share much, yet not enough, don't meet: their common strips
+    come too late in their prefixes for partners of the sizes that they have.
+    """
+    rows = rows.withColumn("band", size_band(F.col("size")))
+    # Only keys that two classes have; members of a key's main class don't look for others, they are found.
+    keys = rows.groupBy("key", "class", "band").agg(F.count(F.lit(1)).alias("n"))
+    keys = keys.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.collect_set("band").alias("bands"))
+    share = SIMILARITY / (1 + SIMILARITY)
+    least, most = F.ceil(F.col("size") * SIMILARITY - 1e-6), F.floor((F.col("size") - F.col("place")) / share - F.col("size") + 1e-6)
+    rows = rows.join(keys.where("lo <> hi").select("key", "main", "bands"), "key").withColumn("least", least).withColumn("most", most).where("most >= least")
+    inside = F.filter("bands", lambda x: (x >= size_band(F.col("least"))) & (x <= size_band(F.col("most"))))
+    rows = rows.withColumn("asks", inside).where(F.size("asks") > 0).withColumn("in_main", F.col("class") == F.col("main"))
+    rows = written(rows.select("key", "node", "class", "size", "place", "band", "least", "most", "in_main", "asks"), "prefixes")
+    found = rows.select("key", "band", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("a"), F.col("place").alias("i"), "least", "most", F.col("in_main").alias("found"))
+    asking = rows.where("not in_main").select("key", F.explode("asks").alias("band"), F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("b"), F.col("place").alias("j"))
+    return found.join(asking, ["key", "band"]).where("cu <> cv and (found or u < v) and b between least and most").select("u", "a", "i", "v", "b", "j")
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
