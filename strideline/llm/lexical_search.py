@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.blocks import best, blocks, ids_of, met, unpacked
-from strideline.llm.common import arrow_flat, dropped, written
+from strideline.llm.common import arrow_flat, arrow_map, dropped, written
 
 #: Terms are maximal runs of ASCII letters and digits and of anything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -32,7 +32,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BYTES = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
 #: Bytes of text in a block of the index, bytes read into terms at once, and items in a block of queries.
-BLOCK_BYTES, PIECE_BYTES, ASKED = 8 << 20, 1 << 20, 64
+BLOCK_BYTES, PIECE_BYTES, ASKED = 4 << 20, 1 << 20, 64
 
 #: Shares of an item's postings after which the bounds are looked at.
 STEPS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
@@ -102,8 +102,12 @@ class Index:
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """An index of all terms of all texts."""
     used = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    n = F.regexp_count("text", F.lit(TERM))
-    held, total = used.select(n.cast("long").alias("n")).agg(F.expr("count_if(n > 0)"), F.sum("n")).first()
+
+    def counter():
+        return lambda texts: [[sum(map(len, terms((t or "").encode()))) for t in texts]]
+
+    lengths = arrow_map(used, [], ["text"], [("n", "long")], counter)
+    held, total = lengths.agg(F.expr("count_if(n > 0)"), F.sum("n")).first()
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
