@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.model import conform
-from strideline.sources.detect import first_bytes, is_gzip, named_gzip
+from strideline.sources import packed_text
+from strideline.sources.detect import first_bytes, hidden_gzip
 
 #: The columns of a log without a header, in their order.
 DEFAULT_COLUMNS = (
@@ -274,15 +275,12 @@ def read(spark: SparkSession, path: str, multi_line: bool | None = None) -> Log:
     dealt in splits in any case. If some quoted field holds a line end, which a pass over its quotes finds out, records are put
     together from lines first; `multi_line` False says that there is none, and then no pass is made.
     """
-    source_id = path
-    if is_gzip(spark, path) and not path.endswith(".gz"):
-        path = named_gzip(spark, path)
     first, has_header = header_of(first_bytes(spark, path, 1 << 16).decode("utf-8", "replace").lstrip("\ufeff"))
     columns = tuple(map(normal_name, first)) if has_header else DEFAULT_COLUMNS
     missing = [c for c in REQUIRED if c not in columns]
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
-    lines = text_lines(spark, path)
+    lines = packed_text.lines(spark, path) if hidden_gzip(spark, path) else text_lines(spark, path)
     found = None if multi_line is False else folds(lines)
     if found is None:
         rows = lines.select("value", F.monotonically_increasing_id().alias("row_no"), "start", (quotes() % 2 == 1).alias("_odd"))
@@ -299,7 +297,7 @@ def read(spark: SparkSession, path: str, multi_line: bool | None = None) -> Log:
         named = [F.lower(F.trim(F.col(f"r._{kept[c]}"))) == c for c in REQUIRED]
         rows = rows.where(~F.coalesce((F.col("start") == 0) & named[0] & named[1] & named[2], F.lit(False)))
     rows = rows.select(*(F.col(f"r._{i}").alias(c) for c, i in kept.items()), F.col("row_no").alias("_row_no"), F.col("value").alias("_value"), "_odd")
-    parsed = to_events(rows, source_id, F.col("_row_no"), F.col("_value"))
+    parsed = to_events(rows, path, F.col("_row_no"), F.col("_value"))
     warnings = () if "success" in columns else ("no success column: every sample counts as failed",)
     return Log(parsed, columns, warnings)
 

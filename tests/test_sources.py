@@ -51,6 +51,23 @@ def test_csv_packed_under_any_name(spark, tmp_path):
     assert events_.count() == 50 and not warnings and events_.agg(F.sum("elapsed_ms")).first()[0] == 1225
 
 
+def test_csv_packed_files_in_tasks_of_their_own(spark, tmp_path):
+    """Ten packed files without the suffix, one of two members and one that isn't packed after all, some with line ends in quotes."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for f in range(10):
+        body = "".join(LINE.format(ts=1700000000000 + i, ms=f * 1000 + i, label="two\nlines" if i % 9 == f else "é", lat=1) for i in range(400))
+        if f == 3:
+            (folder / f"{f}.jtl").write_bytes(gzip.compress((HEAD + body[:5000]).encode()) + gzip.compress(body[5000:].encode()))
+        else:
+            write(folder / f"{f}.jtl", HEAD + body, packed=f != 7)
+    log = csv_log.read(spark, str(folder))
+    got = log.events.select("elapsed_ms", "label", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["elapsed_ms"] for r in got) == [f * 1000 + i for f in range(10) for i in range(400)]
+    assert {r["label"] for r in got} == {"two\nlines", "é"} and len({r["p"] for r in got}) == 10
+    assert len(list(tmp_path.rglob("*"))) == 11
+
+
 @pytest.fixture
 def small_splits(spark):
     """Files are dealt in splits of this many bytes."""
