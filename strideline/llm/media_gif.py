@@ -20,6 +20,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,15 @@ from strideline.llm.common import arrow_flat, arrow_map
 WIDTH, ROWS, DELAY_CS = 64, 256, 4
 #: Fixed values of the format: clear and end codes and the first free entry for 8-bit samples, the last entry's end.
 CLEAR, END, FREE, FULL = 256, 257, 258, 4096
+#: Fixed values of the format: a frame stays on the screen, or what was there before it comes back.
+KEEP, RESTORE = 1, 3
 #: Codes between two clear codes when the dictionary is full.
 SEGMENT = FULL - FREE
 
 
+_FRAME = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+
+
 class Frame(NamedTuple):
     delay_cs: int
     left: int
@@ -90,17 +96,42 @@ def lzw_pack(segments: list[list[int]]) -> bytes:
     return np.packbits(planes[_USED[w]], bitorder="little").tobytes()
 
 
+def frames_of(payload: bytes) -> Iterator[tuple[bytes, int, int | None]]:
+    """(samples, disposal, transparent index) of each frame of a payload.
+
+    A frame most of whose samples stand on the screen already leaves these transparent, if some sample value is free to mean
+    that. The screen is what the frame before left, or, where more of it is the next frame's, what was there before that one.
+    """
+    area = WIDTH * ROWS
+    grids = [np.frombuffer(payload[a : a + area], np.uint8) for a in range(0, len(payload), area)]
+    before = np.zeros(min(len(payload), area), np.uint8)
+    for k, grid in enumerate(grids):
+        same, samples, clear = before[: len(grid)] == grid, grid, None
+        free = np.nonzero(np.bincount(grid, minlength=256) == 0)[0]
+        if k and 2 * same.sum() > len(grid) and len(free):
+            clear = int(free[0])
+            samples = np.where(same, np.uint8(clear), grid)
+        after = before.copy()
+        after[: len(grid)] = grid
+        disposal = KEEP
+        if k + 1 < len(grids):
+            following = grids[k + 1]
+            kept, restored = (int((x[: len(following)] == following).sum()) for x in (after, before))
+            disposal = RESTORE if restored > kept and 2 * restored > len(following) else KEEP
+        yield samples.tobytes(), disposal, clear
+        before = after if disposal == KEEP else before
+
+
 def encode(payload: bytes) -> bytes:
-    """An animated GIF whose grey samples, frame after frame, are the payload: a positive multiple of WIDTH bytes."""
+    """An animated GIF whose grey screens, frame after frame, are the payload: a positive multiple of WIDTH bytes."""
     if not payload or len(payload) % WIDTH:
         raise ValueError("the payload must be a positive multiple of the row width")
     rows = len(payload) // WIDTH
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
     parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), grey]
-    for at in range(0, rows, ROWS):
-        data = payload[at * WIDTH : (at + ROWS) * WIDTH]
+    for data, disposal, clear in frames_of(payload):
         stream = lzw_pack(lzw_codes(data))
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY_CS, 0) + b"\0")
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), DELAY_CS, clear or 0) + b"\0")
         parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(data) // WIDTH, 0) + b"\x08")
         for i in range(0, len(stream), 255):
             block = stream[i : i + 255]
@@ -283,28 +314,36 @@ def timed(media: bytes) -> Iterator[tuple[tuple, Frame]]:
 def stored_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", media: bool = False) -> DataFrame:
     """Each text as a GIF and the digest of what is read back from it; with `media`, the stored file too.
 
-    The feature holds the number of frames, their time, and the colour histogram of all of them, bins that aren't empty.
+    The feature holds the number of frames, their time, and the colour histogram of all of them, bins that aren't empty;
+    `frames` holds each frame's begin and time and its own histogram. Both come from the file that is read back.
     """
 
     def row(text: str | None) -> tuple:
         raw = (text or "").encode()
         payload = raw + b"\0" * ((-len(raw)) % WIDTH or (0 if raw else WIDTH))
         stored = encode(payload)
-        bins, count, ms, parts = np.zeros(64, np.int64), 0, 0, []
+        bins, ms, parts, frames = np.zeros(64, np.int64), 0, [], []
         for (_, start, delay, *_, colours), f in timed(stored):
-            bins, count, ms = bins + colours, count + 1, start + delay
+            bins, ms = bins + colours, start + delay
+            frames.append({"start_ms": start, "delay_ms": delay, "histogram": colours})
             parts.append(f.canvas[: f.samples.shape[0], :, 0].tobytes())
         back = b"".join(parts)
         hist = "-".join(f"{i}:{bins[i]}" for i in np.nonzero(bins)[0])
         digest = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]))
-        return *digest, len(stored), hashlib.sha256(stored).hexdigest(), f"frames={count};ms={ms};hist={hist}", stored
+        return *digest, len(stored), hashlib.sha256(stored).hexdigest(), f"frames={len(frames)};ms={ms};hist={hist}", frames, stored
 
     fields = [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long")]
-    fields += [("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("media", "binary")]
+    fields += [("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("frames", "array<struct<start_ms:bigint,delay_ms:bigint,histogram:array<bigint>>>"), ("media", "binary")]
     fields = fields if media else fields[:-1]
 
     def make():
-        return lambda texts: list(zip(*map(row, texts)))[: len(fields)] if texts else [[] for _ in fields]
+        def run(texts: list) -> list:
+            columns = [list(c) for c in zip(*map(row, texts))] or [[] for _ in fields]
+            at = [n for n, _ in fields].index("frames")
+            columns[at] = pa.array(columns[at], pa.list_(_FRAME))
+            return columns[: len(fields)]
+
+        return run
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return arrow_map(plain, ["doc_id"], ["text"], fields, make)

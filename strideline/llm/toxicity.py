@@ -378,7 +378,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that don't count as toxic, all columns as they were."""
+    """The rows of `docs` that don't count as toxic, all columns as they were; all rows, where the labels teach nothing."""
     plain, (i, t) = numbered(docs, doc_id, text)
     machine, share = fitted(plain, labels, i, t)
+    if machine is None:
+        return docs
     return _scored(plain, plain.columns, t, "score", machine, share).where(F.col("score") < THRESHOLD).select(*plain.columns).toDF(*docs.columns)

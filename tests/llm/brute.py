@@ -118,3 +118,23 @@ def media(text):
     raw = (text or "").encode()
     payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
     return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])), payload
+
+
+def words_kept(texts, window=35):
+    """(n_words, n_removed, kept words joined) of each text: words in windows whose word sequence starts twice anywhere are removed."""
+    import re
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = {}
+    for w in words:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            count[k] = count.get(k, 0) + 1
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if count[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out

@@ -147,9 +147,23 @@ def test_token_counts():
     rng = random.Random(1)
     texts = ["", "!" * 50, "a" * 3000, "It's we'LL", "<|startoftext|>hi<|endoftext|>", "ΑΣ ΣΑΣ", "é", "日本 12 ½²", "x\x85y\x1cz"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x500)])) for _ in range(25)) for _ in range(500)]
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [f"a{chr(c)}b {chr(c)}1" for c in rng.sample(known, 20_000)] + ["".join(map(chr, rng.sample(known, 12))) for _ in range(3000)]
+    texts += [f"x{chr(c)}y" for c in (0x208F, 0x209D, 0x209F, 0x1C89, 0xA7CE, 0x1E6C0, 0x3D000)]  # letters of newer versions of Unicode
     assert mine.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packed_ids_are_the_library_s():
+    """The ids that packing counts and sums, on any characters."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    mine, library = packing.byte_bpe(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(rng.choice([rng.randrange(9, 127), rng.randrange(0xA0, 0x3000), rng.choice(known)])) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    assert [mine.encode_ordinary(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 # ---- GIF
 
 
@@ -158,7 +172,39 @@ def test_gif_round_trip():
     for n, letters in ((1, 1), (3, 2), (300, 256), (700, 4)):
         data = bytes(rng.randrange(letters) for _ in range(64 * n))
         frames = media_gif.decode(media_gif.encode(data))
-        assert b"".join(f.samples.tobytes() for f in frames) == data and len(frames) == -(-n // media_gif.ROWS)
+        assert b"".join(f.canvas[: len(f.samples), :, 0].tobytes() for f in frames) == data and len(frames) == -(-n // media_gif.ROWS)
+
+
+def test_gif_frames_that_need_what_was_there_before():
+    """Pages that come again, with a few changes, are stored by transparent samples over a kept or a restored screen."""
+    rng = random.Random(4)
+    area = media_gif.WIDTH * media_gif.ROWS
+    page = lambda n=area: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    changed = lambda x: bytes(c if rng.random() < 0.9 else 122 for c in x)
+    a, b, all_values = page(), page(), bytes(range(256)) * (area // 256)
+    for pages in ([a, a, a], [a, b, changed(a), b], [a, changed(a), b, changed(a)[: area // 2]], [all_values, all_values], [a, b, a[:640]]):
+        data = b"".join(pages)
+        stored = media_gif.encode(data)
+        assert b"".join(f.canvas[: len(f.samples), :, 0].tobytes() for f in media_gif.decode(stored)) == data
+        found = [(d, c) for _, d, c in media_gif.frames_of(data)]
+        assert found[0][1] is None and (pages[0] is all_values) == all(c is None for _, c in found)
+        if len(pages) == 4 and pages[1] is b:
+            assert [d for d, _ in found] == [1, 3, 3, 1] or media_gif.RESTORE in [d for d, _ in found]
+
+
+def test_gif_columns_of_many_frames(spark):
+    text = "ab" * 20_000 + "é" * 9000
+    r = media_gif.stored_columns(spark.createDataFrame([(1, text)], "doc_id long, text string"), media=True).first()
+    payload = text.encode() + b"\0" * (-len(text.encode()) % 64)
+    area = media_gif.WIDTH * media_gif.ROWS
+    assert len(r["frames"]) == -(-len(payload) // area) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+    for k, f in enumerate(r["frames"]):
+        screen = bytearray(payload[:area])
+        for a in range(0, k + 1):
+            part = payload[a * area : (a + 1) * area]
+            screen[: len(part)] = part
+        want = Counter(21 * (v >> 6) for v in screen)
+        assert (f["start_ms"], f["delay_ms"]) == (40 * k, 40) and {i: n for i, n in enumerate(f["histogram"]) if n} == want
 
 
 def small_gif(frames, palette, size=(2, 2), bits=2):
