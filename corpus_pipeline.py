@@ -1,6 +1,13 @@
 """The corpus pipeline: each stage works on what its predecessor kept.
 
-Every stage but the last returns the columns of `documents`; `run` writes each as Parquet and reads it again for the next.
+Every stage but the last returns the columns of `documents`; `run` writes each as Parquet and reads it again for the next,
+and drops what was written on the way.
+
+Defined cases: a null or empty text fails the quality rules, as do texts of under 50 words. Rows without doc_id are
+documents of their own: no label is theirs, no class of near duplicates has them, and their repeated bytes are judged like
+others'. Rows with one id and one text are one document for the near duplicates, which keep all its rows, and for
+repeated bytes; with several texts they are several. Labels that teach nothing, none or of one class, reject
+nothing. Extra columns stay until packing, whatever they are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strideline.llm import near_dup, packing, quality_rules, suffix_dedup, toxicity
-from strideline.llm.common import table, written
+from strideline.llm.common import collected, dropped, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with collected() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(*(t for t in made if t is not docs), *([held] if held is not None else []))
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)

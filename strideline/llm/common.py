@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from strideline.sources.staging import fresh_dir
+
 #: Words of the query contracts: maximal runs without ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -120,19 +123,41 @@ def arrow_flat(
     return plain.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in fields))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, a local master gets a temporary one; a cluster must name it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="strideline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 #: Lets Spark remove an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning: dict[int, tuple[int, str]] = {}
+_lock = threading.Lock()
+_collected: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, shuffle files go with the execution that made them. Writers at the same time share the setting; the last one puts it back."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        held, before = _cleaning.get(key, (0, spark.conf.get(_CLEANUP, "false")))
+        _cleaning[key] = held + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held, before = _cleaning.pop(key)
+            if held > 1:
+                _cleaning[key] = held - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables that `written` makes meanwhile, to be dropped once nothing reads them."""
+    tables: list[DataFrame] = []
+    token = _collected.set(tables)
+    try:
+        yield tables
+    finally:
+        _collected.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -141,15 +166,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     What was shuffled on the way isn't needed any more once the table stands, so its files go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strideline-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = fresh_dir(spark, name)
+    with cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
+    tables = _collected.get()
+    if tables is not None:
+        tables.append(out)
     return out
 
 
