@@ -13,6 +13,7 @@ through untouched in `clean`.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,11 +28,13 @@ from strideline.llm.common import arrow_map, numbered
 #: Labelled documents that the machine is trained on, at most about so many of each class; a hash of the id chooses them.
 TOXIC_DOCS, OTHER_DOCS = 1_000, 1_500
 #: Landmarks that stand for toxic units and for ordinary ones.
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 24, 4
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 60, 4
+#: Pieces among those found to mark toxic documents that may do so by chance.
+FALSE_SHARE = 0.05
 #: Log lift of a unit's pieces in toxic documents from which it is a witness at once.
 SURE = 3.5
-#: Decay of a gap; characters in a subsequence.
-DECAY, ORDER = 0.6, 4
+#: Decay of a gap, mild, so that a character put in costs less than one left out; characters in a subsequence.
+DECAY, ORDER = 0.95, 4
 #: Longer units are no landmarks.
 LANDMARK_CHARS = 10
 #: Longer units are seen through overlapping windows of this length.
@@ -256,6 +259,26 @@ def grams(unit: str, n: int = 4) -> set[str]:
     return {unit[i : i + n] for i in range(len(unit) - n + 1)} if len(unit) > n else {unit}
 
 
+def significant(seen: dict[str, tuple[int, int]], tested: int, toxic: int, other: int) -> set[str]:
+    """The pieces that more of the toxic documents hold than chance allows for.
+
+    `seen` has the documents of both classes that hold a piece. The log-likelihood ratio against one share for both classes
+    gives its probability by chance; of all `tested` pieces those are taken that leave a share of FALSE_SHARE false ones.
+    """
+    part = lambda found, of, share: found * np.log(found / (of * share)) if found else 0.0
+
+    def chance(a: int, b: int) -> float:
+        share = (a + b) / (toxic + other)
+        if a * other <= b * toxic or share == 1:
+            return 1.0
+        ratio = part(a, toxic, share) + part(b, other, share) + part(toxic - a, toxic, 1 - share) + part(other - b, other, 1 - share)
+        return math.erfc(math.sqrt(max(ratio, 0.0)))
+
+    by_chance = sorted((chance(a, b), g) for g, (a, b) in seen.items())
+    last = max((k for k, (q, _) in enumerate(by_chance, 1) if q <= FALSE_SHARE * k / max(1, tested)), default=0)
+    return {g for _, g in by_chance[:last]}
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | None:
     """Trains on labelled documents; None without examples of both classes."""
     if not toxic.any() or toxic.all():
@@ -277,9 +300,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | Non
         for g in grams(u):
             if lift.get(g, 0) > 1:
                 units_with[g].append(u)
-    # Landmarks: the pieces that mark toxic documents best, as the unit that mostly holds them or, for a stem, alone.
+    # Landmarks: the pieces that mark toxic documents beyond chance (where there are none, those that mark them best), as the unit that mostly holds them or, for a stem, alone.
     marks: list[str] = []
-    for g in sorted((g for g in lift if lift[g] >= 1.5), key=lambda g: (-lift[g] * with_gram[1][g], g)):
+    sure_grams = significant({g: (with_gram[1][g], with_gram[0][g]) for g in lift}, len(with_gram[1].keys() | with_gram[0].keys()), p, n)
+    for g in sorted((g for g in sure_grams or lift if lift[g] >= 1.5), key=lambda g: (-lift[g] * with_gram[1][g], g)):
         if len(marks) == TOXIC_LANDMARKS:
             break
         if len(g) < ORDER or any(g in m for m in marks):
@@ -301,6 +325,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | Non
     x0 = machine.features(others)
     w0 = np.array([with_unit[0][u] for u in others], float) ** 0.5
     weight_of = {u: max((lift.get(g, 0.0) for g in grams(u)), default=0.0) for u in with_unit[1] if u not in with_unit[0]}
+    if sure_grams:  # what chance brings marks no unit
+        weight_of = {u: max((lift[g] for g in grams(u) if g in sure_grams), default=0.0) for u in weight_of}
     weigh = lambda u: weight_of.get(u, 0.0)
     sentences = [s for i in np.nonzero(toxic)[0] for s in bags[i] if s]
     doc_best = [[max((u for u in docs[i]), key=lambda u: (weigh(u), u))] for i in np.nonzero(toxic)[0] if docs[i]]
@@ -325,7 +351,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | Non
     every = list(set().union(*docs))
     margin = dict(zip(every, machine.margins(every)))
     best = np.array([max(map(margin.__getitem__, d), default=machine.bias) for d in docs])
-    machine.slope, machine.shift = calibrated(best, toxic)
+    # Documents seldom hold an insult in disguise; the curve is fitted to a third of the witnesses' other forms beside them.
+    hidden = [v for u in chosen for v in variants(u) if len(v) <= WINDOW and v not in with_unit[0]][::3]
+    best = np.append(best, machine.margins(hidden) if hidden else [])
+    machine.slope, machine.shift = calibrated(best, np.append(toxic, np.ones(len(best) - len(toxic), bool)))
     machine.cache.clear()
     return machine
 
