@@ -4,6 +4,9 @@ Windows repeated at one length alone are extended to twice that length: 9 words,
 no candidates survive or the length is reached (see `doubling`). Before the first round, anchors with a unique gram of 8
 words rule out all windows near them, and of equal contexts of anchors one goes on (see `repeats`).
 
+Strings of 9 words and pairs of ranks are told apart by 64-bit hashes, which aren't verified: among n positions that
+are still open in a round, some pair is taken for equal with a probability of about n * n / 2 ** 65, 3 % at a billion.
+
 Defined cases: a null or empty text has no words; rows with one doc_id and one text are one document and each get
 its result, one doc_id with several texts is a document for each; a text of fewer words than a window loses none; each row
 with a null doc_id is a document of its own; other columns are ignored.

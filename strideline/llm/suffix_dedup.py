@@ -10,6 +10,9 @@ Only positions that can repeat take part: anchors with a unique 32-byte gram rul
 equal contexts of anchors one stays (see `repeats`). All positions of all texts in each round would shuffle a row for
 each byte of input, beyond the disk that the check allows.
 
+Strings of 25 bytes and pairs of ranks are told apart by 64-bit hashes, which aren't verified: among n positions that
+are still open in a round, some pair is taken for equal with a probability of about n * n / 2 ** 65, 3 % at a billion.
+
 Defined cases: a null or empty text has no bytes; rows with one doc_id and one text are one document and each get its
 result; one doc_id with several texts is a document for each, in the order of their hashes; a null doc_id counts as the
 smallest and each row with one is a document of its own, in the order of the table; other columns, whatever their names,

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm.common import arrow_flat, globally_ranked, written
+from strideline.llm.common import arrow_flat, globally_ranked, numbered, written
 
 FANOUT = 16
 #: Records in a segment.
@@ -40,12 +40,15 @@ def sha256(text: Column) -> Column:
 
 
 def laid_out(records: DataFrame, order: list, length: str = "length") -> DataFrame:
-    """Adds each record's number, segment and offset: segments of SEGMENT records in the given order."""
+    """Adds each record's number, segment and offset, in place of columns of these names: segments of SEGMENT records in the order of the columns named."""
     from pyspark.sql import Window
 
-    rows = globally_ranked(records, order, "records", "number").withColumn("segment", F.expr(f"number div {SEGMENT}"))
+    plain, (size, *by) = numbered(records.drop("number", "segment", "offset"), length, *order)
+    names = [c for c in records.columns if c not in ("number", "segment", "offset")]
+    rows = globally_ranked(plain, by, "records", "number").withColumn("segment", F.expr(f"number div {SEGMENT}"))
     before = Window.partitionBy("segment").orderBy("number")
-    return written(rows.withColumn("offset", F.sum(length).over(before) - F.col(length)), "segments")
+    rows = rows.withColumn("offset", F.sum(size).over(before) - F.col(size)).select(*plain.columns, "number", "segment", "offset")
+    return written(rows.toDF(*names, "number", "segment", "offset"), "segments")
 
 
 def leaves(records: DataFrame, digest: str) -> DataFrame:
@@ -89,8 +92,11 @@ def damaged(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
 
 def audit(records: DataFrame, digest: str = "sha256", replica: str = "replica_sha256") -> DataFrame:
     """The records with `intact`: false where the replica's bytes at the record's range aren't the record's."""
-    found = damaged(tree(leaves(records, digest)), tree(leaves(records, replica))).withColumn("_bad", F.lit(True))
-    return records.join(found, "number", "left").withColumn("intact", F.col("_bad").isNull()).drop("_bad")
+    mark = "bad"
+    while mark in records.columns:
+        mark += "_"
+    found = damaged(tree(leaves(records, digest)), tree(leaves(records, replica))).withColumn(mark, F.lit(True))
+    return records.join(found, "number", "left").withColumn("intact", F.col(mark).isNull()).drop(mark)
 
 
 def rotated(html: Column) -> Column:
@@ -133,7 +139,7 @@ def split_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, content) of the records of WARC files, packed or not, one task for each file."""
+    """(file, offset, length, content) of the records of WARC files, packed or not, one task for each file; Spark refuses files over 2 GB."""
 
     def make():
         def run(paths: list, contents: list) -> list:

@@ -497,6 +497,14 @@ def test_prefixes():
 # ---- WARC
 
 
+def test_fixity_of_records_with_any_columns(spark):
+    """Columns called like those that the audit makes are replaced, other ones pass through."""
+    rows = [(i, 10, f"d{i}", f"d{i}" if i != 70 else "x", 1, 2, 3, "b", 4, True, "c") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, length long, sha256 string, replica_sha256 string, number long, offset long, `_place` long, bad string, `_add` long, intact boolean, c0 string")
+    got = warc_fixity.audit(warc_fixity.laid_out(df, ["id"])).orderBy("id").collect()
+    assert [r["id"] for r in got if not r["intact"]] == [70] and all((r["number"], r["offset"], r["_place"], r["bad"], r["_add"], r["c0"]) == (r["id"], 10 * r["id"], 3, "b", 4, "c") for r in got)
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}") for i in range(3000)] + [(7, None, None)], "page_id long, url string, html string")
     rows = warc_fixity.page_audit(pages, F.col("page_id").isin(5, 1500, 2999)).collect()
