@@ -28,7 +28,7 @@ from strideline.llm.common import arrow_map, numbered
 #: Labelled documents that the machine is trained on, at most about so many of each class; a hash of the id chooses them.
 TOXIC_DOCS, OTHER_DOCS = 1_000, 1_500
 #: Landmarks that stand for toxic units and for ordinary ones.
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 60, 4
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 24, 4
 #: Pieces among those found to mark toxic documents that may do so by chance.
 FALSE_SHARE = 0.05
 #: Log lift of a unit's pieces in toxic documents from which it is a witness at once.
@@ -287,10 +287,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | Non
     docs = [set().union(*b) if b else set() for b in bags]
     with_gram: tuple[Counter, Counter] = (Counter(), Counter())
     with_unit: tuple[Counter, Counter] = (Counter(), Counter())
-    doc_grams = []
     for d, t in zip(docs, toxic):
         g = set().union(*map(grams, d)) if d else set()
-        doc_grams.append(g)
         with_gram[int(t)].update(g)
         with_unit[int(t)].update(d)
     p, n = int(toxic.sum()), int((~toxic).sum())
@@ -302,7 +300,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 2) -> Machine | Non
                 units_with[g].append(u)
     # Landmarks: the pieces that mark toxic documents beyond chance (where there are none, those that mark them best), as the unit that mostly holds them or, for a stem, alone.
     marks: list[str] = []
-    sure_grams = significant({g: (with_gram[1][g], with_gram[0][g]) for g in lift}, len(with_gram[1].keys() | with_gram[0].keys()), p, n)
+    sure_grams = significant({g: (with_gram[1][g], with_gram[0][g]) for g in lift}, len(with_gram[0]) + sum(g not in with_gram[0] for g in with_gram[1]), p, n)
     for g in sorted((g for g in sure_grams or lift if lift[g] >= 1.5), key=lambda g: (-lift[g] * with_gram[1][g], g)):
         if len(marks) == TOXIC_LANDMARKS:
             break
