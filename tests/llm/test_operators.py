@@ -137,16 +137,6 @@ def test_machine():
     assert len(machine.scores([None, ""])) == 2 and toxicity.train(["a"], np.array([True])) is None
 
 
-def test_significant_pieces():
-    """Of many pieces that fall on documents by chance hardly any is taken; those that mark one class are, and none that mark the other."""
-    rng = np.random.default_rng(2)
-    seen = {f"chance{i}": (int(a), int(b)) for i, (a, b) in enumerate(zip(rng.binomial(200, 0.02, 5000), rng.binomial(1000, 0.02, 5000)))}
-    marks = {f"mark{i}": (20, 2) for i in range(10)} | {"all": (200, 0)}
-    got = toxicity.significant(seen | marks | {"other": (0, 300), "every": (200, 1000)}, 6000, 200, 1000)
-    assert set(marks) <= got and not got & {"other", "every"} and len(got) <= len(marks) + 3
-    assert toxicity.significant({}, 0, 5, 5) == set() and toxicity.significant({"a": (1, 0)}, 10, 5, 5) == set()
-
-
 # ---- token counts
 
 

@@ -55,22 +55,6 @@ def test_op2_on_held_out_labels(spark):
     assert sum(p == t for p, t in rows) >= 0.92 * len(rows) and len(marked) >= 5 and sum(marked) >= 0.95 * len(marked)
 
 
-def test_op2_on_planted_insults(spark):
-    """Held-out clean texts of every length stay clean with a plain sentence more and count as toxic with an insult in it: as it is, spread out, with signs or with a letter put in."""
-    data = "/root/testdata/sf0.01"
-    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
-    machine, _ = toxicity.fitted(docs, labels)
-    clean = docs.join(labels.where("toxic = 0").select("doc_id").distinct(), "doc_id").where(toxicity.held_out()).where("length(text) > 0").orderBy("doc_id").limit(60)
-    texts = [r["text"] for r in clean.collect()]
-    insults = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "clown", "trash", "scum")
-    forms = (lambda w: w, lambda w: " ".join(w), lambda w: ".".join(w), lambda w: w[:2] + "x" + w[2:], lambda w: w[:3] + "*" + w[3:], lambda w: w.upper())
-    said = [(t, w, f(w)) for i, t in enumerate(texts) for w in insults[i % 5 :: 5] for f in forms]
-    planted = machine.scores([f"{t}\nand you are a {v} too" for t, _, v in said])
-    assert (planted >= toxicity.THRESHOLD).mean() >= 0.9
-    plain = machine.scores([f"{t}\nand you are a {v} too" for t in texts for v in ("reader", "g a r d e n e r", "neighbour")])
-    assert (plain >= toxicity.THRESHOLD).mean() <= 0.05
-
-
 def test_op5(spark, texts):
     rows = QUERIES["op5_media_gif"](spark, str(DATA)).collect()
     assert len(rows) == len(texts)
