@@ -15,7 +15,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "label_summary", "quantiles_all", "series_rebucket", "series_cells", "steady_window", "error_clusters", "error_onset", "top_slowest",
     "scalability_curve", "sla_eval", "mann_whitney", "regression_verdict", "posterior_shift", "price_sketch", "stream_label_counts",
-    "stream_percentiles", "packed_sketches", "lttb",
+    "stream_percentiles", "packed_sketches",
 )
 
 
