@@ -9,7 +9,9 @@ Equal texts are one node. In a few rounds every node is held against one leader
 often) that isn't in its class yet. Then the pairs of different classes that share a small bucket are all verified. Nodes
 of crowded buckets meet by prefixes instead: the shingles of a node, rarest first, where two similar enough nodes must
 have a common one so early that the rest can still make up the similarity. That is exact for any order of shingles, so
-a class is split only where no verified link joins it. Members of one class are never paired with each other.
+a class is split only where no verified link joins it. Members of one class are never paired with each other: where
+prefixes would make many pairs, nodes are first held against one leader that fits them, as often as that joins classes,
+and the pairs of what are still different classes come last.
 
 Defined cases: null texts are alone in their class; equal texts are one class, empty ones too; a text of fewer than five
 words is one shingle; rows with one doc_id and one text are one document, one doc_id with several texts is a document for
@@ -41,6 +43,10 @@ ROUNDS = 3
 AGREE = 0.64
 #: Nodes of a bucket that are paired; those of larger ones meet by prefixes.
 CROWD = 32
+#: Rows of prefixes that would meet more than so many others on average are held against leaders first.
+MEETINGS = 2
+#: Turns of that at most; what differs after them is paired.
+TURNS = 8
 #: Counters of shingles and their classes, whatever the data's size; shingles that share one cost time alone.
 COUNTERS = 1 << 20
 COUNTER_BLOCKS = 64
@@ -260,8 +266,8 @@ def summed(at: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tup
     return at[cut], np.add.reduceat(n, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
 
 
-def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
-    """(u, v) of the nodes (node, class) of different classes that may be similar enough by their prefixes."""
+def prefixes(crowd: DataFrame, slim: DataFrame) -> DataFrame:
+    """(key, node, class, size, place) of the nodes (node, class): their prefixes, a row for each strip."""
     texts = written(crowd.join(slim.select("node", "packed"), "node"), "crowd")
 
     size = COUNTERS // COUNTER_BLOCKS
@@ -305,10 +311,21 @@ def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
         return run
 
     fields = [("key", "long"), ("node", "long"), ("class", "long"), ("size", "long"), ("place", "long")]
-    rows = arrow_flat(texts, ["node", "class", "packed"], fields, make_rows, by="packed", limit=1 << 18)
-    met = meeting(rows)
-    fits = F.least(F.expr("a - i"), F.expr("b - j")) >= F.ceil(F.expr("a + b") * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9))
-    return met.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return arrow_flat(texts, ["node", "class", "packed"], fields, make_rows, by="packed", limit=1 << 18)
+
+
+def prefix_pairs(crowd: DataFrame, slim: DataFrame) -> DataFrame:
+    """(u, v) of the nodes (node, class) of different classes that may be similar enough by their prefixes."""
+    return pairs_of(meeting(prefixes(crowd, slim)))
+
+
+def fitting(met: DataFrame) -> DataFrame:
+    """Of (u, a, i, v, b, j), those whose strips from the common one on can make up the similarity."""
+    return met.where(F.least(F.expr("a - i"), F.expr("b - j")) >= F.ceil(F.expr("a + b") * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9)))
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    return fitting(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def size_band(size: Column) -> Column:
@@ -316,13 +333,13 @@ def size_band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) * 100).cast("int")
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """(u, a, i, v, b, j) of prefix rows (key, node, class, size, place) with a common key, of different classes and of sizes that may fit.
+def seeking(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, asking) of prefix rows (key, node, class, size, place): those that have a partner's key and size, by key and band.
 
     With `place` strips before this one, a node of `size` can have no partner larger than it still has strips for, nor one
-    under SIMILARITY of its size. Each key tells which bands of sizes it has; a row none of whose sizes is there goes before
-    the join, and the rest meet by key and band. So texts that share much, yet not enough, don't meet: their common strips
-    come too late in their prefixes for partners of the sizes that they have.
+    under SIMILARITY of its size. Each key tells which bands of sizes it has; a row none of whose sizes is there goes, and
+    the rest meet by key and band. So texts that share much, yet not enough, don't meet: their common strips come too late
+    in their prefixes for partners of the sizes that they have.
     """
     rows = rows.withColumn("band", size_band(F.col("size")))
     # Only keys that two classes have; members of a key's main class don't look for others, they are found.
@@ -336,9 +353,38 @@ def meeting(rows: DataFrame) -> DataFrame:
     rows = written(rows.select("key", "node", "class", "size", "place", "band", "least", "most", "in_main", "asks"), "prefixes")
     found = rows.select("key", "band", F.col("node").alias("u"), F.col("class").alias("cu"), F.col("size").alias("a"), F.col("place").alias("i"), "least", "most", F.col("in_main").alias("found"))
     asking = rows.where("not in_main").select("key", F.explode("asks").alias("band"), F.col("node").alias("v"), F.col("class").alias("cv"), F.col("size").alias("b"), F.col("place").alias("j"))
+    return found, asking
+
+
+def met_by(found: DataFrame, asking: DataFrame) -> DataFrame:
+    """(u, a, i, v, b, j) of rows of `seeking` with a common key, of different classes and of sizes that may fit."""
     return found.join(asking, ["key", "band"]).where("cu <> cv and (found or u < v) and b between least and most").select("u", "a", "i", "v", "b", "j")
 
 
+def meeting(rows: DataFrame) -> DataFrame:
+    """(u, a, i, v, b, j) of all prefix rows (key, node, class, size, place) that may fit."""
+    return met_by(*seeking(rows))
+
+
+def crowding(found: DataFrame, asking: DataFrame) -> bool:
+    """Whether the rows of `seeking` would meet too many others: counted by classes, at most, before any is joined."""
+    n = F.count(F.lit(1))
+    have = found.groupBy("key", "band", F.col("cu").alias("c")).agg(n.alias("f"), F.lit(0).cast("long").alias("q"))
+    want = asking.groupBy("key", "band", F.col("cv").alias("c")).agg(F.lit(0).cast("long").alias("f"), n.alias("q"))
+    by_class = have.unionByName(want).groupBy("key", "band", "c").agg(F.sum("f").cast("double").alias("f"), F.sum("q").cast("double").alias("q"))
+    meet = by_class.groupBy("key", "band").agg((F.sum("f") * F.sum("q") - F.sum(F.expr("f * q"))).alias("m"), F.sum("f").alias("f"))
+    total = meet.agg(F.sum("m").alias("m"), F.sum("f").alias("f")).first()
+    return (total["m"] or 0) > MEETINGS * (total["f"] or 0)
+
+
+def led(found: DataFrame, asking: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each asking node with the leader that it meets most often, one of each key and band, another in each turn."""
+    order = F.xxhash64("u", F.lit(turn))
+    lead = found.groupBy("key", "band").agg(F.min(F.struct(order.alias("o"), *(c for c in found.columns if c not in ("key", "band")))).alias("l")).select("key", "band", "l.*").drop("o")
+    met = fitting(met_by(lead.withColumn("found", F.lit(True)), asking)).groupBy("v", "u").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("v").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u"), "v")
+
+
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, class) once the classes of linked nodes are one."""
     a = classes.select(F.col("node").alias("u"), F.col("class").alias("cu"))
@@ -348,6 +394,21 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
 
 
+def settled_crowd(crowd: DataFrame, slim: DataFrame, classes: DataFrame) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
+    """What `seeking` finds in the prefixes of the nodes `crowd` (node, class), and the classes (node, class), once leaders have joined what they can."""
+    rows = written(prefixes(crowd, slim), "prefixes")
+    plain, turn = rows.drop("class"), 0
+    while True:
+        sought = seeking(rows)
+        if turn == TURNS or not crowding(*sought):
+            return sought, classes
+        links = written(linked(led(*sought, turn), slim), "links")
+        if not links.limit(1).count():
+            return sought, classes
+        classes = merged(classes, links)
+        rows, turn = plain.join(classes, "node"), turn + 1
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, h, class_id, leads) of (doc_id, text): the class is named by its smallest doc_id; one text of that leads it."""
     rows = written(prepared(docs), "signatures")
@@ -377,12 +438,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
         else:
             mixed = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
             rest = written(held.join(mixed.select("key", (F.col("n") > CROWD).alias("crowded")), "key"), "mixed")
-            few = rest.where("not crowded")
+            sought, classes = settled_crowd(rest.where("crowded").select("node", "class").distinct(), slim, classes)
+            few = rest.where("not crowded").drop("class").join(classes, "node")
             a = few.select("key", F.col("node").alias("u"), F.col("class").alias("cu"))
             b = few.select("key", F.col("node").alias("v"), F.col("class").alias("cv"))
             pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v")
-            crowd = rest.where("crowded").select("node", "class").distinct()
-            pairs = pairs.unionByName(prefix_pairs(crowd, slim)).distinct()
+            pairs = pairs.unionByName(pairs_of(met_by(*sought))).distinct()
         links = written(linked(pairs, slim), "links")
         linking = bool(links.limit(1).count())
         if linking:

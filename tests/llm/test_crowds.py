@@ -53,3 +53,40 @@ def test_bands_hold_every_partner(spark):
     assert fits.sum() > 1000
     sizes = spark.range(1, 3000).select(near_dup.size_band(F.col("id")).alias("b")).collect()
     assert all(x["b"] <= y["b"] for x, y in zip(sizes, sizes[1:]))
+
+
+@pytest.fixture
+def verified(monkeypatch):
+    """Every node in crowded buckets, no rounds of bucket leaders, and the number of pairs that each verification gets."""
+    counts = []
+    real = near_dup.linked
+    monkeypatch.setattr(near_dup, "CROWD", 1)
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+
+    def linked(pairs, nodes):
+        pairs = near_dup.written(pairs, "pairs")
+        counts.append(pairs.count())
+        return real(pairs, nodes)
+
+    monkeypatch.setattr(near_dup, "linked", linked)
+    return counts
+
+
+def test_near_copies_meet_leaders_first(spark, verified):
+    """400 near copies of one text, each with two words of its own: 79,800 similar pairs, of which a few for each text are verified."""
+    n, words = 400, [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        own = list(words)
+        own[20 + i % 150], own[30 + i * 7 % 150] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {0}
+    assert sum(verified) < 10 * n
+
+
+def test_chains_stay_whole(spark, verified):
+    """Texts that are similar to their neighbours alone: leaders join parts of the chain, what is left is paired."""
+    rows = [(100 * c + i, " ".join(f"c{c}_{k}" for k in range(4 * i, 4 * i + 124))) for c in range(3) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"] // 100 * 100, r["class_id"]) for r in near_dup.near_duplicates(docs).collect()} == {(0, 0), (100, 100), (200, 200)}
