@@ -201,18 +201,52 @@ M3 = np.uint64(0x94D049BB133111EB)
 _S29, _S30, _S31, _S32 = (np.uint64(x) for x in (29, 30, 31, 32))
 
 
+#: Hashes that are made at once, so that they stay in a core's cache from one operation to the next.
+HASH_BLOCK = 1 << 14
+
+
+def _finish(x: np.ndarray, spare: np.ndarray) -> None:
+    """The finaliser's steps after its first product, in place."""
+    np.right_shift(x, _S29, out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    np.multiply(x, M2, out=x)
+    np.right_shift(x, _S32, out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply, shift, xor) over a uint64 array."""
-    x = x * M1
-    x ^= x >> _S29
-    x *= M2
-    x ^= x >> _S32
-    return x
+    if np.ndim(x) != 1 or len(x) <= HASH_BLOCK:
+        x = x * M1
+        x ^= x >> _S29
+        x *= M2
+        x ^= x >> _S32
+        return x
+    out, spare = np.empty(len(x), np.uint64), np.empty(HASH_BLOCK, np.uint64)
+    for k in range(0, len(x), HASH_BLOCK):
+        part = out[k : k + HASH_BLOCK]
+        np.multiply(x[k : k + HASH_BLOCK], M1, out=part)
+        _finish(part, spare[: len(part)])
+    return out
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of two neighbouring windows from theirs."""
-    return mix(a * M3 + b)
+    if np.ndim(a) != 1 or np.shape(a) != np.shape(b) or len(a) <= HASH_BLOCK:
+        return mix(a * M3 + b)
+    out, spare = np.empty(len(a), np.uint64), np.empty(HASH_BLOCK, np.uint64)
+    for k in range(0, len(a), HASH_BLOCK):
+        part = out[k : k + HASH_BLOCK]
+        join_into(a[k : k + HASH_BLOCK], b[k : k + HASH_BLOCK], part, spare[: len(part)])
+    return out
+
+
+def join_into(a: np.ndarray, b: np.ndarray, out: np.ndarray, spare: np.ndarray) -> None:
+    """`join_hash` of short arrays into `out`."""
+    np.multiply(a, M3, out=out)
+    np.add(out, b, out=out)
+    np.multiply(out, M1, out=out)
+    _finish(out, spare)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -100,9 +100,9 @@ class Repeats:
         head = np.nonzero(lead)[0]
         size = np.diff(np.append(head, len(g)))
         twins: list = [None] * len(head)
+        places = np.stack([doc, sub, lo], axis=1)
         for k in np.nonzero(size > 1)[0].tolist():
-            a, b = head[k] + 1, head[k] + size[k]
-            twins[k] = np.stack([doc[a:b], sub[a:b], lo[a:b]], axis=1).ravel()
+            twins[k] = places[head[k] + 1 : head[k] + size[k]].ravel()
         signed = lambda x: x[head].view(np.int64)
         return [signed(g), signed(f), doc[head], sub[head], lo[head].astype(np.int32), na[head].astype(np.int32), twins]
 
@@ -235,12 +235,13 @@ def with_spans(docs: DataFrame, spans: DataFrame, keep: list[str], fields: list[
     def make():
         unpack = zstandard.ZstdDecompressor()
 
-        def run(packed: list, found: list) -> list:
-            rows = [row(None if z is None else unpack.decompress(z).decode(), [(s["a"], s["z"]) for s in f or []]) for z, f in zip(packed, found)]
+        def run(packed: list, starts: list, ends: list) -> list:
+            rows = [row(None if p is None else unpack.decompress(p).decode(), list(zip(a or [], z or []))) for p, a, z in zip(packed, starts, ends)]
             return list(zip(*rows)) if rows else [[] for _ in fields]
 
         return run
 
     packed = arrow_map(docs, ["doc", "sub", *keep], ["text"], [("packed", "binary")], make_packed)
-    joined = packed.join(spans, ["doc", "sub"], "left")
-    return arrow_map(joined, keep, ["packed", "spans"], fields, make, by="packed", limit=1 << 20)
+    # Arrays of numbers reach the task as lists; an array of structs would as a dictionary for each span.
+    joined = packed.join(spans.select("doc", "sub", F.col("spans.a").alias("_starts"), F.col("spans.z").alias("_ends")), ["doc", "sub"], "left")
+    return arrow_map(joined, keep, ["packed", "_starts", "_ends"], fields, make, by="packed", limit=1 << 20)

@@ -9,24 +9,43 @@ from __future__ import annotations
 
 import numpy as np
 
-from strideline.llm.common import join_hash, mix
+from strideline.llm.common import HASH_BLOCK, M1, join_into
 
 #: Low bits of a sort key that hold a place; the rest hold a gram's hash, where a tie only moves the anchor leftward.
 PLACE_BITS = 28
+#: More intervals than this are merged as arrays.
+MANY = 64
 
 
 def window_hashes(base: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
-    """Hashes of all windows of each length in the flat array, by doubling; the last step to a length may overlap."""
-    known = {1: base}
+    """Hashes of all windows of each length in the flat array, by doubling; the last step to a length may overlap.
+
+    The array goes in blocks through all lengths, each with as many symbols of the next as its windows need.
+    """
+    steps, sizes = [], [1]  # (from, to)
     for want in sorted(lengths):
-        size = max(k for k in known if k <= want)
-        h = known[size]
+        size = max(k for k in sizes if k <= want)
         while size < want:
             step = min(size, want - size)
-            h = join_hash(h[:-step], h[step:]) if len(h) > step else h[:0]
+            steps.append((size, size + step))
             size += step
-            known[size] = h
-    return known
+            sizes.append(size)
+    out = {k: np.empty(max(0, len(base) - k + 1), np.uint64) for k in lengths}
+    most = max(sizes)
+    spare = np.empty(HASH_BLOCK + most, np.uint64)
+    held = {k: np.empty(HASH_BLOCK + most, np.uint64) for k in sizes[1:]}
+    for at in range(0, len(base), HASH_BLOCK):
+        known = {1: base[at : at + HASH_BLOCK + most - 1]}
+        for size, longer in steps:
+            h, step = known[size], longer - size
+            n = max(0, len(h) - step)
+            known[longer] = held[longer][:n]
+            if n:
+                join_into(h[:-step], h[step:], known[longer], spare[:n])
+        for k, hashes in out.items():
+            part = known[k][: HASH_BLOCK]
+            hashes[at : at + len(part)] = part
+    return out
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -50,12 +69,22 @@ def anchor_places(grams: np.ndarray, starts: np.ndarray, window: int, gram: int)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     if len(grams) > int(mask):
         raise ValueError("a slice of texts is longer than places can tell")
-    key = (mix(grams) & ~mask) | np.arange(len(grams), dtype=np.uint64)
+    key = grams * M1  # grams are hashes already; another order than theirs
+    key &= ~mask
+    key |= np.arange(len(grams), dtype=np.uint64)
     return (sliding_min(key, window - gram + 1)[starts] & mask).astype(np.int64)
 
 
 def intervals(found: list, n: int) -> list[tuple[int, int]]:
     """Merged (from, to) out of any (from, to) within 0..n, neighbours joined."""
+    if len(found) > MANY:
+        a, b = np.array(found, np.int64).reshape(-1, 2).clip(0, n).T
+        a, b = a[a < b], b[a < b]
+        order = np.argsort(a)
+        a, b = a[order], np.maximum.accumulate(b[order])
+        new = np.append(True, a[1:] > b[:-1])[: len(a)]
+        last = np.append(new[1:], True)[: len(a)]
+        return list(zip(a[new].tolist(), b[last].tolist()))
     out: list[list[int]] = []
     for a, b in sorted((max(0, a), min(n, b)) for a, b in found):
         if a >= b:

@@ -10,8 +10,9 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, warc_fixity
-from strideline.llm.common import WORD
+from strideline.llm import media_gif, near_dup, packing, piece_sampling, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, warc_fixity, windows
+from strideline.llm.common import HASH_BLOCK, WORD, mix
+from strideline.llm.windows import window_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, words long, packed string, g long, `_place` long, doc long, sub long, h long, _label_id long, n_words long, c0 string, `unit` int"
 
@@ -379,6 +380,41 @@ def test_substring_dedup(spark, monkeypatch, letters, part, heavy):
     assert got == brute_words(spaced, 9)
 
 
+def test_hashes_in_blocks():
+    """Windows of any place and length, over the edges of blocks too, have the hash that their symbols have on their own."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 24, 25, 99, 100, 101, HASH_BLOCK - 1, HASH_BLOCK, HASH_BLOCK + 1, HASH_BLOCK + 99, 3 * HASH_BLOCK + 50):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        found = window_hashes(base, [25, 32, 100])
+        for size, h in found.items():
+            assert len(h) == max(0, n - size + 1)
+            for at in {0, len(h) // 2, len(h) - 1, *(k for k in (HASH_BLOCK - size, HASH_BLOCK - 1, HASH_BLOCK) if k < len(h))} if len(h) else ():
+                assert h[at] == window_hashes(base[at : at + size], [25, 32, 100])[size][0], (n, size, at)
+        assert (mix(base)[::97] == mix(base[::97].copy())).all()
+
+
+def test_windows_are_hashed_without_whole_steps():
+    """Memory beside the result is that of a few blocks, not an array for each doubling."""
+    import tracemalloc
+
+    base = np.arange(1 << 20, dtype=np.uint64)
+    tracemalloc.start()
+    window_hashes(base, [100])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * base.nbytes
+
+
+def test_many_intervals_merge_as_few_do(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 65, 300):
+        found = [(int(a), int(a + w)) for a, w in zip(rng.integers(-5, 400, n), rng.integers(-2, 9, n))]
+        monkeypatch.setattr(windows, "MANY", 1 << 30)
+        few = windows.intervals(found, 380)
+        monkeypatch.setattr(windows, "MANY", -1)
+        assert windows.intervals(found, 380) == few
+
+
 # ---- near duplicates
 
 
